@@ -1,0 +1 @@
+"""No streaming operators: the data model has no event time, and generators became plain DataFrames."""
