@@ -20,8 +20,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Colum
     scale = 1 + z * z / nd
     middle = (p + z * z / (2 * nd)) / scale
     reach = z * F.sqrt(p * (1 - p) / nd + z * z / (4 * nd * nd)) / scale
-    zero = F.lit(0.0)
-    return F.coalesce(p, zero), F.coalesce(F.greatest(zero, middle - reach), zero), F.coalesce(F.least(F.lit(1.0), middle + reach), zero)
+    known = lambda v: F.when(n != 0, v).otherwise(0.0)  # noqa: E731  least and greatest pass over nulls
+    return known(p), known(F.greatest(F.lit(0.0), middle - reach)), known(F.least(F.lit(1.0), middle + reach))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -1,0 +1,271 @@
+"""Ingest, splits, forging, evaluation, chat and the two end-to-end plans on small fixtures."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from docprobe.operators import chat, evaluate, forge, ingest, manifest, predict, split
+from docprobe.operators.sampling import between, unit
+from docprobe.plans import build, score, training
+from docprobe.sources import readers, sinks
+
+BOXES = "array<struct<pos:int,text:string,box_pixel:array<int>,label:string,is_numeric:boolean>>"
+PAGE = f"source string, doc_id string, width int, height int, ocr_boxes {BOXES}"
+FOUR = [(1, "COMPANY LTD", [40, 30, 300, 60], "company", False), (2, "123.45", [220, 120, 320, 150], "total", True), (3, "2018-12-25", [40, 120, 190, 150], "date", True), (4, "ADDRESS ROAD", [40, 200, 260, 230], "address", False)]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([("sroie", f"sroie-train-{i}", 400, 600, FOUR) for i in range(40)], PAGE)
+
+
+def test_receipts(spark):
+    ddl = "ordinal int, image struct<width:int,height:int>, ocr array<struct<box:array<array<double>>,label:string,text:string>>"
+    quad = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d]]
+    rows = [(0, (463, 1013), [(quad(50.0, 82.0, 440.0, 121.0), "company", "X"), (quad(0.0, 0.0, 0.0, 0.0), "x", "y"), (quad(300.4, 500.0, 350.5, 520.0), "total", "9.00")]), (1, (10, 10), [])]
+    got = {r["doc_id"]: r for r in ingest.normalise_receipts(spark.createDataFrame(rows, ddl)).collect()}
+    boxes = got["sroie-train-0"]["ocr_boxes"]
+    assert [b["box_pixel"] for b in boxes] == [[50, 82, 440, 121], [300, 500, 350, 520]]
+    assert (boxes[1]["label"], boxes[1]["is_numeric"]) == ("total", True) and got["sroie-train-1"]["ocr_boxes"] == []
+
+
+def test_receipts_without_label_or_text(spark):
+    ddl = "ordinal int, image struct<width:int,height:int>, ocr array<struct<box:array<array<double>>>>"
+    df = spark.createDataFrame([(0, (9, 9), [([[0.0, 0.0], [5.0, 5.0]],)])], ddl)
+    b = ingest.normalise_receipts(df).first()["ocr_boxes"][0]
+    assert (b["text"], b["label"], b["is_numeric"]) == ("", "other", False)
+
+
+def test_forms_zip_to_the_shortest(spark):
+    ddl = "ordinal int, image struct<width:int,height:int>, words array<string>, bboxes array<array<int>>, ner_tags array<int>"
+    names = ["O", "B-HEADER", "I-HEADER", "B-QUESTION", "I-QUESTION", "B-ANSWER"]
+    df = spark.createDataFrame([(7, (762, 1000), ["Head", "12", "lost"], [[383, 91, 841, 926], [10, 10, 90, 20], [0, 0, 9, 9]], [1, 5])], ddl)
+    r = ingest.normalise_forms(df, names=names).first()
+    assert r["doc_id"] == "funsd-train-7" and [b["label"] for b in r["ocr_boxes"]] == ["header", "answer"]
+    assert r["ocr_boxes"][0]["box_pixel"] == [292, 91, 641, 926] and r["ocr_boxes"][1]["is_numeric"]
+    assert [b["label"] for b in ingest.normalise_forms(df).first()["ocr_boxes"]] == ["1", "5"]
+
+
+def test_unknown_source_is_an_error(spark):
+    with pytest.raises(ValueError, match="unknown source"):
+        readers.read_sources(spark, {}, ["nope"])
+
+
+def test_sources_with_limits(spark, tmp_path):
+    forms = "ordinal int, image struct<width:int,height:int>, words array<string>, bboxes array<array<int>>, ner_tags array<int>"
+    receipts = "ordinal int, image struct<width:int,height:int>, ocr array<struct<box:array<array<double>>,label:string,text:string>>"
+    spark.createDataFrame([(i, (100, 100), ["a"], [[1, 1, 500, 500]], [0]) for i in range(5)], forms).write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([(i, (100, 100), [([[1.0, 1.0], [9.0, 9.0]], "l", "t")]) for i in range(5)], receipts).write.parquet(str(tmp_path / "r"))
+    got = readers.read_sources(spark, {"funsd": str(tmp_path / "f"), "sroie": str(tmp_path / "r")}, limit_per_source=2)
+    assert sorted(r["doc_id"] for r in got.collect()) == ["funsd-train-0", "funsd-train-1", "sroie-train-0", "sroie-train-1"]
+    stats = {(r["kind"], r["key"]): r["n"] for r in ingest.ingest_stats(got).collect()}
+    assert stats[("docs", "funsd")] == 2 and stats[("boxes", "sroie:l")] == 2 and stats[("numeric", "")] == 0
+
+
+def test_splits(spark):
+    ids = spark.createDataFrame([(f"d{i}",) for i in range(100)] * 2, "doc_id string")
+    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
+    a = {r["doc_id"]: r["split"] for r in split.assign_splits(ids, ratios).collect()}
+    b = {r["doc_id"]: r["split"] for r in split.assign_splits(ids.repartition(7), ratios).collect()}
+    c = {r["doc_id"]: r["split"] for r in split.assign_splits(ids, ratios, seed=1).collect()}
+    assert a == b and a != c
+    assert [sum(v == s for v in a.values()) for s in split.SPLITS] == [70, 15, 15]
+    assert split.assign_splits(ids.limit(0), ratios).count() == 0
+
+
+def test_leakage(spark):
+    df = spark.createDataFrame([("a", "train"), ("a", "train"), ("b", "val")], "doc_id string, split string")
+    split.assert_no_leakage(df)
+    with pytest.raises(AssertionError, match="LEAKAGE"):
+        split.assert_no_leakage(df.union(spark.createDataFrame([("b", "test")], df.schema)))
+
+
+@pytest.mark.parametrize("clean,bad", [(3, 9), (9, 3), (4, 4), (0, 4), (4, 0), (0, 0)])
+def test_balance(spark, clean, bad):
+    rows = [(i, i >= clean) for i in range(clean + bad)]
+    got = split.balance(spark.createDataFrame(rows, "id int, tampered boolean"), "id").collect()
+    most = max(clean, bad) if clean and bad else None
+    assert sum(not r["tampered"] for r in got) == (most or clean) and sum(r["tampered"] for r in got) == (most or bad)
+    assert sorted(r["id"] for r in got if r["copy"] == 0) == list(range(clean + bad))
+
+
+def test_keep_first_and_round_robin(spark):
+    rows = [(0, "p", False, None), (1, "p", False, None), (2, "p", True, "a"), (3, "p", True, "a"), (4, "q", False, None), (5, "r", True, "b"), (6, "s", True, "a")]
+    df = spark.createDataFrame(rows, "ord int, image_path string, tampered boolean, tamper_type string")
+    assert sorted(r["ord"] for r in split.keep_first_clean(df, "ord").collect()) == [0, 2, 3, 4, 5, 6]
+    assert [r["ord"] for r in split.round_robin(df, 6, "ord").collect()] == [0, 1, 2, 3, 4, 5]
+    assert [r["ord"] for r in split.round_robin(df, 4, "ord").collect()] == [0, 1, 2, 5]
+
+
+def test_sampling_is_uniform_and_reproducible(spark):
+    df = spark.range(20000).select(unit(0, "t", F.col("id")).alias("u"), between(0, "b", F.lit(3), F.lit(7), F.col("id")).alias("b"))
+    mean, lo, hi, kinds = df.agg(F.avg("u"), F.min("b"), F.max("b"), F.count_distinct("b")).first()
+    assert abs(mean - 0.5) < 0.01 and (lo, hi, kinds) == (3, 7, 5)
+
+
+def test_variants(spark, pages):
+    df = forge.with_donor_counts(pages.withColumn("split", F.lit("train")), forge.harvest_donors(pages.withColumn("split", F.lit("train"))))
+    rows = forge.forge_variants(df, 2, keep=["split"]).collect()
+    again = forge.forge_variants(df.repartition(5), 2, keep=["split"]).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for doc in by_doc.values():
+        clean = [r for r in doc if not r["tampered"]]
+        kinds = [r["tamper_type"] for r in doc if r["tampered"]]
+        assert len(clean) == 1 and clean[0]["box_pixel"] is None and 1 <= len(kinds) == len(set(kinds)) <= 2
+        for r in doc:
+            if r["tampered"]:
+                x1, y1, x2, y2 = r["box_pixel"]
+                assert 0 <= x1 < x2 <= 400 and 0 <= y1 < y2 <= 600 and r["field"] in r["reason"]
+                if r["tamper_type"] == "copy_move":
+                    assert all(x2 <= b[2][0] or b[2][2] <= x1 or y2 <= b[2][1] or b[2][3] <= y1 for b in FOUR)
+
+
+def test_forge_one_extremes(spark, pages):
+    df = forge.with_donor_counts(pages, forge.harvest_donors(pages, split=None), split=None)
+    assert not any(r["tampered"] for r in forge.forge_one(df, p_clean=1.0).collect())
+    assert all(r["tampered"] for r in forge.forge_one(df, p_clean=0.0).collect())
+    assert forge.corpus_sample(pages, 0.5).count() == 40
+
+
+def test_applicability_and_failures(spark):
+    small = spark.createDataFrame([("s", "a", 400, 600, FOUR[:2]), ("s", "b", 400, 600, []), ("s", "c", 100, 100, [(1, "1", [0, 0, 100, 100], "x", True)])], PAGE)
+    none = small.withColumn("n_donors", F.lit(0).cast("bigint"))
+    can = {r[0]: tuple(r)[1:] for r in none.select("doc_id", *(forge.applicable(o) for o in forge.OP_NAMES)).collect()}
+    assert can == {"a": (False, True, False), "b": (False, False, False), "c": (False, True, False)}
+    plans = {r["doc_id"]: [p["op"] for p in r["plans"]] for r in forge.planned(none).collect()}
+    assert plans == {"a": ["copy_move"], "b": [], "c": []}  # the box of c fills its page: nowhere to paste
+
+
+def test_donors(spark, pages):
+    donors = forge.harvest_donors(pages, split=None, per_source=7).collect()
+    assert [d["donor_idx"] for d in sorted(donors, key=lambda d: d["donor_idx"])] == list(range(7))
+    recs = forge.forge_variants(forge.with_donor_counts(pages, forge.harvest_donors(pages, split=None), split=None), 3)
+    joined = forge.with_donor_boxes(recs, forge.harvest_donors(pages, split=None), split=None).where("tamper_type = 'splice'")
+    assert joined.count() == 40 and joined.where("donor_box is null").count() == 0
+
+
+EVAL = "doc_id string, variant string, tamper_type string, true_tampered boolean, true_box_pixel array<int>, width int, height int, pred struct<tampered:boolean,box_norm:array<bigint>>"
+
+
+def rows_of(spark, *cases):
+    return spark.createDataFrame([(f"d{i}", "v", t, y, b, 1000, 1000, p) for i, (y, p, b, t) in enumerate(cases)], EVAL)
+
+
+def test_detection(spark):
+    yes, no, box = (True, None), (False, None), [0, 0, 10, 10]
+    df = rows_of(spark, (True, yes, box, "a"), (True, yes, box, "a"), (True, no, box, "a"), (False, yes, None, None), (False, no, None, None), (False, no, None, None))
+    r = evaluate.detection(df).first()
+    assert (r.tp, r.fn, r.fp, r.tn) == (2, 1, 1, 2) and r.precision == r.recall == pytest.approx(2 / 3) and r.f1 == pytest.approx(2 / 3)
+    r = evaluate.detection(rows_of(spark, (True, None, box, "a"), (False, no, None, None))).first()
+    assert (r.fn, r.parse_failure_rate) == (1, 0.5)
+    empty = evaluate.detection(df.limit(0)).first()
+    assert (empty.n, empty.f1, empty.accuracy, empty.precision_hi) == (0, 0.0, 0.0, 0.0)
+
+
+def test_localisation(spark):
+    box = [0, 0, 10, 10]
+    df = rows_of(spark, (True, (True, [0, 0, 10, 10]), box, "a"), (True, (True, [5, 0, 15, 10]), box, "b"), (True, (True, None), box, ""), (False, (False, None), None, None))
+    r = evaluate.localisation(df).first()
+    assert r.n_true_positive == 3 and r.hit_rate == pytest.approx(1 / 3) and r.mean_iou == pytest.approx(4 / 9)
+    assert {r.tamper_type: r.n_true_positive for r in evaluate.localisation(df, by_type=True).collect()} == {"a": 1, "b": 1, "unknown": 1}
+    assert evaluate.localisation(df.limit(0)).first().mean_iou == 0.0
+    o = evaluate.overfit_report(df).first()
+    assert (o.n, o.detected, o.n_boxes, o.hits) == (4, 4, 2, 1) and o.mean_iou == pytest.approx(2 / 3)
+
+
+def test_mcnemar_and_report(spark):
+    box = [0, 0, 10, 10]
+    a = rows_of(spark, (True, (True, box), box, "a"), (False, (False, None), None, None))
+    b = rows_of(spark, (True, (False, None), box, "a"), (False, (False, None), None, None))
+    same = evaluate.mcnemar(evaluate.paired(a, a, "doc_id", "variant")).first()
+    assert (same.b, same.c, same.n_discordant, same.p_value) == (0, 0, None, 1.0)
+    r = evaluate.report(a, b).first()
+    assert r["delta"]["f1"] > 0 and r["mcnemar"]["b"] == 1 and r["by_type"]["a"]["n_true_positive"] == 1
+    assert len(sinks.summary_lines(r.asDict(recursive=True))) == 4
+    with pytest.raises(Exception, match="without a partner"):
+        evaluate.paired(a, b.limit(1), "doc_id", "variant").collect()
+
+
+def test_manifest(spark):
+    rows = [("train", "a", False, None), ("train", "a", True, "digit_swap"), ("train", "b", True, "splice"), ("test", "c", False, None)]
+    df = spark.createDataFrame([(s, d, t, k, "src") for s, d, t, k in rows], "split string, doc_id string, tampered boolean, tamper_type string, source string")
+    m = manifest.as_dict(df, split.SPLITS)
+    assert m["splits"]["train"] == {"examples": 3, "docs": 2, "clean": 1, "tampered": 2, "clean_frac": 0.333, "by_tamper_type": {"digit_swap": 1, "splice": 1}, "by_source": {"src": 3}}
+    assert m["splits"]["val"] == {"examples": 0, "docs": 0, "clean": 0, "tampered": 0, "clean_frac": 0.0, "by_tamper_type": {}, "by_source": {}}
+    assert m["totals"] == {"examples": 4, "clean": 2, "tampered": 2}
+    assert {r["split"]: r["examples"] for r in manifest.totals(df).collect()} == {"train": 3, "test": 1, None: 4}
+
+
+def test_messages(spark):
+    df = spark.createDataFrame([("images/x.jpg", 100, 100, True, "total", [1, 2, 30, 40], "r")], "image_path string, width int, height int, tampered boolean, field string, box_pixel array<int>, reason string")
+    m = df.select(chat.messages("/data/processed")).first()[0]
+    assert [x["role"] for x in m] == ["system", "user", "assistant"]
+    assert m[1]["content"][0]["image"] == "file:///data/processed/images/x.jpg" and m[1]["content"][1]["text"] == chat.USER_INSTRUCTION
+    assert json.loads(m[2]["content"][0]["text"])["tampered"] is True
+    assert [x["role"] for x in df.select(chat.messages("/d", include_target=False)).first()[0]] == ["system", "user"]
+
+
+def test_loss_mask(spark):
+    ids = [[1, 3, 50, 9, 2, 1, 3, 60, 61, 2, 0, 0], [1, 3, 50, 2, 1, 3, 60, 61], [1, 3, 50, 2, 1, 3]]
+    df = spark.createDataFrame([(x,) for x in ids], "input_ids array<int>")
+    got = chat.loss_mask(df, 1, 2, 0, 9, 1).collect()
+    assert got[0]["labels"] == [-100] * 7 + [60, 61, 2, -100, -100] and not got[0]["truncated"]
+    assert got[1]["truncated"] and got[1]["learnable"] == 2 and got[2]["truncated"] and got[2]["learnable"] == 0
+    with pytest.raises(Exception, match="no start token"):
+        chat.loss_mask(spark.createDataFrame([([5, 6],)], "input_ids array<int>"), 1, 2, 0, 9, 1).collect()
+    assert spark.range(1).select(chat.padded(F.array(F.lit(5)), 3, 0)).first()[0] == [5, 0, 0]
+
+
+def test_build_end_to_end(spark, pages, tmp_path):
+    found = build.build(pages, str(tmp_path / "out"), manifest_path=str(tmp_path / "m" / "manifest.json"))
+    train = found["splits"]["train"]
+    assert train["docs"] == 28 and train["clean"] == train["tampered"] and found["splits"]["test"]["docs"] == 6
+    assert json.loads((tmp_path / "m" / "manifest.json").read_text()) == json.loads(json.dumps(found))
+    rows = readers.read_records(spark, str(tmp_path / "out" / "split=test"), str(tmp_path / "nowhere"))
+    assert rows.count() == found["splits"]["test"]["examples"] and rows.where("image_path is null").count() == 0
+    text = next(p for p in (tmp_path / "out" / "split=test").glob("*.json")).read_text()
+    assert '"box_pixel":null' in text
+    kept, val = training.load_splits(spark, str(tmp_path / "out"), "image_path")
+    assert kept.where("not tampered").count() == 28 and val.count() == found["splits"]["val"]["examples"]
+    few, nothing = training.load_splits(spark, str(tmp_path / "out"), "image_path", overfit=6)
+    assert few.count() == 6 and nothing is None
+
+    def perfect():
+        def run(rows):
+            boxes = [None if b is None else [round(max(0, min(1000, v / s * 1000))) for v, s in zip(b, (w, h, w, h))] for b, w, h in zip(rows["box_pixel"], rows["width"], rows["height"])]
+            import pandas as pd
+
+            return pd.Series(['{"tampered": %s, "box": %s}' % ("false" if b is None else "true", "null" if b is None else '"(%d,%d),(%d,%d)"' % tuple(b)) for b in boxes])
+
+        return run
+
+    def silent():
+        return lambda rows: rows["doc_id"].map(lambda _: "no idea")
+
+    r = score.run(rows, perfect, silent, out_path=str(tmp_path / "eval" / "r.json"))
+    assert r["detection"]["f1"] == 1.0 and r["localization"]["mean_iou"] == pytest.approx(1.0) and r["baseline"]["detection"]["parse_failure_rate"] == 1.0
+    assert json.loads((tmp_path / "eval" / "r.json").read_text())["report"]["mcnemar"]["c"] == 0
+    assert predict.collect_predictions(predict.generate(rows, silent), limit=3).count() == 3
+
+
+def test_json_lines_blank_lines_and_config(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"doc_id": "x", "box_pixel": null}\n\n   \n{"doc_id": "y", "box_pixel": [1, 2, 3, 4]}\n')
+    got = readers.read_records(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "none.jsonl"))
+    assert [r["doc_id"] for r in got.orderBy("doc_id").collect()] == ["x", "y"]
+    assert readers.read_records(spark, str(tmp_path / "none.jsonl")).count() == 0
+    (tmp_path / "c.json").write_text('{"seed": 3}')
+    assert readers.load_config(str(tmp_path / "c.json")) == {"seed": 3}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "train.jsonl").write_text("{}")
+    assert readers.locate(spark, str(tmp_path)).endswith("/deep")
+
+
+def test_saved_size(spark):
+    w, h = sinks.saved_size(F.lit(2000), F.lit(3), 1024)
+    assert tuple(spark.range(1).select(w, h).first()) == (1024, 2)
+    w, h = sinks.saved_size(F.lit(500), F.lit(400), 1024)
+    assert tuple(spark.range(1).select(w, h).first()) == (500, 400)
