@@ -53,7 +53,7 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the signatures of a text column (null read as empty)."""
     t = F.coalesce(F.col(text), F.lit(""))
     got = df.withColumn("_c", signatures(t))
-    got = got.withColumn("_s", F.array_sort(F.array_distinct(_chains(F.col("_c")))))
+    got = got.withColumn("_s", F.sort_array(F.array_distinct(_chains(F.col("_c")))))
     words = F.array_join(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
     whole = F.xxhash64(F.when(words != "", words).otherwise(t)).bitwiseAND(F.lit(0xFFFFFFFF))
     return got.withColumn(out, F.when(F.size("_s") > 0, F.col("_s")).when(t != "", F.array(whole)).otherwise(F.array().cast("array<bigint>"))).drop("_c", "_s")
@@ -69,7 +69,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:
     """rid, doc_id, text, next_text: the text of the document with the next greater doc_id; after the last, the first.
 
     Ids are cut into ranges at approximate quantiles (at most ``most_ranges`` numbers on the driver); each range is one group of a window, and the
@@ -81,15 +81,13 @@ def with_next(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 2
     cuts: list[int] = []
     if ranges > 1:
         cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []))
-    at = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda k, c: k + (c <= F.col("doc_id")).cast("int")), F.lit(0)) if cuts and len(cuts) <= 64 else None
-    if at is None:
-        at = F.lit(0)
-        if cuts:  # binary search over a literal array: log2 comparisons a row
-            table, lo = F.array(*map(F.lit, cuts)), F.lit(0)
-            for k in range(math.ceil(math.log2(len(cuts) + 1)), -1, -1):
-                probe = lo + (1 << k)
-                lo = F.when((probe <= len(cuts)) & (F.get(table, probe - 1) <= F.col("doc_id")), probe).otherwise(lo)
-            at = F.coalesce(lo, F.lit(0))
+    at = F.lit(0)
+    if cuts:  # two levels of about the square root of the cuts each: few comparisons a row
+        g = math.isqrt(len(cuts)) + 1
+        blocks = [cuts[i : i + g] for i in range(0, len(cuts), g)]
+        passed = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("doc_id")))
+        block = F.greatest(passed(F.lit([b[0] for b in blocks])), F.lit(1)) - 1
+        at = F.coalesce(block * g + passed(F.get(F.array(*(F.lit(b) for b in blocks)), block)), F.lit(0))
     rows = rows.withColumn("range", at)
     heads = rows.groupBy("range").agg(F.min(F.struct("doc_id")).alias("m")).collect()  # at most most_ranges + 1 rows
     heads = sorted((r["range"], r["m"]["doc_id"]) for r in heads)
@@ -124,7 +122,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Length partitions: sets of size n meet only sets of size up to n / threshold. A set of n signatures posts its n - ceil(threshold n) + 1
     rarest; two sets as alike as the threshold share one of them.
     """
-    rows = with_signatures(docs.select("doc_id", text_of(docs).alias("text")), "text", "s").where(F.size("s") > 0)
+    rows = with_signatures(docs.select("doc_id", text_of(docs).alias("text")), "text", "s")
     cls = rows.groupBy("s").agg(F.min("doc_id").alias("id"))
     seen = cls.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     posts = cls.select("id", F.size("s").alias("n"), F.explode("s").alias("h")).join(seen, "h")
