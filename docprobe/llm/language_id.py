@@ -71,7 +71,7 @@ class Automata:
         for lang in self.langs:
             codes = self.codes([texts[lang]])[0]
             table = self._dense(codes.tolist(), first)
-            roots.append(first)
+            roots.append(first + len(table) - 1)
             tables.append(table)
             first += len(table)
             self.lengths.append(max(2, len(codes)))
@@ -101,7 +101,7 @@ class Automata:
         return got[keep], sizes
 
     def _dense(self, codes: list[int], first: int) -> np.ndarray:
-        """Suffix automaton of the codes, grown one symbol at a time, then every missing edge sent through the root."""
+        """Suffix automaton of the codes, grown one symbol at a time, then every missing edge begins the next phrase."""
         edges: list[dict[int, int]] = [{}]
         length, link, last = [0], [-1], 0
         for c in codes:
@@ -127,14 +127,15 @@ class Automata:
                         edges[p][c] = twin
                         p = link[p]
             last = new
-        restart = np.full(self.width, first << 1 | 1, np.int32)
+        idle = first + len(edges)  # one more state: before a phrase, where any symbol begins one
+        restart = np.full(self.width, idle << 1 | 1, np.int32)
         for c, s in edges[0].items():
             restart[c] = (first + s) << 1 | 1
-        table = np.tile(restart, (len(edges), 1))
+        table = np.tile(restart, (len(edges) + 1, 1))
         rows = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
         cols = np.fromiter((c for e in edges for c in e), np.int64, len(rows))
         table[rows, cols] = (first + np.fromiter((s for e in edges for s in e.values()), np.int64, len(rows))) << 1
-        table[:, self.pad] = (first + np.arange(len(edges))) << 1
+        table[:, self.pad] = (first + np.arange(len(table))) << 1
         return table
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ class Automata:
                 value = self.table[state * np.int32(self.width) + symbols[:, None]]
                 broke += value & 1
                 state = value >> 1
-            counts[some] = broke + 1
+            counts[some] = broke
         total = np.zeros((len(sizes), len(self.langs)), np.int64)
         np.add.at(total, owner, counts)
         return total
@@ -195,4 +196,4 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None, **sample: int
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), text_of(docs).alias("text"))
-    return map_rows(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_rows(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double", "docprobe.llm.language_id")
