@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,13 +34,38 @@ def hash01(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow; batches hold at most a few thousand rows so that long texts stay within a worker's memory."""
+def release_memory() -> None:
+    """Gives freed memory back to the system at the end of a task: idle workers count against the executor too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: What a Python worker keeps between tasks: module -> the cached function in it. A task of another module lets go of it.
+KEPT = {"docprobe.llm.tokens": "encoder", "docprobe.llm.language_id": "automata"}
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str = "") -> DataFrame:
+    """mapInArrow; batches hold at most a few thousand rows so that long texts stay within a worker's memory.
+
+    Workers outlive operators; ``keeps`` names the module whose cache this one uses, and the others are emptied first.
+    """
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > 2000:
         spark.conf.set(key, "2000")
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, cache in KEPT.items():
+            if module != keeps and module in sys.modules:
+                getattr(sys.modules[module], cache).cache_clear()
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,13 +73,18 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="docprobe-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    rows: an upper bound of their number, where one is known; then there is one file for each ``per_file`` of them, so that the many
+    small tables of an iteration are not cut into as many files as there are shuffle partitions.
+    """
     path = f"{scratch_dir(df.sparkSession)}/docprobe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,30 +35,37 @@ MAGIC, HEADER = b"DPS8", struct.Struct("<4sIQQQQ")
 BLOCKS = "shard int, block int, block_start bigint, first_doc bigint, n_ids bigint, n_docs bigint, doc_ids binary, payload binary"
 
 
+_SHORT = np.array([k.bit_length() for k in range(1 << 16)], np.int8)
+
+
+def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    if len(v) and v.max() < 1 << 16:
+        return _SHORT[v.astype(np.int64)]
+    bits, rest = np.zeros(len(v), np.int8), v.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        big = rest >= np.uint64(1) << np.uint64(step)
+        bits[big] += step
+        rest[big] >>= np.uint64(step)
+    return bits + (rest > 0)
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """Greedy: each word takes as many of the next values as fit."""
     v = np.ascontiguousarray(values, np.uint64)
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.int16)
-    rest = v.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1) << np.uint64(step)
-        bits[big] += step
-        rest[big] >>= np.uint64(step)
-    bits += rest > 0
+    bits = _bit_lengths(v)
+    pad = np.r_[bits, np.zeros(120, np.int8)]  # beyond the end anything fits
     choice = np.zeros(n, np.int8)
-    open_ = np.ones(n, bool)
-    pad = np.r_[bits, np.zeros(120, np.int16)]  # beyond the end anything fits
-    for sel in range(1, 16):
+    most, covers = pad, 1  # greatest width among the next ``covers`` values
+    for sel in range(15, 0, -1):  # from few wide values to many narrow ones: the last that fits takes most
         count, width = LAYOUT[sel]
-        fits = np.r_[0, np.cumsum(pad > width)]
-        fits = (fits[count : count + n] == fits[:n]) & open_
-        choice[fits] = sel
-        open_ &= ~fits
-        if not open_.any():
-            break
+        while covers < count:
+            more = min(covers, count - covers)
+            most = np.maximum(most[: len(most) - more], most[more:])
+            covers += more
+        np.copyto(choice, np.int8(sel), where=most[:n] <= width)
     step = np.array([c for c, _ in LAYOUT])[choice].tolist()
     starts, i = [], 0
     while i < n:
@@ -168,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
         if names:
             yield flush()
 
-    map_rows(dealt, run, BLOCKS).write.mode("overwrite").parquet(path)
+    map_rows(dealt, run, BLOCKS, "docprobe.llm.tokens").write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -193,7 +200,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return map_rows(blocks.select("shard", "block_start", "doc_ids", "payload"), run, schema)
+    return map_rows(blocks.select("shard", "block_start", "doc_ids", "payload"), run, schema, "docprobe.llm.tokens")
 
 
 def write_and_read(docs: DataFrame, **options: object) -> DataFrame:

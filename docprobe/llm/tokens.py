@@ -1,71 +1,96 @@
 """Token ids by the tokenizers library, with a memory of the pieces that it has encoded.
 
-Words repeat, and the public vocabularies never merge across white space. So a text is cut at white space, each
-distinct piece is encoded once by the library, and later meetings are looked up. A text with white space
-other than space, tab, newline and carriage return, or with the marker of a special token, is encoded as a whole instead.
+Words repeat, and the public vocabularies never merge across white space, nor between a run of letters and what
+is no letter. So a text is cut there, each distinct piece is encoded once by the library, and later meetings are looked up.
+Apostrophes may begin a contraction: what holds one is cut at white space only. A text with characters beyond
+Latin-1 and common punctuation is cut at white space only; one with unusual white space, or with what begins a special token's marker, is
+encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-#: Where white space belongs to the token that follows: cut as a byte-level vocabulary does, before one blank.
-LEADING = re.compile(r"[ \t\n\r]+(?![^ \t\n\r])| ?[^ \t\n\r]+|[ \t\n\r]+")
-#: White space beyond the four common ones, and what begins the markers of special tokens.
-ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -‍    　﻿]|<\|")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœŸ"
+#: White space leads the token that follows: runs of it are cut as a byte-level vocabulary does, before one blank.
+_BLANK = r"[ \t\n\r]+(?![^ \t\n\r])"
+LEADING = re.compile(rf" ?[{_LETTERS}]++(?!')| ?[^ \t\n\r'{_LETTERS}]++(?!')|{_BLANK}| ?[^ \t\n\r]+|[ \t\n\r]+")
+LEADING_WIDE = re.compile(rf"{_BLANK}| ?[^ \t\n\r]+|[ \t\n\r]+")
+#: White space is dropped.
+DROPPED = re.compile(rf"[{_LETTERS}]++(?!')|[^ \t\n\r'{_LETTERS}]++(?!')|[^ \t\n\r]+")
+WIDE = re.compile("[^\\x00-\\xffŒœŸ€–—‘-‟…]")
+ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0  -‍    　﻿]|<\\|")
+
+
+_WORD = re.compile(rf" ?[{_LETTERS}]+").fullmatch
+_PACKERS = [struct.Struct(f"<{k}I").pack for k in range(64)]
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Code point (up to U+017F) -> its UTF-8 bytes as byte-level vocabularies spell them: visible bytes as they are, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spelt = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
+class _Memory(dict):
+    """piece -> ids; a piece met for the first time is encoded then."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
 
 
 class Encoder:
-    """path: a tokenizer file; dropped: the vocabulary drops white space (else it leads the next token)."""
+    """path: a tokenizer file. dropped: the vocabulary lower-cases and drops white space (else white space leads the next token)."""
 
-    def __init__(self, path: str, dropped: bool, memory: int = 400_000):
+    def __init__(self, path: str, dropped: bool, memory: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dropped, self.memory = Tokenizer.from_file(path), dropped, memory
-        self.known: dict[str, bytes] = {}
-        # pieces are encoded in one long text, parted by a mark that is a token of its own there
-        self.mark = " \u00a7 " if dropped else "\n"
-        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.joins = len(self.mark_id) == 1
-
-    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        sign = self.mark.strip() or "\n"
-        plain = [p for p in pieces if sign not in p and not p.isspace()] if self.joins else []
-        if plain:
-            [e] = self.tokenizer.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends = np.r_[np.flatnonzero(ids == self.mark_id[0]), len(ids)]
-            if len(ends) != len(plain):
-                plain = []
-            else:
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(plain, (4 * ends).tolist()):
-                    yield p, raw[a:b]
-                    a = b + 4
-        rest = pieces if not plain else [p for p in pieces if sign in p or p.isspace()]
-        yield from zip(rest, self._encode(rest))
-
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+        self.known = _Memory(self._one)
+        # a run of letters is one word to the model: it can be put there directly, in the byte alphabet, if that gives the same ids
+        self.model, self.alphabet, self.by_model = self.tokenizer.model, _byte_alphabet(), True
+        probes = ["a", "hello", "été", "straße", "ñandú", "œuvre", *([] if dropped else [" world", " Über"])]
+        self.by_model = [self._one(p) for p in probes] == self._whole(probes)
+
+    def _one(self, piece: str) -> bytes:
+        if self.by_model and (piece.isascii() and (piece.isalpha() or (piece[0] == " " and piece[1:].isalpha())) or _WORD(piece)):
+            ids = [t.id for t in self.model.tokenize((piece.lower() if self.dropped else piece).translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return _PACKERS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not text.isascii():
+            if ODD.search(text):
+                return None
+            if WIDE.search(text):
+                return text.split() if self.dropped else LEADING_WIDE.findall(text)
+        elif "<|" in text or ODD.search(text):
+            return None
+        return DROPPED.findall(text.lower()) if self.dropped else LEADING.findall(text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        cut: list[list[str] | None] = [None if ODD.search(t) else t.split() if self.dropped else LEADING.findall(t) for t in texts]
-        fresh = {p for pieces in cut if pieces for p in pieces if p not in known}
-        if fresh:
-            known.update(self._fresh(list(fresh)))
-        whole = iter(list(self._encode([t for t, pieces in zip(texts, cut) if pieces is None])))
-        return [next(whole) if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
+        if len(self.known) > self.memory:
+            self.known.clear()
+        look = self.known.__getitem__
+        return [self._whole([t])[0] if (pieces := self._cut(t)) is None else b"".join(map(look, pieces)) for t in texts]
 
 
 @lru_cache(4)
