@@ -2,7 +2,7 @@
 
 Labels are given for documents, so tokens are labelled first: a greedy cover finds the few words and word beginnings
 that explain the toxic documents of the sample and hardly occur in clean ones; in toxic documents those tokens are labelled 1. The
-field (word, beginnings of 3 to 6 letters, neighbours; label transitions) is then trained on whole sentences. For every text,
+field (word, beginnings of 3 to 8 letters, neighbours; label transitions) is then trained on whole sentences. For every text,
 forward-backward marginals give each token's probability; their maximum, sum and density enter a
 logistic score, and runs of tokens with a marginal of 0.5 or more are the offending offsets.
 
@@ -30,7 +30,7 @@ from docprobe.llm.common import hash01, held_out, map_rows, text_of
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
-LENGTHS = (3, 4, 5, 6)
+LENGTHS = (3, 4, 5, 6, 7, 8)
 
 
 def _features(word: str) -> list[str]:
@@ -47,30 +47,42 @@ def _sentences(words: list[str]) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 4, most: int = 400) -> set[str]:
-    """Greedy cover of the toxic documents by features that are 50 times as frequent there as in clean ones."""
+def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most: int = 400) -> set[str]:
+    """Greedy cover of the toxic documents by features that are far more frequent there than in clean ones.
+
+    A feature counts once for each pair of neighbours it occurs between: copies of one text repeat their words between the same
+    neighbours, so they do not pass for evidence.
+    """
     where: dict[str, list[int]] = {}
     clean: Counter[str] = Counter()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    for i, text in enumerate(texts):
-        seen = {f for w in set(TOKEN.findall(text.lower())) - ENDS for f in _features(w)}
+    words = [[w for w in TOKEN.findall(t.lower()) if w not in ENDS] for t in texts]
+    for i, own in enumerate(words):
+        seen = {f for w in set(own) for f in _features(w)}
         if toxic[i]:
             for f in seen:
                 where.setdefault(f, []).append(i)
         else:
             clean.update(seen)
-    good = {f: set(d) for f, d in where.items() if len(d) >= min_docs and len(d) / n1 >= 50 * (clean[f] + 0.02) / n0}
-    left, picked = set(np.flatnonzero(toxic).tolist()), set()
+    floor = max(min_docs, 0.01 * n1)
+    good = {f: set(d) for f, d in where.items() if len(d) >= floor and len(d) / n1 >= 25 * (clean[f] + 0.02) / n0}
+    around: dict[str, set[tuple[str, str]]] = {f: set() for f in good}
+    for i in np.flatnonzero(toxic):
+        own = words[i]
+        for k, w in enumerate(own):
+            for f in _features(w):
+                if f in around:
+                    around[f].add((own[k - 1] if k else "", own[k + 1] if k + 1 < len(own) else ""))
+    good = {f: d for f, d in good.items() if len(around[f]) >= max(floor, 0.5 * len(d))}
+    # a document often holds several toxic words: besides the cover, every feature of like strength is taken
+    picked = {f for f, d in good.items() if len(d) >= 0.02 * n1}
+    left = set(np.flatnonzero(toxic).tolist())
     while left and good and len(picked) < most:
         best = max(good, key=lambda f: (len(good[f]), -len(f), f))
-        if len(good[best]) < min_docs:
-            break
         picked.add(best)
         left -= good.pop(best)
-        good = {f: kept for f, d in good.items() if len(kept := d & left) >= min_docs}
-    # a document often holds several toxic words: features of like strength that the cover passed over are taken too
-    floor = max(min_docs, 0.02 * n1)
-    return picked | {f for f, d in where.items() if len(d) >= floor and len(d) / n1 >= 50 * (clean[f] + 0.02) / n0}
+        good = {f: kept for f, d in good.items() if len(kept := d & left) >= floor}
+    return picked
 
 
 class Field:
@@ -83,17 +95,23 @@ class Field:
         self.bias = -4.0
         self.trans = np.zeros((2, 2))
         self.score = np.array([-20.0, 0.0, 0.0, 0.0])
-        self.cache: dict[str, tuple[float, float, float]] = {}
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((0, 3))
 
     def unary(self, words: list[str]) -> np.ndarray:
         """Columns: the word's own log-odds, what it gives its right and its left neighbour."""
-        cache = self.cache
-        if len(cache) > 200_000:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = (self.bias + sum(self.own.get(f, 0.0) for f in _features(w)), self.left.get(w, 0.0), self.right.get(w, 0.0))
-        return np.array([cache[w] for w in words])
+        if len(self.index) > 100_000:
+            self.index, self.table = {}, np.zeros((0, 3))
+        index = self.index
+        ids = list(map(index.get, words))
+        if None in ids:
+            new = list({w for w, i in zip(words, ids) if i is None})
+            own, left, right = self.own, self.left, self.right
+            rows = [(self.bias + sum(own.get(f, 0.0) for f in _features(w)), left.get(w, 0.0), right.get(w, 0.0)) for w in new]
+            index.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, np.array(rows)])
+            ids = list(map(index.__getitem__, words))
+        return self.table[np.array(ids, np.int64)]
 
     def marginals(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
         """P(label 1) of each token; words: those of all sentences, one after another."""
@@ -152,7 +170,7 @@ def chain_marginals(odds: np.ndarray, sizes: np.ndarray, trans: np.ndarray, pair
     return out, counts
 
 
-def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0.5) -> Field:
+def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: float = 0.5) -> Field:
     """Adagrad on the conditional likelihood of whole sentences, and then a logistic fit of the document score."""
     marks = toxic_features(texts, toxic)
     sentences, labels, plain = [], [], []
@@ -234,7 +252,7 @@ def summaries(field: Field, texts: list[str]) -> tuple[np.ndarray, list[np.ndarr
 def fit_score(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the constant is moved from the sample's share of toxic rows to ``share``."""
     w, y = np.zeros(x.shape[1]), toxic.astype(float)
-    ridge = np.diag([1e-6, 1e-2, 1e-2, 1e-2]) * len(x)
+    ridge = np.diag([1e-6, 1e-4, 1e-4, 1e-4]) * len(x)
     for _ in range(30):
         p = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
@@ -261,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2_000) -> Fi
     field = train_field(texts, toxic)
     x = np.concatenate([summaries(field, texts[a : a + 200])[0] for a in range(0, len(texts), 200)])
     field.score = fit_score(x, toxic, n[1] / (n[1] + n[0]))
-    field.cache = {}
+    field.index, field.table = {}, np.zeros((0, 3))
     return field
 
 
