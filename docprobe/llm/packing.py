@@ -57,7 +57,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, dropped: bool) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(np.arange(pos, pos + k)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(packed, pa.binary())], names=[c.split()[0] for c in ENCODED.split(", ")])
             pos += k
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), text_of(docs).alias("text")), run, ENCODED)
+    return map_rows(docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), text_of(docs).alias("text")), run, ENCODED, "docprobe.llm.tokens")
 
 
 def pack(docs: DataFrame, length: int = 4096, weights: dict[str | None, float] | None = None, window: int = 16, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, dropped: bool = True) -> DataFrame:
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, length: int = 4096, weights: dict[str | None, float] |
     else:
         share = {("n" if s is None else f"s{s}"): w / sum(weights.values()) for s, w in weights.items()}
         quantum = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in sorted(share.items()) for x in p)), F.col("queue")), F.lit(min(share.values()))) * F.lit(room)
-    base = stored(base.select("queue", "part", "earlier", quantum.alias("quantum")), "packing-queues")
+    base = stored(base.select("queue", "part", "earlier", quantum.alias("quantum")), "packing-queues", parts.count())
     small = base.count() <= MAX_BASES
     got = rows.withColumn("queue", name).join(F.broadcast(base) if small else base, ["queue", "part"])
     got = got.withColumn("window", F.floor((F.col("earlier") + F.col("before")) / F.col("quantum")).cast("bigint"))
@@ -107,4 +107,4 @@ def pack(docs: DataFrame, length: int = 4096, weights: dict[str | None, float] |
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return map_rows(dealt.select("grp", "doc_id", "ids"), cut, PIECES)
+    return map_rows(dealt.select("grp", "doc_id", "ids"), cut, PIECES, "docprobe.llm.tokens")
