@@ -32,14 +32,13 @@ ANCHORS = (
 ).split()
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit signatures; the array is deep, so give it a column of its own before using it twice."""
+def content_words(text: Column) -> Column:
+    """The content words in order (w), each with the anchor directly before it (a) or null; give it a column of its own before using it twice."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     stop = list(dict.fromkeys(ANCHORS))
     # each word with the one before it; then only content words, which hold the anchor directly before them
     paired = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.struct(w.alias("w"), before.alias("a")))
-    content = F.transform(F.filter(paired, lambda p: p["w"].isNotNull() & ~p["w"].isin(stop)), lambda p: F.struct(p["w"].alias("w"), F.when(p["a"].isin(stop), p["a"]).alias("a")))
-    return content
+    return F.transform(F.filter(paired, lambda p: p["w"].isNotNull() & ~p["w"].isin(stop)), lambda p: F.struct(p["w"].alias("w"), F.when(p["a"].isin(stop), p["a"]).alias("a")))
 
 
 def _chains(c: Column) -> Column:
@@ -52,7 +51,7 @@ def _chains(c: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the signatures of a text column (null read as empty)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    got = df.withColumn("_c", signatures(t))
+    got = df.withColumn("_c", content_words(t))
     got = got.withColumn("_s", F.sort_array(F.array_distinct(_chains(F.col("_c")))))
     words = F.array_join(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
     whole = F.xxhash64(F.when(words != "", words).otherwise(t)).bitwiseAND(F.lit(0xFFFFFFFF))
