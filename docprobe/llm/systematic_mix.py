@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source has the same number of expected copies, target / source size. Prefix sums of expected
-copies run over the source's documents; one random offset is added, and a document is taken once for each integer that its
+copies run over the source's documents; one random offset (from the seed and the source) is added, and a document is taken once for each integer that its
 interval crosses. Documents stand in order of size, so that neighbours are alike: the words taken differ from the target by less than
 about the largest document.
 
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return left.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(final, F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the document is emitted), and the columns in ``keep``."""
     text = text_of(docs)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(text).alias("h"), *keep)
@@ -60,5 +60,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     group = Window.partitionBy("queue", "class", "slice").orderBy("size", "doc_id", "h")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     got = rows.withColumn("k", F.row_number().over(group)).join(base, ["queue", "class", "slice"]).withColumn("rank", F.col("first") + F.col("k"))
-    crossed = F.floor(F.col("rank") * rate + F.lit(seed)) - F.floor((F.col("rank") - 1) * rate + F.lit(seed))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:mix:"), "queue").cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    crossed = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
     return got.select("doc_id", "source", "size", "source_size", "target", crossed.cast("bigint").alias("copies"), *keep)
