@@ -111,11 +111,13 @@ def links(fps: DataFrame, radius: int = 2, cap: int = CAP) -> DataFrame:
     """
     if radius > 2:
         raise ValueError("larger buckets are only exact up to a radius of 2")
-    table = stored(fps.select("fp", pivot_row(F.col("fp")).alias("row")), "simhash-pivots")
+    n = fps.count()
+    keys_each = len(band_masks(radius))
+    table = stored(fps.select("fp", pivot_row(F.col("fp")).alias("row")), "simhash-pivots", n)
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(band_masks(radius)))))
     met = table.select("fp", "row", keys.alias("key")).select("fp", "row", "key.*")
-    size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
-    met = stored(met.join(size, ["k", "v"]), "simhash-met")
+    size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets", n * keys_each // 2)
+    met = stored(met.join(size, ["k", "v"]), "simhash-met", n * keys_each)
     small = met.where(F.col("n") <= cap)
     x, y = small.select("k", "v", F.col("fp").alias("a"), F.col("row").alias("ra")), small.select("k", "v", F.col("fp").alias("b"), F.col("row").alias("rb"))
     near = x.join(y, ["k", "v"]).where((F.col("a") < F.col("b")) & ~far_apart(F.col("ra"), F.col("rb"), radius) & (distance(F.col("a"), F.col("b")) <= radius)).select("a", "b")
@@ -133,38 +135,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
 
     now = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "links")
-    comp, turn = None, 0
-    while not now.isEmpty():
+    left = now.count()
+    steps: list[DataFrame] = []
+    while left:
+        turn = len(steps)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b", turn)).alias("m"))
-        step = stored(least.select(F.col("a").alias("node"), F.least("m", rank("a", turn))["n"].alias("to")), "joined")
-        if comp is None:
-            comp = step.withColumnRenamed("to", "comp")
-        else:
-            comp = stored(comp.join(step.withColumnRenamed("node", "at"), F.col("comp") == F.col("at"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
-        left, right = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = now.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        now, turn = stored(moved, "links"), turn + 1
-    return edges.sparkSession.createDataFrame([], "node bigint, comp bigint") if comp is None else comp
+        step = stored(least.select(F.col("a").alias("node"), F.least("m", rank("a", turn))["n"].alias("to")), "joined", 2 * left)
+        steps.append(step)
+        one, two = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = now.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        now = stored(moved, "links", left)
+        left = now.count()
+    if not steps:
+        return edges.sparkSession.createDataFrame([], "node bigint, comp bigint")
+    comp = steps[0].withColumnRenamed("to", "comp")
+    for k, step in enumerate(steps[1:], 1):
+        comp = comp.join(step.withColumnRenamed("node", "at"), F.col("comp") == F.col("at"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        if k % 6 == 0:
+            comp = stored(comp, "components")
+    return comp
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     each = stored(fingerprints(docs, words), "simhash-fingerprints")
-    first = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    n = each.count()
+    first = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct", n)
     comp = components(links(first.select("fp"), radius))
     joined = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("comp", "fp").alias("root"))
-    joined = stored(joined, "simhash-roots")
+    joined = stored(joined, "simhash-roots", n)
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = stored(joined.join(lowest, "root").select("fp", "component_id"), "simhash-components")
+    of = stored(joined.join(lowest, "root").select("fp", "component_id"), "simhash-components", n)
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- groups of texts alike in their shingles, for dropping near-duplicates ---
 
-BANDS, ROWS = 16, 3
+BANDS, ROWS, SLICE = 16, 3, 4096
 #: Two texts that share 0.8 of their five-word shingles differ in at most about 16 of 64 bits; what the pivots and this bound discard is far less alike.
-ALIKE_RADIUS = 24
+ALIKE_RADIUS = 20
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -193,6 +203,29 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, bands array<bigint>")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts (node, text) have the similarity; a's shingles are kept while a stays the same.
+
+    Pairs and texts both grow with the input, so they meet by sorting, at every size.
+    """
+    tb, ta = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    both = pairs.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, left = a, np.unique(shingle_hashes(ta.as_py(), words))
+                right = np.unique(shingle_hashes(tb.as_py(), words))
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(shared >= similarity * (len(left) + len(right) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(both.select("a", "b", "ta", "tb"), compare, "a bigint, b bigint")
+
+
 def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = CAP, anchors: int = 4) -> DataFrame:
     """doc_id, keep_id: documents whose word sequences are equal, or whose sets of shingles have a Jaccard similarity of
     ``similarity`` or more (directly or over others), share a keep_id, the smallest of their doc_ids.
@@ -201,10 +234,11 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = C
     decides. In a band's bucket of more than ``cap`` texts each meets ``anchors`` of them and its successor instead of all.
     """
     each = stored(sketches(docs, words), "alike-sketches")
-    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike-distinct")
+    n = each.count()
+    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike-distinct", n)
     met = first.where(F.col("node").isNotNull()).select("node", "fp", F.posexplode("bands").alias("k", "v"))
-    size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "alike-buckets")
-    met = stored(met.join(size, ["k", "v"]), "alike-met")
+    size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "alike-buckets", n * BANDS // 2)
+    met = stored(met.join(size, ["k", "v"]), "alike-met", n * BANDS)
     small, large = met.where(F.col("n") <= cap), met.where(F.col("n") > cap)
 
     def side(df: DataFrame, s: str) -> DataFrame:
@@ -215,38 +249,40 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = C
     chosen = large.groupBy("k", "v").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "fp")).alias(f"m{i}") for i in range(anchors)))
     chosen = chosen.select("k", "v", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"m{i}.node").alias("a"), F.col(f"m{i}.fp").alias("fa")) for i in range(anchors))))).alias("m")).select("k", "v", "m.*")
     star = side(large, "b").join(chosen, ["k", "v"]).where("a <> b").select("a", "b", "fa", "fb")
-    order = Window.partitionBy("k", "v", F.shiftright("fp", 52)).orderBy("fp", "node")
+    slices = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / SLICE))  # no window holds much more than SLICE rows
+    order = Window.partitionBy("k", "v", slices).orderBy("fp", "node")
     chain = large.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.lead("node").over(order).alias("b"), F.lead("fp").over(order).alias("fb")).where("b is not null").select("a", "b", "fa", "fb")
-    near = pairs.union(star).union(chain).where(~far_apart(pivot_row(F.col("fa")), pivot_row(F.col("fb")), ALIKE_RADIUS) & (distance(F.col("fa"), F.col("fb")) <= ALIKE_RADIUS))
-    near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "alike-pairs")
+    far = far_apart(pivot_row(F.col("fa")), pivot_row(F.col("fb")), ALIKE_RADIUS)
+    near = pairs.union(star).union(chain).where(~far & (distance(F.col("fa"), F.col("fb")) <= ALIKE_RADIUS))
+    near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance(F.col("fa"), F.col("fb")).alias("d")).distinct(), "alike-pairs", n * BANDS)
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of(docs).alias("text")).join(wanted, "node", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "s": pa.array(got, pa.list_(pa.int64()))})
-
-    shingles = stored(map_rows(texts, sets, "node bigint, s array<bigint>").dropDuplicates(["node"]), "alike-shingles")
-    both = near.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    sure = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    comp = components(sure)
-    roots = stored(first.join(comp, "node", "left").select("cls", "node", F.coalesce("comp", "node").alias("root")), "alike-roots")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of(docs).alias("text")).join(wanted.hint("merge"), "node", "left_semi")
+    texts = stored(texts.dropDuplicates(["node"]), "alike-texts")
+    # each text's nearest partner first; what those links join needs no further look, and all other pairs are verified after them
+    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    sure = stored(verified(nearest, texts, words, similarity), "alike-nearest")
+    part = components(sure)
+    left, right = part.select(F.col("node").alias("a"), F.col("comp").alias("ca")), part.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    rest = near.select("a", "b").join(left, "a", "left").join(right, "b", "left").where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True)))
+    rest = rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    more = stored(verified(rest, texts, words, similarity), "alike-rest")
+    comp = components(sure.union(more))
+    roots = stored(first.join(comp, "node", "left").select("cls", "node", F.coalesce("comp", "node").alias("root")), "alike-roots", n)
     lowest = roots.groupBy("root").agg(F.min("node").alias("keep_id"))
-    of = stored(roots.join(lowest, "root", "left").select("cls", "keep_id"), "alike-kept")
+    of = stored(roots.join(lowest, "root", "left").select("cls", "keep_id"), "alike-kept", n)
     return each.join(of, "cls").select("doc_id", "keep_id")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows that repeat that id, one. All columns are kept."""
+    """One document of each group stays, the one with the smallest doc_id; of rows that repeat that id, one. Rows without a doc_id stay. All columns are kept."""
     groups = alike(docs, words, similarity)
-    kept = stored(groups.where((F.col("doc_id") == F.col("keep_id")) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "alike-ids")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    out = docs.join(kept.select(F.col("doc_id").alias("kept_id"), "n"), same, "left_semi")
+    kept = stored(groups.where((F.col("doc_id") == F.col("keep_id")) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "alike-ids", docs.count())
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id"))
+    out = docs.join(kept.select(F.col("doc_id").alias("_kept_doc_id"), "n").hint("merge"), same, "left_semi")  # as many ids as documents: never broadcast
     if kept.where("n > 1").isEmpty():
         return out
-    many = kept.where("n > 1").select(F.col("doc_id").alias("kept_id"))
+    many = kept.where("n > 1").select(F.col("doc_id").alias("_kept_doc_id"))
     order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
     once = out.join(many, same, "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1 or doc_id is null").drop("_k")
     return out.join(many, same, "left_anti").unionByName(once)
