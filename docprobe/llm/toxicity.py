@@ -6,7 +6,7 @@ field (word, beginnings of 3 to 8 letters, neighbours; label transitions) is the
 forward-backward marginals give each token's probability; their maximum, sum and density enter a
 logistic score, and runs of tokens with a marginal of 0.5 or more are the offending offsets.
 
-Training uses a bounded sample (``rows_per_class`` labelled rows of each class, picked by a hash of the id, never from the held-out
+Training uses a bounded sample (``rows_per_class`` toxic labelled rows and twice as many clean ones, picked by a hash of the id, never from the held-out
 fold). Everything else covers all rows, whole, in one narrow pass. Sentences are the chains; all sentences of a batch run through
 forward-backward at once, grouped by length.
 
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +55,23 @@ def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most:
     A feature counts once for each pair of neighbours it occurs between: copies of one text repeat their words between the same
     neighbours, so they do not pass for evidence.
     """
-    where: dict[str, list[int]] = {}
-    clean: Counter[str] = Counter()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    words = [[w for w in TOKEN.findall(t.lower()) if w not in ENDS] for t in texts]
-    for i, own in enumerate(words):
-        seen = {f for w in set(own) for f in _features(w)}
-        if toxic[i]:
-            for f in seen:
-                where.setdefault(f, []).append(i)
-        else:
-            clean.update(seen)
     floor = max(min_docs, 0.01 * n1)
+    words = [[intern(w) for w in TOKEN.findall(t.lower()) if w not in ENDS] for t in texts]  # one object a word: the driver's memory is small
+    held = lambda i: {f for w in set(words[i]) for f in _features(w)}
+    # most features are rare: a table of counts by hash sieves them out before any is kept by name
+    sieve, mask = np.zeros(1 << 22, np.int32), (1 << 22) - 1
+    for i in np.flatnonzero(toxic):
+        sieve[np.unique(np.fromiter((hash(f) & mask for f in held(i)), np.int64))] += 1
+    where: dict[str, array] = {}
+    for i in np.flatnonzero(toxic):
+        for f in held(i):
+            if sieve[hash(f) & mask] >= floor:
+                where.setdefault(f, array("i")).append(i)
+    where = {f: d for f, d in where.items() if len(d) >= floor}
+    clean: Counter[str] = Counter()
+    for i in np.flatnonzero(~toxic):
+        clean.update(f for f in held(i) if f in where)
     good = {f: set(d) for f, d in where.items() if len(d) >= floor and len(d) / n1 >= 25 * (clean[f] + 0.02) / n0}
     around: dict[str, set[tuple[str, str]]] = {f: set() for f in good}
     for i in np.flatnonzero(toxic):
@@ -175,7 +182,7 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     marks = toxic_features(texts, toxic)
     sentences, labels, plain = [], [], []
     for text, bad in zip(texts, toxic):
-        for s in _sentences(TOKEN.findall(text.lower())):
+        for s in _sentences(list(map(intern, TOKEN.findall(text.lower())))):
             y = [int(bad and any(f in marks for f in _features(w))) for w in s]
             if any(y):
                 sentences.append(s)
@@ -262,12 +269,12 @@ def fit_score(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2_000) -> Field:
-    """From a bounded sample: at most about ``rows_per_class`` labelled rows of each class, outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500) -> Field:
+    """From a bounded sample: at most about ``rows_per_class`` toxic labelled rows and twice as many clean ones, outside the held-out fold."""
     rank = hash01(F.col("doc_id"), F.lit("toxicity sample"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {t: min(1.0, rows_per_class / c) for t, c in n.items()}
+    share = {t: min(1.0, rows_per_class * (1 if t == 1 else 2) / c) for t, c in n.items()}
     if not n.get(1) or not n.get(0):
         return Field()
     sample = known.where(rank <= F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
@@ -300,7 +307,7 @@ def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[tuple[in
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows_per_class: int = 2_000, field: Field | None = None, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows_per_class: int = 1_500, field: Field | None = None, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start:end, comma-joined); with ``keep`` the rows of docs below the threshold."""
     model = train(docs, labels, rows_per_class) if field is None else field
     at = docs.columns.index("text")
