@@ -8,8 +8,8 @@ needs no correction along the grid, the Bonferroni factor covers strata and rule
 among the rules, so that with probability 1 - alpha each stratum's false rejections (beyond the base rule) stay under ``risk``. A
 stratum with too few labels gets no cut-off, and rejects nothing.
 
-All of it is DataFrame operations: two passes over the texts (labelled rows, then all rows), and shuffles only of
-counts per stratum. Distinct strata are languages; their cut-off table is broadcast after its size is checked.
+All of it is DataFrame operations: one narrow pass over the texts, whose counts are stored; only they, never texts, meet the labels in
+a shuffle. Distinct strata are languages; their cut-offs become a map in the plan once their number is checked.
 
 Defined results: null text has no words (base_failed, not kept); null language is a stratum of its own; labels that are null, or on
 unknown documents, are not used; a document labelled twice counts for each label row; repeated rows and null doc_ids are kept; other columns are ignored.
@@ -22,14 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import text_of
+from docprobe.llm.common import stored, text_of
 
-#: rule -> (numerator, denominator, cut-offs from lenient to strict); a document fails above the cut-off.
+#: rule -> (numerator, denominator, cut-offs from lenient to strict); a document fails above the cut-off. Grids end where
+#: stricter cut-offs would only gain on rare styles of writing that a language's labels may not show.
 RULES = {
-    "symbols": ("n_symbols", "word_chars", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)),
-    "dup_lines": ("n_dup_lines", "n_lines", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3)),
-    "single_letters": ("n_single", "n_words", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
-    "repeat_words": ("n_repeat_words", "n_words", (0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3)),
+    "symbols": ("n_symbols", "word_chars", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05)),
+    "dup_lines": ("n_dup_lines", "n_lines", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5)),
+    "single_letters": ("n_single", "n_words", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25)),
+    "repeat_words": ("n_repeat_words", "n_words", (0.5, 0.48, 0.46, 0.44, 0.42, 0.4)),
 }
 MAX_STRATA = 10_000
 #: Terms of the binomial tail that are summed one by one; what lies below is bounded by a geometric series.
@@ -39,30 +40,32 @@ EXACT_TERMS = 4000
 def features(docs: DataFrame, *keep: str) -> DataFrame:
     """keep columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_single.
 
-    Each array is a column of its own before a higher-order function reads it; windows of three words are compared
-    by 64-bit hashes first, and only texts with a repeated hash sort (hash, position) pairs. Two different windows of one text share a hash
+    Each array is a column of its own before a higher-order function reads it. A window of three words is known by a
+    64-bit mix of their hashes; only texts in which one repeats sort (hash, position) pairs. Two different windows of one text share a mix
     with probability under 1e-10 even at 50,000 words.
     """
-    spaced = F.translate("text", "\t\n\x0b\x0c\r", " " * 5)
+    blank = " \t\n\x0b\x0c\r"
     t = docs.select(*keep, text_of(docs).alias("text"))
-    t = t.select(*keep, "text", F.filter(F.split(spaced, " "), lambda w: w != "").alias("w"), F.filter(F.split("text", "\n"), lambda s: F.translate(s, " \t\n\x0b\x0c\r", "") != "").alias("lines"))
-    n = F.size("w")
+    core = F.btrim("text", F.lit(blank))
+    t = t.select(*keep, "text", F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, f"[{blank}]+")).alias("w"), F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(blank)) != "").alias("lines"))
     t = t.select(
         *keep,
-        n.cast("bigint").alias("n_words"),
+        F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size("lines").cast("bigint").alias("n_lines"),
         F.size(F.filter("w", lambda w: F.length(w) == 1)).cast("bigint").alias("n_single"),
-        F.when(n >= 3, F.zip_with(F.zip_with("w", F.slice("w", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice("w", 3, n), lambda p, c: F.when(c.isNotNull(), F.xxhash64(p["a"], p["b"], c)))).alias("h"),
+        F.transform("w", lambda w: F.xxhash64(w)).alias("x"),
     )
-    t = t.withColumn("h", F.coalesce(F.filter("h", lambda x: x.isNotNull()), F.array().cast("array<bigint>")))
+    n = F.size("x")
+    mixed = F.zip_with(F.zip_with("x", F.slice("x", 2, n), lambda a, b: a.bitwiseXOR(F.shiftleft(b, 1))), F.slice("x", 3, n), lambda p, c: p.bitwiseXOR(F.shiftleft(c, 2)))
+    t = t.withColumn("h", F.slice(mixed, F.lit(1), F.greatest(n - 2, F.lit(0)))).drop("x")
     t = t.withColumn("some", F.size("h") > F.size(F.array_distinct("h")))
-    t = t.withColumn("s", F.when(F.col("some"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    t = t.withColumn("s", F.when(F.col("some"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     before, after = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), "s"), F.slice("s", 2, F.size("s"))
     t = t.withColumn("z", F.zip_with(F.zip_with("s", after, lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("same"))), before, lambda a, b: F.when(a["same"] | (a["h"] == b["h"]), a["i"])))
-    t = t.withColumn("z", F.array_sort(F.filter("z", lambda x: x.isNotNull())))
+    t = t.withColumn("z", F.sort_array(F.filter("z", lambda x: x.isNotNull())))
     last = F.struct(F.lit(-3).alias("p"), F.lit(0).alias("n"))
     covered = F.aggregate("z", last, lambda acc, p: F.struct(p.alias("p"), (acc["n"] + F.least(F.lit(3), p - acc["p"])).alias("n")), lambda acc: acc["n"])
     return t.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "n_lines", "n_single")
@@ -102,14 +105,23 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(good: DataFrame, risk: float, alpha: float) -> DataFrame:
     """stratum, rule, cutoff, n, false_rejections of the strictest cut-off that holds, one row for each pair that has one.
 
-    ``good``: stratum and the counts of ``features`` of labelled good documents that pass the base rule.
+    ``good``: stratum and the counts of ``features`` of labelled good documents, from a stored table; those that fail the base rule are passed over.
     """
-    flags = [F.sum(F.when(ratio(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)]
-    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *flags)
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)))
-    long = counts.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*").join(F.broadcast(strata))
-    held = long.withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= alpha / (F.col("strata") * len(RULES)))
+
+    # a document exceeds all cut-offs of a grid from some place m on: counts by (stratum, rule, m) are all that is needed
+    def place(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda c: ratio(rule) <= c))
+
+    places = [F.struct(F.lit(r).alias("rule"), place(r).alias("m")) for r in RULES]
+    rows = good.where(~base_failed()).select("stratum", F.explode(F.array(*places)).alias("p")).select("stratum", "p.*")
+    hist = rows.groupBy("stratum", "rule", "m").agg(F.count(F.lit(1)).alias("c"))
+    per = stored(hist.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("m", "c")).alias("hist")), "quality-counts", len(RULES) * MAX_STRATA)
+    strata = max(per.count() // len(RULES), 1)
+    grids = F.create_map(*(x for r, (_, _, grid) in RULES.items() for x in (F.lit(r), F.array(*(F.lit(float(c)) for c in grid)))))
+    long = per.withColumn("grid", F.element_at(grids, F.col("rule"))).select("stratum", "rule", "n", "hist", F.posexplode("grid").alias("i", "cutoff"))
+    k = F.aggregate(F.filter("hist", lambda h: h["m"] <= F.col("i")), F.lit(0).cast("bigint"), lambda a, h: a + h["c"])
+    long = long.select("stratum", "rule", "n", "i", "cutoff", k.alias("k"))
+    held = long.withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= alpha / (strata * len(RULES)))
     first_fail = F.coalesce(F.min(F.when(~F.col("holds"), F.col("i"))), F.lit(1 << 20))
     ends = held.groupBy("stratum", "rule").agg(first_fail.alias("end"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "cutoff", "k"))).alias("grid"))
     best = F.try_element_at("grid", F.least(F.col("end"), F.size("grid")))
@@ -119,9 +131,9 @@ def cutoffs(good: DataFrame, risk: float, alpha: float) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed, kept, failed_rules. labels: doc_id, quality (1: good)."""
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("\0null")).alias("stratum")
+    f = stored(features(docs.withColumn("stratum", stratum), "doc_id", "stratum"), "quality-features")
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("label_id"))
-    known = docs.select("doc_id", "text", "lang").join(good, F.col("doc_id") == F.col("label_id"))
-    learnt = cutoffs(features(known.withColumn("stratum", stratum), "stratum").where(~base_failed()), risk, alpha)
+    learnt = cutoffs(f.join(good, F.col("doc_id") == F.col("label_id")), risk, alpha)
     found = learnt.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")).limit(MAX_STRATA + 1).collect()
     if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata: use a coarser stratum")
@@ -131,7 +143,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: f
         pairs = [(s, c[rule]) for s, c in sorted(table.items()) if rule in c]
         return F.try_element_at(F.create_map(*(F.lit(x) for p in pairs for x in p)), F.col("stratum")) if pairs else F.lit(None).cast("double")
 
-    f = features(docs.withColumn("stratum", stratum), "doc_id", "stratum")
     failed = F.filter(F.array(*(F.when(ratio(r) > cut(r), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
     out = f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), failed.alias("failed"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed_rules"))
