@@ -21,6 +21,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from sys import intern
 
 import numpy as np
@@ -97,37 +98,46 @@ class Field:
 
     def __init__(self) -> None:
         self.own: dict[str, float] = {}
+        self.begin: dict[str, float] = {}
         self.left: dict[str, float] = {}
         self.right: dict[str, float] = {}
         self.bias = -4.0
         self.trans = np.zeros((2, 2))
         self.score = np.array([-20.0, 0.0, 0.0, 0.0])
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((0, 3))
-
-    def unary(self, words: list[str]) -> np.ndarray:
-        """Columns: the word's own log-odds, what it gives its right and its left neighbour."""
-        if len(self.index) > 100_000:
-            self.index, self.table = {}, np.zeros((0, 3))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words; row 0 stands for the ends of sentences."""
+        self.index: dict[str, int] = dict.fromkeys(ENDS, 0)
+        self.table = np.zeros((1, 3))
+
+    def _row(self, w: str) -> tuple[float, float, float]:
+        begin, own = self.begin, self.bias + self.own.get(w, 0.0)
+        for k in range(LENGTHS[0], min(len(w) - 1, LENGTHS[-1]) + 1):
+            own += begin.get(w[:k], 0.0)
+        return own, self.left.get(w, 0.0), self.right.get(w, 0.0)
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Rows of ``table`` (own log-odds, what the word gives its right and its left neighbour) for the tokens."""
+        if len(self.index) > 200_000:
+            self.forget()
         index = self.index
-        ids = list(map(index.get, words))
+        ids = list(map(index.get, tokens))
         if None in ids:
-            new = list({w for w, i in zip(words, ids) if i is None})
-            own, left, right = self.own, self.left, self.right
-            rows = [(self.bias + sum(own.get(f, 0.0) for f in _features(w)), left.get(w, 0.0), right.get(w, 0.0)) for w in new]
+            new = list({w for w, i in zip(tokens, ids) if i is None})
             index.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, np.array(rows)])
-            ids = list(map(index.__getitem__, words))
-        return self.table[np.array(ids, np.int64)]
+            self.table = np.concatenate([self.table, np.array([self._row(w) for w in new])])
+            ids = list(map(index.__getitem__, tokens))
+        return np.array(ids, np.int64)
 
-    def marginals(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
-        """P(label 1) of each token; words: those of all sentences, one after another."""
-        if not len(words):
+    def marginals(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """P(label 1) of each token; rows: those of all sentences, one after another."""
+        if not len(rows):
             return np.zeros(0)
-        u = self.unary(words)
+        u = self.table[rows]
         odds = u[:, 0].copy()
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
-        inner = np.ones(len(words), bool)
+        inner = np.ones(len(rows), bool)
         inner[begins] = False
         at = np.flatnonzero(inner)
         odds[at] += u[at - 1, 1]
@@ -234,23 +244,23 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
         trans -= 0.2 * rate * grads[4] / np.sqrt(sums[4])
         w[size] = left[size] = right[size] = 0.0
     strong = lambda v: {f: float(v[i]) for f, i in own.items() if abs(v[i]) > 1e-3}
-    field.own, field.left, field.right, field.bias, field.trans = strong(w), strong(left), strong(right), float(bias), trans
+    weights = strong(w)
+    field.own = {f: v for f, v in weights.items() if not f.endswith("*")}
+    field.begin = {f[:-1]: v for f, v in weights.items() if f.endswith("*")}
+    field.left, field.right, field.bias, field.trans = strong(left), strong(right), float(bias), trans
     return field
 
 
 def summaries(field: Field, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(constant, largest marginal, log of 1 + their sum, root of their mean) of each text, and the marginals of its tokens."""
-    words: list[str] = []
-    sizes: list[int] = []
-    tokens = []
-    for text in texts:
-        n = 0
-        for s in _sentences(TOKEN.findall(text.lower())):
-            words += s
-            sizes.append(len(s))
-            n += len(s)
-        tokens.append(n)
-    p = field.marginals(words, np.array(sizes, np.int64))
+    each_tokens = [TOKEN.findall(t.lower()) for t in texts]
+    rows = field.rows(list(chain.from_iterable(each_tokens)))
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in each_tokens])
+    real = rows != 0
+    sentence = (np.cumsum(~real) + owner)[real]  # grows at every end and at every new text
+    sizes = np.diff(np.r_[0, np.flatnonzero(np.diff(sentence)) + 1, len(sentence)]) if len(sentence) else np.zeros(0, np.int64)
+    tokens = np.bincount(owner[real], minlength=len(texts)) if len(texts) else []
+    p = field.marginals(rows[real], sizes)
     p = np.where(p < 1e-3, 0.0, p)
     each = np.split(p, np.cumsum(tokens)[:-1]) if texts else []
     return np.array([[1.0, m.max(initial=0.0), math.log1p(m.sum()), math.sqrt(m.mean())] if len(m) else [1.0, 0.0, 0.0, 0.0] for m in each]).reshape(-1, 4), each
@@ -286,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500) -> Fi
     field = train_field(texts, toxic)
     x = np.concatenate([summaries(field, texts[a : a + 200])[0] for a in range(0, len(texts), 200)])
     field.score = fit_score(x, toxic, n[1] / (n[1] + n[0]))
-    field.index, field.table = {}, np.zeros((0, 3))
+    field.forget()
     return field
 
 
