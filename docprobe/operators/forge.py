@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprobe.functions.codec import CLEAN_REASON, label_to_field, reason_for
-from docprobe.functions.geometry import box_height, box_width, clamp_box, overlap
+from docprobe.functions.geometry import box_height, box_width, clamp_box
 from docprobe.operators.sampling import below, between, order_key, unit
 
 # --- fixed values ---
@@ -76,10 +76,11 @@ def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Colu
         y = between(seed, "free:y", lo, F.greatest(lo, h - patch_h - margin), key, k)
         return F.array(x, y, (x + patch_w).cast("int"), (y + patch_h).cast("int"))
 
-    def grown(b: Column) -> Column:
-        return F.array(*(F.element_at(b, c + 1) + (margin if c > 1 else -margin) for c in range(4)))
+    def touches(b: Column, o: Column) -> Column:
+        at = lambda box, c: F.element_at(box, c)
+        return (at(b, 3) + margin > at(o, 1)) & (at(o, 3) > at(b, 1) - margin) & (at(b, 4) + margin > at(o, 2)) & (at(o, 4) > at(b, 2) - margin)
 
-    free = F.filter(F.transform(i, place), lambda b: ~F.exists(boxes, lambda o: overlap(grown(b), o["box_pixel"])))
+    free = F.filter(F.transform(i, place), lambda b: ~F.exists(boxes, lambda o: touches(b, o["box_pixel"])))
     return F.when((patch_w < w) & (patch_h < h), F.get(free, F.lit(0)))
 
 

@@ -62,6 +62,11 @@ sp AS (SELECT st.doc_id, st.source, {_CLAMPED.format('')}, coalesce(nullif(label
 _POOL_ALL, _SPLICE_ALL = _pool("source", "b"), _splice("JOIN cnt USING (source)")
 
 
+def _made(df, op):
+    """doc_id and the plan's fields where there is one. A filter on the plan would be pushed below it and compute it again; a generator is not."""
+    return df.select("doc_id", F.explode(F.filter(F.array(op), lambda m: m.isNotNull())).alias("made_plan")).select("doc_id", "made_plan.*")
+
+
 def _pool_pages(spark, sf):
     p = views.pages(spark, sf)
     return p, forge.harvest_donors(p, split=None)
@@ -93,33 +98,33 @@ def q_pick_box(spark, sf):
 
 @query(f"WITH {_B}, {SWAP} SELECT doc_id, g1, g2, g3, g4, field, sx, patch_w, px, py FROM sw")
 def q_digit_swap_geometry(spark, sf):
-    got = forge.plan_digit_swap(views.pages(spark, sf)).where("digit_swap is not null").select("doc_id", "digit_swap.*")
+    got = _made(forge.plan_digit_swap(views.pages(spark, sf)), "digit_swap")
     return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), "field", F.element_at("source_box", 1).alias("sx"), "patch_w", *_flat("paste", "px", "py")[:2])
 
 
 @query(f"WITH {_B}, {MOVE} SELECT doc_id, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM fr")
 def q_free_box(spark, sf):
-    got = forge.plan_copy_move(views.pages(spark, sf)).where("copy_move is not null").select("doc_id", "copy_move.paste", "copy_move.patch_w", "copy_move.patch_h")
+    got = _made(forge.plan_copy_move(views.pages(spark, sf)), "copy_move")
     x, y = F.element_at("paste", 1), F.element_at("paste", 2)
     return got.select("doc_id", x.alias("x1"), y.alias("y1"), (x + F.col("patch_w")).alias("x2"), (y + F.col("patch_h")).alias("y2"))
 
 
 @query(f"WITH {_B}, {MOVE} SELECT doc_id, g1, g2, g3, g4, field FROM mv")
 def q_copy_move_geometry(spark, sf):
-    got = forge.plan_copy_move(views.pages(spark, sf)).where("copy_move is not null").select("doc_id", "copy_move.*")
+    got = _made(forge.plan_copy_move(views.pages(spark, sf)), "copy_move")
     return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), "field")
 
 
 @query(f"WITH {_B}, {_POOL_ALL}, {_SPLICE_ALL} SELECT doc_id, g1, g2, g3, g4, field, donor_idx FROM sp")
 def q_splice_geometry(spark, sf):
     p, pool = _pool_pages(spark, sf)
-    got = forge.plan_splice(forge.with_donor_counts(p, pool, split=None)).where("splice is not null").select("doc_id", "splice.*")
+    got = _made(forge.plan_splice(forge.with_donor_counts(p, pool, split=None)), "splice")
     return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), "field", "donor_idx")
 
 
 @query(f"WITH {_B}, {_pick('b', 'ghost:target', 'x2 - x1 >= 10 AND y2 - y1 >= 10', 't')} SELECT doc_id, {_CLAMPED.format('')}, (x1 + {_between('ghost:x', '1', '4', 'doc_id')})::INT AS px, (y1 + {_between('ghost:y', '1', '4', 'doc_id')})::INT AS py FROM t")
 def q_recompress_ghost_geometry(spark, sf):
-    got = forge.plan_recompress_ghost(views.pages(spark, sf)).where("recompress_ghost is not null").select("doc_id", "recompress_ghost.*")
+    got = _made(forge.plan_recompress_ghost(views.pages(spark, sf)), "recompress_ghost")
     return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), *_flat("paste", "px", "py")[:2])
 
 
