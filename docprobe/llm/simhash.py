@@ -173,12 +173,14 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 # --- groups of texts alike in their shingles, for dropping near-duplicates ---
 
 BANDS, ROWS, SLICE = 16, 3, 4096
+#: A block of a crowded bucket holds about so many texts and so many distinct shingles at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Two texts that share 0.8 of their five-word shingles differ in at most about 16 of 64 bits; what the pivots and this bound discard is far less alike.
 ALIKE_RADIUS = 20
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, cls (hash of the word sequence), fp, bands (each the hash of three least shingle hashes)."""
+    """doc_id, cls (hash of the word sequence), fp, m (number of distinct shingles), bands (each the hash of three least shingle hashes)."""
     rng = np.random.default_rng(20)
     mult = rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -187,20 +189,22 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            cls, fps, bands = [], [], []
+            cls, fps, sizes, bands = [], [], [], []
             for cell in batch.column(1):
                 text = cell.as_py()
                 h = shingle_hashes(text, words)
                 cls.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
                 fps.append(fingerprint(h))
+                h = np.unique(h)
+                sizes.append(len(h))
                 low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
                 for a in range(0, len(h), 4096):
                     mixed = h[a : a + 4096, None] * mult[None, :] + add[None, :]
                     low = np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(0))
                 bands.append([_signed(xxhash.xxh64_intdigest(r.tobytes())) for r in low.reshape(BANDS, ROWS)])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cls": pa.array(cls), "fp": pa.array(fps, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cls": pa.array(cls), "fp": pa.array(fps, pa.int64()), "m": pa.array(sizes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, bands array<bigint>")
+    return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, m bigint, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -226,17 +230,83 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return map_rows(both.select("a", "b", "ta", "tb"), compare, "a bigint, b bigint")
 
 
+def links_in_block(nodes: list, parts: list, second: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of similarity or more that join all texts joined by such pairs, of different parts, of the first side and the second, or of the first
+    side alone if the second is empty. Every pair is compared; a pair that earlier links have joined gives no further one.
+
+    A text's shingles are marked, and the marks under each other text's shingles counted, for all of them at once.
+    """
+    order = np.argsort(second, kind="stable")
+    nodes, sets, first = [nodes[i] for i in order], [sets[i] for i in order], int((~second).sum())
+    label = np.unique([parts[i] for i in order], return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    distinct, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count[ids] > 1  # a shingle of one text alone is shared with none
+    ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(size)])]
+    ids, mark, out = ids[many], np.zeros(len(distinct), bool), []
+    for a in range(first):
+        lo = first if first < len(nodes) else a + 1
+        mine = ids[ends[a] : ends[a + 1]]
+        mark[mine] = True
+        hits = np.concatenate([[0], np.cumsum(mark[ids[ends[lo] :]], dtype=np.int64)])[ends[lo:] - ends[lo]]
+        mark[mine] = False
+        shared = np.diff(hits)
+        for b in lo + np.flatnonzero((shared >= similarity * (size[a] + size[lo:] - shared)) & (label[lo:] != label[a])):
+            if label[b] != label[a]:
+                out.append((nodes[a], nodes[b]))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def crowded_links(large: DataFrame, part: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: links between the parts (node, comp; a node without a row is its own) that share a crowded bucket (k, v, node, m), none left out.
+
+    Buckets of one part need no look. The others are dealt into blocks by hashing, a large part into blocks of its own, and each two blocks
+    meet whole, except two of one part: the work is quadratic in a bucket's texts, but in many tasks of bounded size.
+    """
+    at = large.select("k", "v", "node", "m").join(part, "node", "left").select("k", "v", "node", "m", F.coalesce("comp", "node").alias("comp"))
+    at = stored(at, "alike-crowd")
+    need = lambda c, w: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(w) / BLOCK_SHINGLES), F.lit(1))
+    sizes = at.groupBy("k", "v", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("w")).withColumn("own", (2 * F.col("c") > BLOCK) | (2 * F.col("w") > BLOCK_SHINGLES))
+    pool = sizes.groupBy("k", "v").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(~F.col("own"), F.col("c"))).alias("pc"), F.sum(F.when(~F.col("own"), F.col("w"))).alias("pw")).where("parts > 1")
+    sizes = sizes.join(pool, ["k", "v"]).select("k", "v", "comp", "own", F.when(F.col("own"), need("c", "w")).otherwise(need("pc", "pw")).alias("slots"))
+    slot = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("comp")), F.lit(9)), F.col("slots"))
+    at = at.join(sizes, ["k", "v", "comp"]).select("k", "v", "node", "comp", F.when(F.col("own"), F.col("comp")).alias("of"), F.concat_ws(":", F.when(F.col("own"), F.col("comp").cast("string")).otherwise("pool"), slot).alias("block"))
+    at = stored(at, "alike-blocks")
+    blocks = at.groupBy("k", "v", "block").agg(F.first("of").alias("of"))
+    one, two = blocks.select("k", "v", F.col("block").alias("i"), F.col("of").alias("oi")), blocks.select("k", "v", F.col("block").alias("j"), F.col("of").alias("oj"))
+    duels = one.join(two, ["k", "v"]).where((F.col("i") <= F.col("j")) & F.coalesce(F.col("oi") != F.col("oj"), F.lit(True))).select("k", "v", "i", "j")
+    duels = stored(duels, "alike-duels")
+    sides = duels.select("*", F.col("i").alias("block"), F.lit(False).alias("second")).union(duels.where("i <> j").select("*", F.col("j").alias("block"), F.lit(True).alias("second")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of(docs).alias("text")).join(at.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s.as_buffer() or b"", np.uint64) for s in table.column("shingles")]
+        got = links_in_block(table.column("node").to_pylist(), table.column("comp").to_pylist(), np.array(table.column("second").to_pylist(), bool), sets, similarity)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+
+    shingles = stored(map_rows(texts, cut, "node bigint, shingles binary"), "alike-shingles")
+    met = sides.join(at.select("k", "v", "block", "node", "comp"), ["k", "v", "block"]).join(shingles.hint("merge"), "node")
+    return met.select("k", "v", "i", "j", "second", "node", "comp", "shingles").groupBy("k", "v", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = CAP, anchors: int = 4) -> DataFrame:
     """doc_id, keep_id: documents whose word sequences are equal, or whose sets of shingles have a Jaccard similarity of
     ``similarity`` or more (directly or over others), share a keep_id, the smallest of their doc_ids.
 
     Distinct word sequences meet where they share a band; pivot rows and fingerprints discard, and the exact similarity of whole texts
-    decides. In a band's bucket of more than ``cap`` texts each meets ``anchors`` of them and its successor instead of all.
+    decides. In a band's bucket of more than ``cap`` texts each first meets ``anchors`` of them and its successor; the parts that this leaves
+    in a bucket are then compared whole.
     """
     each = stored(sketches(docs, words), "alike-sketches")
     n = each.count()
-    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike-distinct", n)
-    met = first.where(F.col("node").isNotNull()).select("node", "fp", F.posexplode("bands").alias("k", "v"))
+    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("bands").alias("bands")), "alike-distinct", n)
+    met = first.where(F.col("node").isNotNull()).select("node", "fp", "m", F.posexplode("bands").alias("k", "v"))
     size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "alike-buckets", n * BANDS // 2)
     met = stored(met.join(size, ["k", "v"]), "alike-met", n * BANDS)
     small, large = met.where(F.col("n") <= cap), met.where(F.col("n") > cap)
@@ -267,7 +337,10 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = C
     rest = near.select("a", "b").join(left, "a", "left").join(right, "b", "left").where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True)))
     rest = rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     more = stored(verified(rest, texts, words, similarity), "alike-rest")
-    comp = components(sure.union(more))
+    found = sure.union(more)
+    if not large.isEmpty():
+        found = found.union(stored(crowded_links(large, components(found), docs, words, similarity), "alike-crowded"))
+    comp = components(found)
     roots = stored(first.join(comp, "node", "left").select("cls", "node", F.coalesce("comp", "node").alias("root")), "alike-roots", n)
     lowest = roots.groupBy("root").agg(F.min("node").alias("keep_id"))
     of = stored(roots.join(lowest, "root", "left").select("cls", "keep_id"), "alike-kept", n)

@@ -243,6 +243,26 @@ def test_alike_against_brute_force(spark, cap):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_alike_finds_the_original_in_crowded_buckets(spark, monkeypatch, block):
+    """Copies are like the original, not like each other: every link of a crowded bucket goes through one text."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    rows, n = [], 0
+    for copies in (90, 200):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for i in range(copies):
+            t = list(base)
+            for p in rng.sample(range(5, 295), 5) if i != 37 else ():
+                t[p] = f"x{rng.randrange(10**6)}"
+            rows.append((n, " ".join(t)))
+            n += 1
+    sets = {d: five(t) for d, t in rows}
+    want = groups([d for d, _ in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.alike(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_without_near_duplicates_edges(odd_docs, no_docs):
     got = simhash.without_near_duplicates(odd_docs)
     assert got.columns == odd_docs.columns and sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.collect()) == [(False, 0), (True, -7), (True, 1), (True, 2), (True, 4), (True, 6)]
