@@ -175,12 +175,15 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 BANDS, ROWS, SLICE = 16, 3, 4096
 #: A block of a crowded bucket holds about so many texts and so many distinct shingles at most.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
-#: Two texts that share 0.8 of their five-word shingles differ in at most about 16 of 64 bits; what the pivots and this bound discard is far less alike.
-ALIKE_RADIUS = 20
+#: Bits of the map of a text's distinct shingles, in 64-bit words.
+MAP_WORDS = 8
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, cls (hash of the word sequence), fp, m (number of distinct shingles), bands (each the hash of three least shingle hashes)."""
+    """doc_id, cls (hash of the word sequence), fp, m (number of distinct shingles), bits (map of distinct shingles), bands (each the hash of three least shingle hashes).
+
+    Each distinct shingle sets one bit of the map, so two maps differ in at most as many bits as the sets differ in shingles.
+    """
     rng = np.random.default_rng(20)
     mult = rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -189,7 +192,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            cls, fps, sizes, bands = [], [], [], []
+            cls, fps, sizes, maps, bands = [], [], [], [], []
             for cell in batch.column(1):
                 text = cell.as_py()
                 h = shingle_hashes(text, words)
@@ -197,14 +200,26 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(fingerprint(h))
                 h = np.unique(h)
                 sizes.append(len(h))
+                bits = np.zeros(64 * MAP_WORDS, np.uint8)
+                bits[(h % np.uint64(len(bits))).astype(np.int64)] = 1
+                maps.append(np.packbits(bits, bitorder="little").view(np.int64))
                 low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
                 for a in range(0, len(h), 4096):
                     mixed = h[a : a + 4096, None] * mult[None, :] + add[None, :]
                     low = np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(0))
                 bands.append([_signed(xxhash.xxh64_intdigest(r.tobytes())) for r in low.reshape(BANDS, ROWS)])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cls": pa.array(cls), "fp": pa.array(fps, pa.int64()), "m": pa.array(sizes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cls": pa.array(cls), "fp": pa.array(fps, pa.int64()), "m": pa.array(sizes, pa.int64()), "bits": pa.array(maps, pa.list_(pa.int64())), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, m bigint, bits array<bigint>, bands array<bigint>")
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, m bigint, bands array<bigint>")
+
+def may_be_alike(similarity: float, ma: Column, mb: Column, a: Column, b: Column) -> Column:
+    """False only for pairs below the similarity: sets of ma and mb shingles that reach it differ in at most (1 - s) / (1 + s) of ma + mb.
+
+    a, b: arrays of ``MAP_WORDS`` words, maps of the shingles. One shingle of slack stands against rounding.
+    """
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(MAP_WORDS)), F.abs(ma - mb) * 0)
+    return F.greatest(F.abs(ma - mb), differ) <= (ma + mb) * F.lit((1 - similarity) / (1 + similarity)) + 1
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -299,32 +314,31 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = C
     """doc_id, keep_id: documents whose word sequences are equal, or whose sets of shingles have a Jaccard similarity of
     ``similarity`` or more (directly or over others), share a keep_id, the smallest of their doc_ids.
 
-    Distinct word sequences meet where they share a band; pivot rows and fingerprints discard, and the exact similarity of whole texts
-    decides. In a band's bucket of more than ``cap`` texts each first meets ``anchors`` of them and its successor; the parts that this leaves
+    Distinct word sequences meet where they share a band; only pairs that their numbers and maps of distinct shingles prove less alike are
+    discarded, and the exact similarity of whole texts decides. In a band's bucket of more than ``cap`` texts each first meets ``anchors`` of them and its successor; the parts that this leaves
     in a bucket are then compared whole.
     """
     each = stored(sketches(docs, words), "alike-sketches")
     n = each.count()
-    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("bands").alias("bands")), "alike-distinct", n)
-    met = first.where(F.col("node").isNotNull()).select("node", "fp", "m", F.posexplode("bands").alias("k", "v"))
+    first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "alike-distinct", n)
+    met = first.where(F.col("node").isNotNull()).select("node", "fp", "m", "bits", F.posexplode("bands").alias("k", "v"))
     size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "alike-buckets", n * BANDS // 2)
     met = stored(met.join(size, ["k", "v"]), "alike-met", n * BANDS)
     small, large = met.where(F.col("n") <= cap), met.where(F.col("n") > cap)
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("k", "v", F.col("node").alias(s), F.col("fp").alias(f"f{s}"))
+        return df.select("k", "v", F.col("node").alias(s), F.struct("node", "fp", "m", "bits").alias(f"s{s}"))
 
-    pairs = side(small, "a").join(side(small, "b"), ["k", "v"]).where("a < b").select("a", "b", "fa", "fb")
+    pairs = side(small, "a").join(side(small, "b"), ["k", "v"]).where("a < b").select("sa", "sb")
     # crowded buckets: a few anchors (least by hash, found by aggregation alone), and neighbours in slices of the order by fingerprint
-    chosen = large.groupBy("k", "v").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "fp")).alias(f"m{i}") for i in range(anchors)))
-    chosen = chosen.select("k", "v", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"m{i}.node").alias("a"), F.col(f"m{i}.fp").alias("fa")) for i in range(anchors))))).alias("m")).select("k", "v", "m.*")
-    star = side(large, "b").join(chosen, ["k", "v"]).where("a <> b").select("a", "b", "fa", "fb")
+    chosen = large.groupBy("k", "v").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.struct("node", "fp", "m", "bits").alias("s"))).alias(f"m{i}") for i in range(anchors)))
+    chosen = chosen.select("k", "v", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}.s") for i in range(anchors))))).alias("sa"))
+    star = side(large, "b").join(chosen, ["k", "v"]).where("sa.node <> b").select("sa", "sb")
     slices = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / SLICE))  # no window holds much more than SLICE rows
     order = Window.partitionBy("k", "v", slices).orderBy("fp", "node")
-    chain = large.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.lead("node").over(order).alias("b"), F.lead("fp").over(order).alias("fb")).where("b is not null").select("a", "b", "fa", "fb")
-    far = far_apart(pivot_row(F.col("fa")), pivot_row(F.col("fb")), ALIKE_RADIUS)
-    near = pairs.union(star).union(chain).where(~far & (distance(F.col("fa"), F.col("fb")) <= ALIKE_RADIUS))
-    near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance(F.col("fa"), F.col("fb")).alias("d")).distinct(), "alike-pairs", n * BANDS)
+    chain = large.select(F.struct("node", "fp", "m", "bits").alias("sa"), F.lead(F.struct("node", "fp", "m", "bits")).over(order).alias("sb")).where("sb is not null")
+    near = pairs.union(star).union(chain).where(may_be_alike(similarity, F.col("sa.m"), F.col("sb.m"), F.col("sa.bits"), F.col("sb.bits")))
+    near = stored(near.select(F.least("sa.node", "sb.node").alias("a"), F.greatest("sa.node", "sb.node").alias("b"), distance(F.col("sa.fp"), F.col("sb.fp")).alias("d")).distinct(), "alike-pairs", n * BANDS)
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of(docs).alias("text")).join(wanted.hint("merge"), "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "alike-texts")

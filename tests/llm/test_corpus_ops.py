@@ -263,6 +263,18 @@ def test_alike_finds_the_original_in_crowded_buckets(spark, monkeypatch, block):
     assert got == want
 
 
+def test_alike_ignores_how_often_a_passage_repeats(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, *[f"w{rng.randrange(5000)}" for _ in range(12)] * 40]))]
+    sets = {d: five(t) for d, t in rows}
+    want = groups([d for d, _ in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.alike(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and set(got.values()) == {2 * k for k in range(40)}
+
+
 def test_without_near_duplicates_edges(odd_docs, no_docs):
     got = simhash.without_near_duplicates(odd_docs)
     assert got.columns == odd_docs.columns and sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.collect()) == [(False, 0), (True, -7), (True, 1), (True, 2), (True, 4), (True, 6)]
