@@ -2,7 +2,7 @@
 
 A rule is (pattern, action, name, strength): a regular expression over ``host + path`` or over the whole url, and what to do
 when it matches. Every run of lower-case letters and digits that a matching url must contain as a whole token is a literal of the rule; the rule is
-filed under the literal that the fewest urls of the table hold. A url is cut into tokens, the tokens fetch the filed
+filed under the literal that the fewest urls of the table hold; one whose alternatives share no literal is filed under one token of each. A url is cut into tokens, the tokens fetch the filed
 rules, and only those run their regular expression. Rules without a literal are tried on every url.
 
 The index is a map inside the plan (rules are configuration: ``MAX_RULES`` is checked), so matching is one narrow
@@ -25,7 +25,10 @@ MAX_RULES = 20_000
 
 @dataclass(frozen=True)
 class Rule:
-    """strength: the larger wins; ties go to the later name. target: ``site`` (host and path) or ``url`` (lower-cased)."""
+    """strength: the larger wins; ties go to the later name. target: ``site`` (host and path) or ``url`` (lower-cased).
+
+    either: tokens of which any match has at least one whole; used instead of literals where a pattern has alternatives.
+    """
 
     name: str
     action: str
@@ -33,6 +36,7 @@ class Rule:
     literals: tuple[str, ...]
     strength: int
     target: str = "site"
+    either: tuple[str, ...] = ()
 
 
 def host_rule(action: str, host: str, path: str) -> Rule:
@@ -41,18 +45,18 @@ def host_rule(action: str, host: str, path: str) -> Rule:
     return Rule(f"{host}{path}", action, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path) or '(?=/|$)'}", tuple(whole), len(host) + len(path))
 
 
-def url_rule(name: str, action: str, pattern: str, *literals: str) -> Rule:
-    """A rule of the method's own: ``pattern`` on the lower-cased url; ``literals`` must be whole tokens of any match."""
-    return Rule(name, action, pattern, literals, 0, "url")
+def url_rule(name: str, action: str, pattern: str, *literals: str, either: tuple[str, ...] = ()) -> Rule:
+    """A rule of the method's own: ``pattern`` on the lower-cased url; ``literals`` must all be whole tokens of any match, or one of ``either``."""
+    return Rule(name, action, pattern, literals, 0, "url", either)
 
 
 #: The rules that a verdict falls back to when no host rule fits.
 OWN_RULES = (
-    url_rule("session", "block", r"[?&;](?:phpsessid|jsessionid|sessionid|sid)=", "phpsessid"),
+    url_rule("session", "block", r"[?&;](?:phpsessid|jsessionid|sessionid|sid)=", either=("phpsessid", "jsessionid", "sessionid", "sid")),
     url_rule("jsession", "block", r"[?&;]jsessionid=", "jsessionid"),
     url_rule("login", "block", r"/login(?:[/?#.]|$)", "login"),
     url_rule("signup", "block", r"/signup(?:[/?#.]|$)", "signup"),
-    url_rule("cart", "block", r"/(?:cart|checkout)(?:[/?#.]|$)", "cart"),
+    url_rule("cart", "block", r"/(?:cart|checkout)(?:[/?#.]|$)", either=("cart", "checkout")),
     url_rule("admin", "block", r"/wp-admin(?:[/?#]|$)", "wp", "admin"),
     url_rule("casino", "block", r"[./-]casino[./-]", "casino"),
     url_rule("binary", "block", r"\.exe(?:[?#]|$)", "exe"),
@@ -84,7 +88,8 @@ def rarest_token_index(pages: DataFrame, rules: list[Rule]) -> dict[str, list[in
         seen = {r["token"]: r["count"] for r in pages.select(hit).groupBy("token").count().collect()}  # at most one row a rule token
     index: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
-        index.setdefault(min(rule.literals, key=lambda t: (seen.get(t, 0), t), default=""), []).append(k)
+        for token in rule.either or (min(rule.literals, key=lambda t: (seen.get(t, 0), t), default=""),):
+            index.setdefault(token, []).append(k)
     return index
 
 

@@ -1,5 +1,6 @@
 """Secret scan, quality rules, URL filter, language identification, toxicity."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -299,3 +300,12 @@ def test_toxicity_accuracy(spark):
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out")
     r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()
     assert r["recall"] > 0.9 and r["false"] < 0.03
+
+
+def test_own_url_rules_with_and_without_the_index(spark):
+    urls = [f"https://h.net/x?{k}=1" for k in ("phpsessid", "jsessionid", "sessionid", "SID", "side")] + [f"https://h.net/{p}" for p in ("cart", "checkout", "Checkout/a", "cart.html", "carts", "login?x", "signup/", "wp-admin", "a/casino/b", "a.exe?x")] + ["data:x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    plain = tuple(dataclasses.replace(r, literals=(), either=()) for r in url_filter.OWN_RULES)
+    got, want = (rows_of(url_filter.judge(df, [], own), "page_id") for own in (url_filter.OWN_RULES, plain))
+    assert got == want
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if any(re.search(r.pattern, u.lower()) for r in url_filter.OWN_RULES) else "allow" for i, u in enumerate(urls)}
