@@ -309,3 +309,13 @@ def test_own_url_rules_with_and_without_the_index(spark):
     got, want = (rows_of(url_filter.judge(df, [], own), "page_id") for own in (url_filter.OWN_RULES, plain))
     assert got == want
     assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if any(re.search(r.pattern, u.lower()) for r in url_filter.OWN_RULES) else "allow" for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("rule, num, den, value", [("symbols", "n_symbols", "word_chars", 0.04), ("dup_lines", "n_dup_lines", "n_lines", 0.45)])
+def test_cutoffs_do_not_stop_at_a_lenient_end(spark, rule, num, den, value):
+    """With plenty of good documents of low ratios, the bound and not the end of the grid is the stop."""
+    base = {"stratum": "en", "n_words": 1000, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1000, "n_single": 0}
+    df = spark.createDataFrame([tuple(base.values())], ", ".join(f"{k} {'string' if k == 'stratum' else 'bigint'}" for k in base))
+    many = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(20000)))).drop("col")
+    got = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(many, 0.01, 0.05).collect()}
+    assert got[rule] < value
