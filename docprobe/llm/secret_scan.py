@@ -7,7 +7,7 @@ or more characters) and hex (twenty-four or more lower-case hex digits).
 The method adds kind ``guess``. A wider context pattern proposes values; dynamic programming finds the cheapest
 segmentation of a value into listed words (case and look-alike characters undone), dates, repeats, keyboard walks
 and brute-force characters, as log10 of guesses. Cheap values ("changeme", "qwerty123", "aaaaaa") are placeholders;
-a value that costs ``min_log10_guesses`` or more is a secret, unless a base span already covers part of it.
+a value that costs ``min_log10_guesses`` or more is a secret, unless base spans already cover all of it.
 
 Defined results: null text is empty text (no spans; base_sha256 is that of the empty string); a null doc_id is kept;
 repeated rows each give a row; other columns of the input are ignored; an empty table gives no rows.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,17 +114,18 @@ def find_secrets(text: str, min_log10_guesses: float = 8.0) -> list[tuple[str, i
     found = [(kind, m.start(), m.end()) for kind, pattern, holds in BASE for m in pattern.finditer(text) if holds(m)]
     proposed = [m.span(1) for m in CONTEXT.finditer(text)]
     if proposed:
-        taken = sorted((a, b) for _, a, b in found)
-        starts = [a for a, _ in taken]
-        reach, furthest = [], 0  # base spans of different kinds can nest: the furthest end so far
-        for _, b in taken:
-            furthest = max(furthest, b)
-            reach.append(furthest)
+        starts, reach = [], []  # base spans merged where they overlap or touch
+        for a, b in sorted((a, b) for _, a, b in found):
+            if reach and a <= reach[-1]:
+                reach[-1] = max(reach[-1], b)
+            else:
+                starts.append(a)
+                reach.append(b)
         for a, b in proposed:
             while b > a and text[b - 1] in ".!?:":
                 b -= 1
-            k = bisect_left(starts, b) - 1
-            if b - a >= 6 and not (k >= 0 and reach[k] > a) and segments(text[a:b])[0] >= min_log10_guesses:
+            k = bisect_right(starts, a) - 1
+            if b - a >= 6 and not (k >= 0 and reach[k] >= b) and segments(text[a:b])[0] >= min_log10_guesses:
                 found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -99,6 +99,13 @@ def test_scan_and_redact(odd_docs, no_docs):
     assert texts[1] == ("Hello there, the [secret]!", 26) and texts[3] == (None, None)
 
 
+def test_a_guess_that_a_base_span_covers_in_part_is_removed_whole(spark):
+    text = "password: Xk9mQ2v$8Lp!zR and so on"
+    assert secret_scan.find_secrets(text) == [("assign", 0, 17), ("guess", 10, 24)]
+    df = spark.createDataFrame([(1, text), (2, "password: hunter2hunter2 x")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {1: "[secret] and so on", 2: "[secret] x"}
+
+
 # --- quality rules ---
 
 
