@@ -46,22 +46,28 @@ def release_memory() -> None:
 KEPT = {"docprobe.llm.tokens": "encoder", "docprobe.llm.language_id": "automata"}
 
 
+#: Rows that an operator sees at a time, whatever the session's batch size is.
+ROWS_AT_ONCE = 2000
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str = "") -> DataFrame:
-    """mapInArrow; batches hold at most a few thousand rows so that long texts stay within a worker's memory.
+    """mapInArrow whose batches are cut into pieces of at most ``ROWS_AT_ONCE`` rows.
 
-    Workers outlive operators; ``keeps`` names the module whose cache this one uses, and the others are emptied first.
+    The session's limits on bytes and rows of an Arrow batch hold as the caller set them. ``keeps`` names the module whose cache the
+    worker holds on to.
     """
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > 2000:
-        spark.conf.set(key, "2000")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(a, ROWS_AT_ONCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for module, cache in KEPT.items():
             if module != keeps and module in sys.modules:
                 getattr(sys.modules[module], cache).cache_clear()
         try:
-            yield from fn(batches)
+            yield from fn(pieces(batches))
         finally:
             release_memory()
 
@@ -69,9 +75,16 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset (as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder that is deleted at exit. On a cluster that would be a folder of
+    each machine's own, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docprobe-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -1,18 +1,20 @@
 """Quality rules whose cut-offs come with a guarantee on false rejections.
 
 Per document: word, symbol, repeated-line and repeated-phrase counts; a fixed base rule; and ratio rules with
-learnt cut-offs. For every stratum (language) and rule, cut-offs are tried on the labelled good documents, from the most lenient
-to the strictest. A cut-off holds if the exact binomial tail P(Bin(n, risk) <= false rejections) is at most
-alpha / (strata * rules); the strictest one before the first that fails is taken. Testing in that fixed order
-needs no correction along the grid, the Bonferroni factor covers strata and rules, and the risk is shared out
-among the rules, so that with probability 1 - alpha each stratum's false rejections (beyond the base rule) stay under ``risk``. A
-stratum with too few labels gets no cut-off, and rejects nothing.
+learnt cut-offs. All rules tighten together along one fixed path, from the most lenient notch of every grid to the strictest. For every stratum (language)
+a step of the path holds if the exact binomial tail P(Bin(n, risk) <= false rejections) is at most alpha / strata, where the n labelled good documents
+and the false rejections are counted for all rules of that step at once; the last step before the first that fails is taken. Testing in
+that fixed order needs no correction along the path, the Bonferroni factor covers the strata, so with probability 1 - alpha
+each stratum's false rejections (beyond the base rule) stay under ``risk``. A stratum with fewer than ln(alpha / strata) / ln(1 - risk) good labels
+gets no cut-off, and rejects nothing.
 
 All of it is DataFrame operations: one narrow pass over the texts, whose counts are stored; only they, never texts, meet the labels in
-a shuffle. Distinct strata are languages; their cut-offs become a map in the plan once their number is checked.
+a shuffle. The cut-offs (a row a stratum, at most ``MAX_STRATA``, checked) are broadcast.
 
 Defined results: null text has no words (base_failed, not kept); null language is a stratum of its own; labels that are null, or on
-unknown documents, are not used; a document labelled twice counts for each label row; repeated rows and null doc_ids are kept; other columns are ignored.
+unknown documents, are not used; a document labelled more than once is good only if all its labels say so, and counts once, however often its row repeats (the row of least
+counts); repeated rows and null doc_ids are kept; texts of any length are counted whole; an empty table gives no rows; other columns are ignored,
+also those named like a result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RULES = {
     "single_letters": ("n_single", "n_words", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
     "repeat_words": ("n_repeat_words", "n_words", (0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3)),
 }
+#: The path: the first notch of every rule, then the second one, and so on.
+PATH = sorted(((i, r) for r, (_, _, grid) in RULES.items() for i in range(len(grid))), key=lambda x: (x[0], list(RULES).index(x[1])))
 MAX_STRATA = 10_000
 #: Terms of the binomial tail that are summed one by one; what lies below is bounded by a geometric series.
 EXACT_TERMS = 4000
@@ -102,46 +106,53 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(good: DataFrame, risk: float, alpha: float) -> DataFrame:
-    """stratum, rule, cutoff, n, false_rejections of the strictest cut-off that holds, one row for each pair that has one.
+    """stratum, rule, cutoff, n, false_rejections (of all rules together) for each pair that has a cut-off.
 
-    ``good``: stratum and the counts of ``features`` of labelled good documents, from a stored table; those that fail the base rule are passed over.
+    ``good``: stratum and the counts of ``features`` of labelled good documents; those that fail the base rule are passed over.
     """
+    steps = {r: [t for t, (_, rule) in enumerate(PATH) if rule == r] for r in RULES}
+
+    # a document is rejected from some step on: counts by (stratum, that step) are all that is needed
+    def from_step(rule: str) -> Column:
+        passed = F.size(F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda c: ratio(rule) <= c))
+        return F.get(F.array(*map(F.lit, [*steps[rule], len(PATH)])), passed)
+
+    rows = good.where(~base_failed()).select("stratum", F.least(*map(from_step, RULES)).alias("t"))
+    hist = rows.groupBy("stratum", "t").agg(F.count(F.lit(1)).alias("c"))
+    per = stored(hist.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("t", "c")).alias("hist")), "quality-counts", MAX_STRATA)
+    strata = max(per.count(), 1)
+    long = per.select("stratum", "n", "hist", F.explode(F.sequence(F.lit(0), F.lit(len(PATH) - 1))).alias("t"))
+    k = F.aggregate(F.filter("hist", lambda h: h["t"] <= F.col("t")), F.lit(0).cast("bigint"), lambda a, h: a + h["c"])
+    held = long.select("stratum", "n", "t", k.alias("k")).withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk) <= alpha / strata)
+    end = F.coalesce(F.min(F.when(~F.col("holds"), F.col("t"))), F.lit(len(PATH)))
+    ends = held.groupBy("stratum", "n").agg(end.alias("end"), F.sort_array(F.collect_list(F.struct("t", "k"))).alias("ks")).where("end > 0")
 
-    # a document exceeds all cut-offs of a grid from some place m on: counts by (stratum, rule, m) are all that is needed
-    def place(rule: str) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda c: ratio(rule) <= c))
-
-    places = [F.struct(F.lit(r).alias("rule"), place(r).alias("m")) for r in RULES]
-    rows = good.where(~base_failed()).select("stratum", F.explode(F.array(*places)).alias("p")).select("stratum", "p.*")
-    hist = rows.groupBy("stratum", "rule", "m").agg(F.count(F.lit(1)).alias("c"))
-    per = stored(hist.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("m", "c")).alias("hist")), "quality-counts", len(RULES) * MAX_STRATA)
-    strata = max(per.count() // len(RULES), 1)
-    grids = F.create_map(*(x for r, (_, _, grid) in RULES.items() for x in (F.lit(r), F.array(*(F.lit(float(c)) for c in grid)))))
-    long = per.withColumn("grid", F.element_at(grids, F.col("rule"))).select("stratum", "rule", "n", "hist", F.posexplode("grid").alias("i", "cutoff"))
-    k = F.aggregate(F.filter("hist", lambda h: h["m"] <= F.col("i")), F.lit(0).cast("bigint"), lambda a, h: a + h["c"])
-    long = long.select("stratum", "rule", "n", "i", "cutoff", k.alias("k"))
-    held = long.withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= alpha / (strata * len(RULES)))
-    first_fail = F.coalesce(F.min(F.when(~F.col("holds"), F.col("i"))), F.lit(1 << 20))
-    ends = held.groupBy("stratum", "rule").agg(first_fail.alias("end"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "cutoff", "k"))).alias("grid"))
-    best = F.try_element_at("grid", F.least(F.col("end"), F.size("grid")))
-    return ends.where(F.col("end") > 0).select("stratum", "rule", best["cutoff"].alias("cutoff"), "n", best["k"].alias("false_rejections"))
-
-
-def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05) -> DataFrame:
+    def cut(rule: str) -> Column:
+        taken = F.size(F.filter(F.array(*map(F.lit, steps[rule])), lambda t: t < F.col("end")))
+        return F.struct(F.lit(rule).alias("rule"), F.get(F.array(*(F.lit(float(c)) for c in RULES[rule][2])), taken - 1).alias("cutoff"))
+
+    found = ends.select("stratum", "n", F.get("ks", F.col("end") - 1)["k"].alias("false_rejections"), F.explode(F.array(*map(cut, RULES))).alias("x"))
+    return found.where("x.cutoff is not null").select("stratum", "x.rule", "x.cutoff", "n", "false_rejections")
+
+
+def good_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of counts for each document whose labels all say good."""
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
+    met = features.join(good, F.col("doc_id") == F.col("label_id"))
+    counts = [c for c in features.columns if c != "doc_id"]
+    return met.groupBy("doc_id").agg(F.min(F.struct(*counts)).alias("f")).select("f.*")
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.025, alpha: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed, kept, failed_rules. labels: doc_id, quality (1: good)."""
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("\0null")).alias("stratum")
     f = stored(features(docs.withColumn("stratum", stratum), "doc_id", "stratum"), "quality-features")
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("label_id"))
-    learnt = cutoffs(f.join(good, F.col("doc_id") == F.col("label_id")), risk, alpha)
-    found = learnt.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")).limit(MAX_STRATA + 1).collect()
-    if len(found) > MAX_STRATA:
+    learnt = cutoffs(good_rows(f, labels), risk, alpha).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    learnt = stored(learnt, "quality-cutoffs", MAX_STRATA)
+    if learnt.count() > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata: use a coarser stratum")
-    table = {r["stratum"]: r["cuts"] for r in found}
-
-    def cut(rule: str) -> Column:
-        pairs = [(s, c[rule]) for s, c in sorted(table.items()) if rule in c]
-        return F.try_element_at(F.create_map(*(F.lit(x) for p in pairs for x in p)), F.col("stratum")) if pairs else F.lit(None).cast("double")
-
+    cut = lambda r: F.try_element_at(F.col("cuts"), F.lit(r))
     failed = F.filter(F.array(*(F.when(ratio(r) > cut(r), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
-    out = f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), failed.alias("failed"))
+    out = f.join(F.broadcast(learnt), "stratum", "left")
+    out = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), failed.alias("failed"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed_rules"))

@@ -59,13 +59,11 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix)}
 
 
-def _op2_sql(risk: float = 0.01, alpha: float = 0.05) -> str:
-    grid = ", ".join(f"('{r}', {i}, {float(c)!r}::DOUBLE)" for r, (_, _, cuts) in quality_rules.RULES.items() for i, c in enumerate(cuts))
+def _op2_sql(risk: float = 0.025, alpha: float = 0.05) -> str:
+    path = ", ".join(f"({t}, '{r}', {float(quality_rules.RULES[r][2][i])!r}::DOUBLE)" for t, (i, r) in enumerate(quality_rules.PATH))
     ratios = " ".join(f"WHEN '{r}' THEN {num}::DOUBLE / greatest({den}, 1)" for r, (num, den, _) in quality_rules.RULES.items())
-    rules, p = len(quality_rules.RULES), risk / len(quality_rules.RULES)
     word = r"[^\x20\x09-\x0D]"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, chr(1)) AS stratum FROM documents),
@@ -76,27 +74,55 @@ c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) v
 f AS (SELECT w.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: length(x) = 1)) AS n_single FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-grid(rule, i, cutoff) AS (VALUES {grid}),
-good AS (SELECT b.* FROM b JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-k AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (CASE rule {ratios} END > cutoff) AS k FROM good, grid GROUP BY ALL),
-t AS (SELECT k.stratum, k.rule, k.i, any_value(cutoff) AS cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE))) AS tail
- FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM k WHERE k < n * {p!r}) k GROUP BY k.stratum, k.rule, k.i),
-h AS (SELECT k.stratum, k.rule, k.i, k.cutoff, coalesce(tail <= {alpha!r} / ((SELECT count(DISTINCT stratum) FROM good) * {rules}), false) AS holds FROM k LEFT JOIN t USING (stratum, rule, i)),
-e AS (SELECT stratum, rule, coalesce(min(i) FILTER (NOT holds), 1000) AS fail FROM h GROUP BY ALL),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM h JOIN e USING (stratum, rule) WHERE i < fail GROUP BY ALL),
+path(t, rule, cutoff) AS (VALUES {path}),
+good AS (SELECT b.* FROM b JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+from_step AS (SELECT doc_id, stratum, min(t) FILTER (CASE rule {ratios} END > cutoff) AS t FROM good, path GROUP BY ALL),
+k AS (SELECT stratum, path.t, count(*) AS n, count(*) FILTER (from_step.t <= path.t) AS k FROM from_step, path GROUP BY ALL),
+tail AS (SELECT stratum, t, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk!r}::DOUBLE) + (n - j) * ln(1 - {risk!r}::DOUBLE))) AS tail
+ FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM k WHERE k < n * {risk!r}) GROUP BY ALL),
+h AS (SELECT k.stratum, k.t, coalesce(tail <= {alpha!r} / (SELECT count(DISTINCT stratum) FROM good), false) AS holds FROM k LEFT JOIN tail USING (stratum, t)),
+e AS (SELECT stratum, coalesce(min(t) FILTER (NOT holds), 1000) AS fail FROM h GROUP BY ALL),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM e JOIN path ON t < fail GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM b JOIN cut USING (stratum) WHERE CASE rule {ratios} END > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 
+def _own_sql(url: str) -> str:
+    """The verdict of the method's own rules, every pattern tried on every url."""
+    by_action: dict[str, list[str]] = {}
+    for r in url_filter.OWN_RULES:
+        by_action.setdefault(r.action, []).append(f"(?:{r.pattern})")
+    whens = " ".join(f"WHEN regexp_matches(lower(coalesce({url}, '')), '{'|'.join(patterns)}') THEN '{action}'" for action, patterns in by_action.items())
+    return f"CASE {whens} ELSE 'allow' END"
+
+
 def _op3_sql() -> str:
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
-    own = " ".join(f"WHEN regexp_matches(lower(coalesce(p.url, '')), '{r.pattern}') THEN '{r.action}'" for r in url_filter.OWN_RULES)
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r(action, rhost, rpath) AS (VALUES {rules}),
 best AS (SELECT page_id, url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action FROM (SELECT DISTINCT page_id, url, host, path FROM p), r
  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, url)
-SELECT p.page_id, host, path, rule, coalesce(action, CASE {own} ELSE 'allow' END) AS verdict FROM p LEFT JOIN best ON p.page_id IS NOT DISTINCT FROM best.page_id AND p.url = best.url"""
+SELECT p.page_id, host, path, rule, coalesce(action, {_own_sql('p.url')}) AS verdict FROM p LEFT JOIN best ON p.page_id IS NOT DISTINCT FROM best.page_id AND p.url = best.url"""
+
+
+def _url_samples() -> list[str]:
+    """A url that fits each of the method's own rules, and one that just does not."""
+    words = [r.name.rpartition(":")[2] for r in url_filter.OWN_RULES]
+    return [u for r, w in zip(url_filter.OWN_RULES, words) for u in (r.sample, r.sample.replace(w, f"{w}x"))]
+
+
+def url_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three urls made from each page's id for the method's own rules, judged by the index."""
+    samples = _url_samples()
+    urls = table(spark, sf_dir, "pages").select(F.explode(F.array(*(3 * F.col("page_id") + k for k in range(3)))).alias("page_id"))
+    urls = urls.withColumn("url", F.get(url_filter._literal(samples, "array<string>"), F.pmod("page_id", F.lit(len(samples))).cast("int")))
+    return url_filter.judge(urls, []).select("page_id", "verdict")
+
+
+def _url_own_rules_sql() -> str:
+    samples = _url_samples()
+    return f"SELECT page_id, {_own_sql('url')} AS verdict FROM (SELECT page_id, ([{', '.join(repr(u) for u in samples)}])[page_id % {len(samples)} + 1] AS url FROM (SELECT 3 * page_id + k AS page_id FROM pages, range(0, 3) r(k)))"
 
 
 OP10_SQL = r"""
@@ -109,4 +135,8 @@ k AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.sou
  ('0x' || substr(md5('0:mix:' || coalesce('s' || d.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS taken FROM k"""
 
-ORACLE: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules)
+}
+ORACLE: dict[str, str] = {"url_own_rules": _url_own_rules_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}

@@ -5,12 +5,16 @@ assign (a credential word, a separator, a value of six or more characters), acce
 or more characters) and hex (twenty-four or more lower-case hex digits).
 
 The method adds kind ``guess``. A wider context pattern proposes values; dynamic programming finds the cheapest
-segmentation of a value into listed words (case and look-alike characters undone), dates, repeats, keyboard walks
+segmentation of a value into known words (case and look-alike characters undone), dates, repeats, keyboard walks
 and brute-force characters, as log10 of guesses. Cheap values ("changeme", "qwerty123", "aaaaaa") are placeholders;
 a value that costs ``min_log10_guesses`` or more is a secret, unless base spans already cover all of it.
 
-Defined results: null text is empty text (no spans; base_sha256 is that of the empty string); a null doc_id is kept;
-repeated rows each give a row; other columns of the input are ignored; an empty table gives no rows.
+Words are known from a short list of placeholders and from the corpus itself: the commonest words of each language, counted over all rows
+outside credential contexts, so that no value makes itself a word; a word's rank is what it costs to guess.
+
+Defined results: null text is empty text (no spans; base_sha256 is that of the empty string); a null doc_id or lang is kept;
+repeated rows each give a row; texts of any length are scanned whole, one row at a time; other columns of the input are ignored, also those
+named like a result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprobe.llm.common import map_rows, text_of
@@ -33,10 +37,8 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), lambda m: True),  # same matches as [0-9a-f]+ kept from 24 on, found faster
 )
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|bearer|auth(?:orization)?)["']?\x20{0,3}(?::=|=>|[:=]|\x20is\x20)\x20{0,3}["'`]?([^\s"'`<>,;()\[\]{}|]{6,})""",
-    re.I | re.A,
-)
+CONTEXT_PATTERN = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|bearer|auth(?:orization)?)["']?\x20{0,3}(?::=|=>|[:=]|\x20is\x20)\x20{0,3}["'`]?([^\s"'`<>,;()\[\]{}|]{6,})"""
+CONTEXT = re.compile(CONTEXT_PATTERN, re.I | re.A)
 #: Common words of passwords and placeholders, commonest first.
 COMMON = (
     "password passw0rd qwerty letmein welcome admin login changeme secret master dragon monkey shadow sunshine princess football "
@@ -46,61 +48,99 @@ COMMON = (
     "the and for with this that from not you are have word pass code name email phone love life time work home money"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 LOOKALIKE = str.maketrans("4@31!05$7", "aaeiiosst")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 NEXT_TO = {pair for row in ROWS for a, b in zip(row, row[1:]) for pair in (a + b, b + a)}
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = tuple(
+    re.compile(p)
+    for p in (
+        r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+)
 #: log10 of the guesses for one more segment, so that many tiny segments do not win.
 SEGMENT = 0.3
+#: log10 of the guesses for a unit said once more.
+TWICE = math.log10(2)
 
 
 def _alone(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 40)
 
 
-def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """(log10 guesses, the cheapest segmentation as (kind, start, end)). The empty value costs 0."""
-    n, low = len(value), value.lower()
-    plain = low.translate(LOOKALIKE) if low.isascii() else low
+def _lower(value: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
+
+
+def _starts(alive: list[int], best: list[float], j: int) -> list[int]:
+    """The starts (in ascending order) of a segment of cost log10(its length) that may be the cheapest for an end at j or later; the last is the cheapest at j.
+
+    A later start that is no dearer itself wins for good, and so does an earlier one that wins at j: the ratio of the two lengths only falls.
+    """
+    rising: list[int] = []
+    for i in alive:
+        while rising and best[i] <= best[rising[-1]]:
+            rising.pop()
+        rising.append(i)
+    kept: list[int] = []
+    for i in rising:
+        if not kept or best[i] + math.log10(j - i) < best[kept[-1]] + math.log10(j - kept[-1]):
+            kept.append(i)
+    return kept
+
+
+def segments(value: str, ranks: Mapping[str, int] = RANK, longest: int | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+    """(log10 guesses, the cheapest segmentation as (kind, start, end)). The empty value costs 0.
+
+    ranks: known words, lower case; longest: the length of the longest. A repeat is a run of one character, or a unit of 2 to 8 characters that
+    stands directly before (as dear as a count of two, and no segment of its own).
+    """
+    n, low = len(value), _lower(value)
+    plain = low.translate(LOOKALIKE)
+    longest = max(map(len, ranks), default=0) if longest is None else longest
     ending: list[list[tuple[float, int, str]]] = [[] for _ in range(n + 1)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
-                if form[i:j] in RANK:
-                    twisted = extra + (0.3 if value[i:j] != low[i:j] else 0.0)
-                    ending[j].append((math.log10(RANK[form[i:j]] + 1) + twisted, i, "word"))
-    for m in (m for i in range(n) if value[i].isdigit() and (m := DATE.match(value, i))):
-        ending[m.end()].append((math.log10(119 * (365 if m.end() - m.start() > 4 else 1)), m.start(), "date"))
-    i = 0
-    while i + 2 < n:  # runs of neighbouring keys
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in NEXT_TO:
-            j += 1
-        for k in range(i + 3, j + 1):
-            ending[k].append((math.log10(40 * (k - i)), i, "walk"))
-        i = max(j - 1, i + 1)
+                if (rank := ranks.get(form[i:j])) is not None:
+                    ending[j].append((math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0), i, "word"))
+        if "0" <= value[i] <= "3":
+            for pattern in DATES:
+                if m := pattern.match(value, i):
+                    ending[m.end()].append((math.log10(119 * (365 if m.end() - i > 4 else 1)), i, "date"))
     best = [0.0] + [math.inf] * n
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     brute = [math.inf] * (n + 1)  # the cheapest cost of a prefix whose last segment is brute force
     since = [0] * (n + 1)
-    same = 1  # length of the run of one character that ends here
+    walk_from = same_from = 0  # where the runs of neighbouring keys and of one character that end here begin
+    walks: list[int] = []
+    sames: list[int] = []
     for j in range(1, n + 1):
-        same = same + 1 if j > 1 and low[j - 1] == low[j - 2] else 1
+        alone = _alone(value[j - 1])
         fresh, longer = best[j - 1] + SEGMENT, brute[j - 1]
         brute[j], since[j] = (longer, since[j - 1]) if longer <= fresh else (fresh, j - 1)
-        brute[j] += _alone(value[j - 1])
+        brute[j] += alone
         best[j], back[j] = brute[j], (since[j], "brute")
-        options = list(ending[j])
-        if same >= 3:
-            options.append((_alone(value[j - 1]) + math.log10(same), j - same, "repeat"))
-        for unit in range(2, 9):  # a longer unit said again: as dear as the first time, and a count
-            if j >= 2 * unit and low[j - unit : j] == low[j - 2 * unit : j - unit]:
-                if best[j - unit] + math.log10(2) < best[j]:
-                    best[j], back[j] = best[j - unit] + math.log10(2), (j - unit, "repeat")
+        options = ending[j]
+        if j > 1 and low[j - 2 : j] not in NEXT_TO:
+            walk_from, walks = j - 1, []
+        if j > 1 and low[j - 1] != low[j - 2]:
+            same_from, sames = j - 1, []
+        if j - 3 >= walk_from:
+            walks = _starts([*walks, j - 3], best, j)
+            options.append((math.log10(40 * (j - walks[-1])), walks[-1], "walk"))
+        if j - 3 >= same_from:
+            sames = _starts([*sames, j - 3], best, j)
+            options.append((alone + math.log10(j - sames[-1]), sames[-1], "repeat"))
         for cost, i, kind in options:
             if best[i] + cost + SEGMENT < best[j]:
                 best[j], back[j] = best[i] + cost + SEGMENT, (i, kind)
+        for unit in range(2, min(8, j // 2) + 1):
+            if best[j - unit] + TWICE < best[j] and low[j - unit : j] == low[j - 2 * unit : j - unit]:
+                best[j], back[j] = best[j - unit] + TWICE, (j - unit, "repeat")
     out, j = [], n
     while j:
         i, kind = back[j]
@@ -109,7 +149,26 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n] if n else 0.0, out[::-1]
 
 
-def find_secrets(text: str, min_log10_guesses: float = 8.0) -> list[tuple[str, int, int]]:
+def learn_words(docs: DataFrame, per_language: int = 4_000, most: int = 40_000, least: int = 5) -> dict[str, int]:
+    """word -> rank among the words of the language where it ranks best; with the list of placeholders.
+
+    Runs of 3 to 16 letters, lower case, are counted over all texts, credential contexts and their values cut out. The ``per_language``
+    commonest words of each language that occur ``least`` times or more are known, ``most`` words in all (the commonest).
+    """
+    text = F.regexp_replace(text_of(docs), "(?i)" + CONTEXT_PATTERN, " ")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 16))
+    lang = F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    counts = docs.select(lang.alias("g"), F.explode(words).alias("word")).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    # two levels, so that no task sorts all the words of a language
+    for salt in (F.pmod(F.xxhash64("word"), F.lit(64)), F.lit(0)):
+        order = Window.partitionBy("g", "salt").orderBy(F.col("n").desc(), "word")
+        counts = counts.withColumn("salt", salt).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).drop("salt")
+    best = counts.groupBy("word").agg(F.min("rank").alias("rank"), F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
+    found = {r["word"]: r["rank"] for r in best.collect()}
+    return found | {w: min(k, found.get(w, k)) for w, k in RANK.items()}
+
+
+def find_secrets(text: str, min_log10_guesses: float = 8.0, ranks: Mapping[str, int] = RANK, longest: int | None = None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, end exclusive, by start and then kind as listed in KINDS."""
     found = [(kind, m.start(), m.end()) for kind, pattern, holds in BASE for m in pattern.finditer(text) if holds(m)]
     proposed = [m.span(1) for m in CONTEXT.finditer(text)]
@@ -125,7 +184,7 @@ def find_secrets(text: str, min_log10_guesses: float = 8.0) -> list[tuple[str, i
             while b > a and text[b - 1] in ".!?:":
                 b -= 1
             k = bisect_right(starts, a) - 1
-            if b - a >= 6 and not (k >= 0 and reach[k] >= b) and segments(text[a:b])[0] >= min_log10_guesses:
+            if b - a >= 6 and not (k >= 0 and reach[k] >= b) and segments(text[a:b], ranks, longest)[0] >= min_log10_guesses:
                 found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -134,14 +193,16 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, min_log10_guesses: float = 8.0) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans; one narrow pass, nothing is shuffled."""
+def scan(docs: DataFrame, min_log10_guesses: float = 8.0, ranks: Mapping[str, int] | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans. One narrow pass after the count of words (none if ``ranks`` are given)."""
+    ranks = learn_words(docs) if ranks is None else dict(ranks)
+    longest = max(map(len, ranks), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")}
             for cell in batch.column(1):
-                spans = find_secrets(cell.as_py(), min_log10_guesses)
+                spans = find_secrets(cell.as_py(), min_log10_guesses, ranks, longest)
                 base = [s for s in spans if s[0] != "guess"]
                 for kind in KINDS:
                     cols[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
@@ -153,11 +214,13 @@ def scan(docs: DataFrame, min_log10_guesses: float = 8.0) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, schema)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", min_log10_guesses: float = 8.0) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", min_log10_guesses: float = 8.0, ranks: Mapping[str, int] | None = None) -> DataFrame:
     """The documents with every found span (overlapping ones merged) replaced by ``mark`` and n_chars set anew.
 
     Rows, their order within a partition and all other columns stay; a null text stays null.
     """
+    ranks = learn_words(docs) if ranks is None else dict(ranks)
+    longest = max(map(len, ranks), default=0)
     at, count_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +230,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", min_log10_guesses: float = 8
                 text = cell.as_py()
                 if text:
                     parts, end = [], 0
-                    for _, a, b in find_secrets(text, min_log10_guesses):
+                    for _, a, b in find_secrets(text, min_log10_guesses, ranks, longest):
                         if a >= end:
                             parts += [text[end:a], mark]
                         end = max(end, b)

@@ -5,29 +5,33 @@ when it matches. Every run of lower-case letters and digits that a matching url
 filed under the literal that the fewest urls of the table hold; one whose alternatives share no literal is filed under one token of each. A url is cut into tokens, the tokens fetch the filed
 rules, and only those run their regular expression. Rules without a literal are tried on every url.
 
-The index is a map inside the plan (rules are configuration: ``MAX_RULES`` is checked), so matching is one narrow
-pass over the urls, whatever host is hot. Only the counts of the rules' own tokens are gathered first.
+The index is a hash table inside the plan (rules are configuration: ``MAX_RULES`` is checked): a token's checksum names a bucket, so a look-up costs
+the same for ten rules and for thousands. Matching is one narrow pass over the urls, whatever host is hot. Only the counts of the rules' own
+tokens are gathered first.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no host rule; repeated rows and
-null page_ids are kept; an empty table gives no rows; other columns are ignored.
+null page_ids are kept; urls of any length are matched whole; an empty table gives no rows; other columns are ignored, also those named like a result.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 20_000
+RULE = "struct<strength:int,name:string,action:string,pattern:string,url:boolean,given:boolean>"
 
 
 @dataclass(frozen=True)
 class Rule:
     """strength: the larger wins; ties go to the later name. target: ``site`` (host and path) or ``url`` (lower-cased).
 
-    either: tokens of which any match has at least one whole; used instead of literals where a pattern has alternatives.
+    either: tokens of which any match has at least one whole; used instead of literals where a pattern has alternatives. sample: a url that matches.
     """
 
     name: str
@@ -37,31 +41,54 @@ class Rule:
     strength: int
     target: str = "site"
     either: tuple[str, ...] = ()
+    sample: str = ""
 
 
 def host_rule(action: str, host: str, path: str) -> Rule:
     """Fits the host and all its subdomains where the url's path starts with ``path``; the longest rule wins."""
     whole = re.findall(r"[a-z0-9]+", host) + re.findall(r"(?<![a-zA-Z0-9])[a-z0-9]+(?=[^a-zA-Z0-9])", path)
-    return Rule(f"{host}{path}", action, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path) or '(?=/|$)'}", tuple(whole), len(host) + len(path))
+    return Rule(f"{host}{path}", action, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path) or r'(?=/|\z)'}", tuple(whole), len(host) + len(path))
 
 
-def url_rule(name: str, action: str, pattern: str, *literals: str, either: tuple[str, ...] = ()) -> Rule:
+def url_rule(name: str, action: str, pattern: str, *literals: str, either: tuple[str, ...] = (), sample: str = "") -> Rule:
     """A rule of the method's own: ``pattern`` on the lower-cased url; ``literals`` must all be whole tokens of any match, or one of ``either``."""
-    return Rule(name, action, pattern, literals, 0, "url", either)
+    return Rule(name, action, pattern, literals, 0, "url", either, sample)
 
 
-#: The rules that a verdict falls back to when no host rule fits.
-OWN_RULES = (
-    url_rule("session", "block", r"[?&;](?:phpsessid|jsessionid|sessionid|sid)=", either=("phpsessid", "jsessionid", "sessionid", "sid")),
-    url_rule("jsession", "block", r"[?&;]jsessionid=", "jsessionid"),
-    url_rule("login", "block", r"/login(?:[/?#.]|$)", "login"),
-    url_rule("signup", "block", r"/signup(?:[/?#.]|$)", "signup"),
-    url_rule("cart", "block", r"/(?:cart|checkout)(?:[/?#.]|$)", either=("cart", "checkout")),
-    url_rule("admin", "block", r"/wp-admin(?:[/?#]|$)", "wp", "admin"),
-    url_rule("casino", "block", r"[./-]casino[./-]", "casino"),
-    url_rule("binary", "block", r"\.exe(?:[?#]|$)", "exe"),
-    url_rule("dataurl", "block", r"^data:", "data"),
-)
+# --- fixed values: what the method's own rules are made of ---
+#: Query parameters that carry a session or a click.
+PARAMETERS = "phpsessid jsessionid sessionid session_id sid aspsessionid cfid cftoken zenid oscsid sessid gclid fbclid msclkid dclid yclid utm_source utm_medium utm_campaign utm_term utm_content replytocom add-to-cart add_to_wishlist affiliate_id aff_id clickid".split()
+#: First steps of paths behind which there are forms, not texts.
+SECTIONS = (
+    "login logout signin signout signup register registration cart basket checkout wishlist unsubscribe wp-admin wp-login wp-json administrator phpmyadmin cgi-bin "
+    "lostpassword resetpassword captcha xmlrpc trackback oauth sso payment payments billing invoice order-status compare-products mailto sendmail contact-form"
+).split()
+#: Endings of files that hold no text.
+ENDINGS = (
+    "exe msi dmg apk iso bin dll deb rpm jar zip rar 7z tar gz bz2 xz cab jpg jpeg png gif bmp ico svg webp tiff mp3 mp4 avi mov wmv flv mkv wav ogg webm css js woff woff2 ttf eot swf torrent"
+).split()
+#: Words of hosts and paths of trade that is not wanted.
+TRADES = "casino poker roulette blackjack betting sportsbook slots jackpot viagra cialis levitra payday adserver ads adclick clickbank doubleclick popunder porn xxx escort webcamgirls replica-watches essay-writing link-exchange".split()
+#: Endless calendars: a section, then a year.
+CALENDARS, YEARS = ("calendar", "events-calendar"), range(1960, 2061)
+# --- end of fixed values ---
+
+
+def _words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text)
+
+
+def own_rules() -> tuple[Rule, ...]:
+    """The rules that a verdict falls back to when no host rule fits: one for each word, so that each has the word's tokens as literals."""
+    out = [url_rule(f"parameter:{p}", "block", rf"[?&;]{p}=", *_words(p), sample=f"http://site.net/a?x=1&{p}=9") for p in PARAMETERS]
+    out += [url_rule(f"section:{s}", "block", rf"/{s}(?:[/?#.]|\z)", *_words(s), sample=f"https://site.net/{s}/a") for s in SECTIONS]
+    out += [url_rule(f"ending:{e}", "block", rf"\.{e}(?:[?#]|\z)", e, sample=f"http://site.net/file.{e}") for e in ENDINGS]
+    out += [url_rule(f"trade:{t}", "block", rf"[./-]{t}[./-]", *_words(t), sample=f"http://www.{t}.net/") for t in TRADES]
+    out += [url_rule(f"{c}:{y}", "block", rf"/{c}/{y}(?:[/?#]|\z)", *_words(c), str(y), sample=f"http://site.net/{c}/{y}/2") for c in CALENDARS for y in YEARS]
+    return (*out, url_rule("print", "block", r"[?&;](?:print|printable|view=print)(?:[=&#]|\z)", either=("print", "printable"), sample="http://site.net/a?printable=1"), url_rule("data", "block", r"^data:", "data", sample="data:text/plain,a"))
+
+
+OWN_RULES = own_rules()
 
 
 def host_of(url: Column) -> Column:
@@ -81,10 +108,10 @@ def _tokens(url: Column) -> Column:
 
 def rarest_token_index(pages: DataFrame, rules: list[Rule]) -> dict[str, list[int]]:
     """token -> numbers of the rules filed under it; '' holds the rules that have no literal."""
-    wanted = sorted({t for r in rules for t in r.literals})
+    wanted = sorted({t for r in rules if len(r.literals) > 1 for t in r.literals})
     seen: dict[str, int] = {}
     if wanted:
-        hit = F.explode(F.array_intersect(_tokens(pages["url"]), F.array(*map(F.lit, wanted)))).alias("token")
+        hit = F.explode(F.array_intersect(_tokens(pages["url"]), _literal(wanted, "array<string>"))).alias("token")
         seen = {r["token"]: r["count"] for r in pages.select(hit).groupBy("token").count().collect()}  # at most one row a rule token
     index: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
@@ -93,31 +120,36 @@ def rarest_token_index(pages: DataFrame, rules: list[Rule]) -> dict[str, list[in
     return index
 
 
+def _literal(value: list, kind: str) -> Column:
+    """A constant of a nested type (the optimizer folds it)."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def fetched_rules(url: Column, index: dict[str, list[int]]) -> Column:
+    """Numbers of the rules filed under a token of the url, and of those without a literal."""
+    size = 1 << max(1, len(index)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for token, numbers in sorted(index.items()):
+        if token:
+            buckets[zlib.crc32(token.encode()) % size].append({"token": token, "rules": numbers})
+    table = _literal(buckets, "array<array<struct<token:string,rules:array<int>>>>")
+
+    def filed(t: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(t), F.lit(size)).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["token"] == t), lambda e: e["rules"]))
+
+    return F.array_distinct(F.concat(F.flatten(F.transform(_tokens(url), filed)), _literal(index.get("", []), "array<int>")))
+
+
 def judge(pages: DataFrame, rules: list[Rule], own: tuple[Rule, ...] = OWN_RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, own_rule. ``rules`` decide first; ``own`` rules where none of them fits."""
     every = [*rules, *own]
     if len(every) > MAX_RULES:
         raise ValueError(f"{len(every)} rules; the index inside the plan is bounded to {MAX_RULES}")
-    index = rarest_token_index(pages, every)
-
-    def entry(k: int) -> Column:
-        r = every[k]
-        return F.struct(F.lit(r.strength).alias("strength"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"), F.lit(r.target).alias("target"), F.lit(k < len(rules)).alias("given"))
-
-    none = F.filter(F.array(entry(0)), lambda _: F.lit(False)) if every else None
-    base = pages.select("page_id", F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if not every:
-        return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("own_rule"))
-    filed = [F.when(F.array_contains(_tokens(F.col("url")), t), F.array(*map(entry, ks))).otherwise(none) for t, ks in sorted(index.items()) if t] if len(index) <= 64 else None
-    if filed is None:  # many tokens: look each token of the url up in one map
-        table = F.create_map(*(x for t, ks in sorted(index.items()) if t for x in (F.lit(t), F.array(*map(entry, ks)))))
-        fetched = F.flatten(F.transform(_tokens(F.col("url")), lambda t: F.coalesce(F.try_element_at(table, t), none)))
-    else:
-        fetched = F.concat(*filed) if filed else none
-    if index.get(""):
-        fetched = F.concat(fetched, F.array(*map(entry, index[""])))
+    table = _literal([{"strength": r.strength, "name": r.name, "action": r.action, "pattern": r.pattern, "url": r.target == "url", "given": k < len(rules)} for k, r in enumerate(every)], f"array<{RULE}>")
+    base = pages.select("page_id", F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), fetched_rules(F.col("url"), rarest_token_index(pages, every)).alias("numbers"))
     site, low = F.concat("host", "path"), F.lower(F.coalesce(F.col("url"), F.lit("")))
-    fits = F.filter(fetched, lambda r: F.when(r["target"] == "url", F.rlike(low, r["pattern"])).otherwise((F.col("host") != "") & F.rlike(site, r["pattern"])))
+    fits = F.filter(F.transform("numbers", lambda k: F.get(table, k)), lambda r: F.when(r["url"], F.rlike(low, r["pattern"])).otherwise((F.col("host") != "") & F.rlike(site, r["pattern"])))
     got = base.select("page_id", "host", "path", fits.alias("fits"))
     got = got.select("page_id", "host", "path", F.array_max(F.filter("fits", lambda r: r["given"])).alias("g"), F.array_max(F.filter("fits", lambda r: ~r["given"])).alias("o"))
     return got.select("page_id", "host", "path", F.col("g.name").alias("rule"), F.coalesce("g.action", "o.action", F.lit(default)).alias("verdict"), F.when(F.col("g.name").isNull(), F.col("o.name")).alias("own_rule"))

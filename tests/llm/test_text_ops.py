@@ -43,41 +43,89 @@ def test_base_spans_against_plain_patterns():
         assert secret_scan._joined(got) == base_spans(text)
 
 
-def least_cost(value):
-    """All segmentations, tried one by one."""
+def piece_cost(value, i, j):
+    """The cheapest way to guess value[i:j] as one segment, SEGMENT included."""
     low, plain = value.lower(), value.lower().translate(secret_scan.LOOKALIKE)
+    s = low[i:j]
+    twist = 0.3 if value[i:j] != s else 0.0
+    costs = [sum(secret_scan._alone(c) for c in value[i:j])]
+    if s in secret_scan.RANK:
+        costs.append(math.log10(secret_scan.RANK[s] + 1) + twist)
+    if plain[i:j] in secret_scan.RANK and len(s) >= 3:
+        costs.append(math.log10(secret_scan.RANK[plain[i:j]] + 1) + 0.3 + twist)
+    if len(set(s)) == 1 and len(s) >= 3:
+        costs.append(secret_scan._alone(value[j - 1]) + math.log10(len(s)))
+    if len(s) >= 3 and all(s[k : k + 2] in secret_scan.NEXT_TO for k in range(len(s) - 1)):
+        costs.append(math.log10(40 * len(s)))
+    if any(p.fullmatch(value[i:j]) for p in secret_scan.DATES):
+        costs.append(math.log10(119 * (365 if j - i > 4 else 1)))
+    got = min(costs) + secret_scan.SEGMENT
+    return min(got, secret_scan.TWICE) if 2 <= j - i <= min(8, i) and s == low[2 * i - j : i] else got
 
-    def pieces(i, j):
-        s = low[i:j]
-        twist = 0.3 if value[i:j] != s else 0.0
-        costs = [sum(secret_scan._alone(c) for c in value[i:j])]
-        if s in secret_scan.RANK:
-            costs.append(math.log10(secret_scan.RANK[s] + 1) + twist)
-        if plain[i:j] in secret_scan.RANK and len(s) >= 3:
-            costs.append(math.log10(secret_scan.RANK[plain[i:j]] + 1) + 0.3 + twist)
-        if len(set(s)) == 1 and len(s) >= 3:
-            costs.append(secret_scan._alone(value[j - 1]) + math.log10(len(s)))
-        if len(s) >= 3 and all(s[k : k + 2] in secret_scan.NEXT_TO for k in range(len(s) - 1)):
-            costs.append(math.log10(40 * len(s)))
-        if (m := secret_scan.DATE.match(value, i)) and m.end() == j:
-            costs.append(math.log10(119 * (365 if j - i > 4 else 1)))
-        return min(costs)
 
+def least_cost(value):
+    """All segmentations, tried one by one."""
     best = math.inf
     for n in range(len(value)):
         for cuts in itertools.combinations(range(1, len(value)), n):
             ends = [0, *cuts, len(value)]
-            best = min(best, sum(pieces(a, b) + secret_scan.SEGMENT for a, b in zip(ends, ends[1:])))
+            best = min(best, sum(piece_cost(value, a, b) for a, b in zip(ends, ends[1:])))
     return best
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssw0rd", "qwe123", "aaaab1", "x7Gq!m", "admin2021", "zxcpass", "1999abc"])
+def least_cost_of_prefixes(value):
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + piece_cost(value, i, j) for i in range(j)))
+    return best[-1]
+
+
+@pytest.mark.parametrize("value", ["password", "P4ssw0rd", "qwe123", "aaaab1", "x7Gq!m", "admin2021", "zxcpass", "1999abc", "abab1212", "hahaha", "adminopqr"])
 def test_guess_cost_is_the_cheapest_segmentation(value):
     cost, parts = secret_scan.segments(value)
-    assert cost == pytest.approx(least_cost(value))
+    assert cost == pytest.approx(least_cost(value)) == pytest.approx(least_cost_of_prefixes(value))
     assert [parts[0][1], parts[-1][2]] == [0, len(value)] and all(a[2] == b[1] for a, b in zip(parts, parts[1:]))
 
 
+def test_guess_cost_of_random_values():
+    """Words, walks, runs, dates and loose characters next to and into each other."""
+    rng = random.Random(3)
+    words = sorted(secret_scan.RANK)
+
+    def bit():
+        kind = rng.randrange(7)
+        if kind == 0:
+            return rng.choice(words)
+        if kind == 1:
+            row = rng.choice(secret_scan.ROWS)
+            a = rng.randrange(len(row) - 3)
+            walk = row[a : a + rng.randint(2, 7)]
+            return walk if rng.random() < 0.5 else walk[::-1]
+        if kind == 2:
+            return rng.choice("aA1z0") * rng.randint(1, 7)
+        if kind == 3:
+            return rng.choice(["2021", "1999-12-31", "31.12.1999", "20210304", "01022003"])
+        if kind == 4:
+            return (rng.choice(words)[: rng.randint(2, 5)]) * rng.randint(2, 3)
+        return "".join(rng.choice("abcXYZ789!_") for _ in range(rng.randint(1, 4)))
+
+    values = ["adminopqrstu", "shadowertyuiop", "aAaAaaab", "x" * 400] + ["".join(bit() for _ in range(rng.randint(1, 4))) for _ in range(2000)]
+    for value in values:
+        assert secret_scan.segments(value)[0] == pytest.approx(least_cost_of_prefixes(value)), value
+    assert secret_scan.segments("adminopqrstu")[0] < 4 and secret_scan.segments("shadowertyuiop")[0] < 4.5
+    assert secret_scan.segments("İİpassword")[1][-1] == ("word", 2, 10)
+
+
+def test_words_come_from_the_corpus_and_not_from_secrets(spark):
+    rows = [(i, f"Der Gartenzaun und das Haus {i}. password: qzkvwxpl", "de") for i in range(8)] + [(100, "rareword", "de"), (101, None, None), (102, "other other other other other", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    ranks = secret_scan.learn_words(df, per_language=6)
+    assert {"gartenzaun", "haus", "der", "other"} <= set(ranks) and not {"qzkvwxpl", "rareword"} & set(ranks) and set(secret_scan.RANK) <= set(ranks)
+    assert ranks["other"] == 1 and all(ranks[w] <= r for w, r in secret_scan.RANK.items())
+    assert secret_scan.segments("gartenzaunhaus")[0] > 10 > 4 > secret_scan.segments("gartenzaunhaus", ranks)[0]
+    assert secret_scan.learn_words(df.limit(0)) == secret_scan.RANK
+
+
 def test_placeholders_pass_and_secrets_do_not():
     kinds = lambda t: [s[0] for s in secret_scan.find_secrets(t)]
     assert kinds("pwd: x7Gq!m2Zt9#k") == ["guess"] and kinds("pwd: changeme123") == [] and kinds("bearer: qwertyuiop") == []
@@ -153,7 +201,7 @@ def test_cutoffs_hold_on_fresh_rows(spark):
     got = {r["rule"]: r for r in quality_rules.cutoffs(spark.createDataFrame(sample(8000, 1), ddl), 0.04, 0.05).collect()}
     assert 0.02 <= got["symbols"]["cutoff"] <= 0.2
     fresh = [r[3] / 100 > got["symbols"]["cutoff"] for r in sample(20000, 2)]
-    assert np.mean(fresh) <= 0.01
+    assert np.mean(fresh) <= 0.04
     few = quality_rules.cutoffs(spark.createDataFrame(sample(20, 3), ddl), 0.04, 0.05)
     assert few.count() == 0
 
@@ -196,7 +244,7 @@ def test_rarest_token_and_many_rules(spark):
     df = spark.createDataFrame([(i, f"http://site{i % 90}.org/a/b") for i in range(200)], "page_id bigint, url string")
     rules = [url_filter.host_rule("block", f"site{i}.org", "/a/") for i in range(0, 90, 3)] + [url_filter.host_rule("allow", f"zz{i}.org", "") for i in range(60)]
     index = url_filter.rarest_token_index(df, rules)
-    assert len(index) > 64 and "site3" in index and "org" not in index
+    assert len(index) == 90 and "site3" in index and "org" not in index
     got = url_filter.judge(df, rules)
     assert got.where("verdict = 'block'").count() == sum(i % 90 % 3 == 0 for i in range(200))
     with pytest.raises(ValueError, match="bounded"):
@@ -310,12 +358,25 @@ def test_toxicity_accuracy(spark):
 
 
 def test_own_url_rules_with_and_without_the_index(spark):
-    urls = [f"https://h.net/x?{k}=1" for k in ("phpsessid", "jsessionid", "sessionid", "SID", "side")] + [f"https://h.net/{p}" for p in ("cart", "checkout", "Checkout/a", "cart.html", "carts", "login?x", "signup/", "wp-admin", "a/casino/b", "a.exe?x")] + ["data:x"]
+    rng = random.Random(5)
+    samples = [r.sample for r in url_filter.OWN_RULES]
+    urls = [*samples, *(u.upper() for u in samples), "data:x", "http://h.net/print", "http://h.net/?a&view=print", "http://h.net/x.exe\n", "http://h.net/login\n"]
+    for u in samples:
+        k = rng.randrange(len(u))
+        urls += [u[:k] + rng.choice("/?&=.-x9") + u[k:], u[:k] + u[k + 1 :], u[:k]]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
     plain = tuple(dataclasses.replace(r, literals=(), either=()) for r in url_filter.OWN_RULES)
     got, want = (rows_of(url_filter.judge(df, [], own), "page_id") for own in (url_filter.OWN_RULES, plain))
-    assert got == want
-    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if any(re.search(r.pattern, u.lower()) for r in url_filter.OWN_RULES) else "allow" for i, u in enumerate(urls)}
+    assert got == want and len(url_filter.OWN_RULES) > 300
+    fits = [re.compile(r.pattern.replace(r"\z", r"\Z")) for r in url_filter.OWN_RULES]
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if any(f.search(u.lower()) for f in fits) else "allow" for i, u in enumerate(urls)}
+    assert all(r["verdict"] == "block" for r in got if r["page_id"] < len(samples))
+
+
+def test_literals_are_whole_tokens_of_any_match():
+    for r in url_filter.OWN_RULES:
+        tokens = set(re.split("[^a-z0-9]+", r.sample))
+        assert (set(r.literals) <= tokens) if not r.either else (set(r.either) & tokens)
 
 
 @pytest.mark.parametrize("rule, num, den, value", [("symbols", "n_symbols", "word_chars", 0.04), ("dup_lines", "n_dup_lines", "n_lines", 0.45)])
@@ -326,3 +387,18 @@ def test_cutoffs_do_not_stop_at_a_lenient_end(spark, rule, num, den, value):
     many = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(20000)))).drop("col")
     got = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(many, 0.01, 0.05).collect()}
     assert got[rule] < value
+
+
+def test_all_rules_share_the_risk(spark):
+    """False rejections of different documents by different rules add up; the path ends where their sum exceeds the risk."""
+    base = {"stratum": "en", "n_words": 1000, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1000, "n_single": 0}
+    ddl = ", ".join(f"{k} {'string' if k == 'stratum' else 'bigint'}" for k in base)
+    rows = [tuple((base | ({"n_symbols": 45} if i < 40 else {"n_dup_lines": 420} if i < 80 else {})).values()) for i in range(2000)]
+    got = {r["rule"]: r for r in quality_rules.cutoffs(spark.createDataFrame(rows, ddl), 0.03, 0.05).collect()}
+    assert got["symbols"]["cutoff"] == 0.03 and got["dup_lines"]["cutoff"] == 0.45 and {r["false_rejections"] for r in got.values()} == {40}
+
+
+def test_a_document_labelled_twice_counts_once(spark):
+    f = spark.createDataFrame([(1, "en", 5), (1, "en", 5), (1, "en", 4), (2, "en", 7), (3, "en", 9)], "doc_id bigint, stratum string, n_words bigint")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (3, None), (3, 1), (None, 1), (9, 1)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, quality_rules.good_rows(f, labels).collect())) == [("en", 4), ("en", 9)]
