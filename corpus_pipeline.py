@@ -7,7 +7,6 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docprobe.llm import packing, secret_scan, simhash, systematic_mix, toxicity
 from docprobe.llm.common import stored
@@ -18,28 +17,44 @@ REJECT = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    Null and empty texts score as texts without tokens, and stay unless the labels are toxic nearly throughout; repeated rows meet the same fate; without labels of both kinds
+    every row stays; an empty table gives no rows; other columns go through untouched.
+    """
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), REJECT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or similar texts stays."""
+    """One document of each group of equal or similar texts stays: the one with the smallest doc_id, once.
+
+    Null and empty texts are equal texts; rows without a doc_id stay, as no smallest id can stand for them; very long texts are compared whole; other columns
+    go through untouched; an empty table gives no rows.
+    """
     return simhash.without_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark; no document goes.
+
+    A null text stays null, an empty one empty; repeated rows and null ids stay; n_chars follows the new text, other columns go through untouched.
+    """
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to the target weights takes it: 0 to 3 times."""
-    mixed = systematic_mix.mix(docs.withColumn("_row", F.struct(*docs.columns)), keep=("_row",))
-    return mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("_row.*")
+    """Each document as often as the mix to the target weights takes it: 0 to 3 times.
+
+    A null text has size 0 and is as likely taken as any other of its source; a source without words, and an empty table, give no rows.
+    """
+    return systematic_mix.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens.
+
+    Null and empty texts are one end id; copies are packed each for itself; a text longer than a sequence is cut; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 

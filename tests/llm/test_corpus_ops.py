@@ -1,6 +1,7 @@
 """Token files, packing, near-duplicates, fingerprints, mixing, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -388,8 +389,37 @@ def test_mix_near_targets(spark, odd_docs, no_docs):
         b[2] = max(b[2], r["size"])
     for target, taken, largest in by.values():
         assert abs(taken - target) <= largest
-    odd = systematic_mix.mix(odd_docs).collect()
-    assert len(odd) == 10 and systematic_mix.mix(no_docs).count() == 0
+    odd = {(r["doc_id"], r["source"], r["size"]): r for r in systematic_mix.mix(odd_docs).collect()}
+    assert systematic_mix.mix(odd_docs).count() == 10 and systematic_mix.mix(no_docs).count() == 0
+    assert (3, None, 0) in odd and (5, "c", 0) in odd and (None, "a", 8) in odd and odd[(3, None, 0)]["source_size"] == 39000
+    assert odd[(7, "b", 9)]["source_size"] == 18 and odd[(1, "a", 5)]["source_size"] == 18
+
+
+def test_slices_and_runs_change_no_result(spark, monkeypatch):
+    """A hot size, a hot id and rows alike in everything; py_mix ranks them in one list."""
+    rows = [(i, f"one two three {i % 7}", "a") for i in range(300)] + [(None, "one two three", "a")] * 150 + [(5, "x " * (i % 4), "b") for i in range(90)] + [(5, "same", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plain = sorted(map(str, systematic_mix.mix(df).collect()))
+    monkeypatch.setattr(systematic_mix, "ROWS_PER_SLICE", 10)
+    monkeypatch.setattr(systematic_mix, "RUN", 7)
+    assert sorted(map(str, systematic_mix.mix(df).collect())) == plain and len(plain) == len(rows)
+    sums = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in ("a", "b", None)}
+    aims, want = py_targets(sums), []
+    for s in sums:
+        mine = sorted((len(t.split()), hashlib.md5(f"{'null' if d is None else d}:{t}".encode()).hexdigest(), d) for d, t, o in rows if o == s)
+        u = int(hashlib.md5(f"0:mix:{'n' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = aims[s] / sums[s]
+        want += [(d, s, n, math.floor((k + 1) * rate + u) - math.floor(k * rate + u)) for k, (n, _, d) in enumerate(mine)]
+    got = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in systematic_mix.mix(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    whole = sorted(map(str, (tuple(r) for r in systematic_mix.mixed_rows(df.withColumn("_mix", F.lit(1))).select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("n")).collect())))
+    assert whole == sorted(str(r[:3]) for r in want for _ in range(r[3]))
+
+
+def test_mixed_rows_edges(odd_docs, no_docs):
+    got = systematic_mix.mixed_rows(odd_docs)
+    assert got.columns == odd_docs.columns and systematic_mix.mixed_rows(no_docs).count() == 0
+    assert got.count() == systematic_mix.mix(odd_docs).agg(F.sum("copies")).first()[0]
 
 
 # --- pipeline ---
