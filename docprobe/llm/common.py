@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +75,19 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def runs_of_texts(batch: pa.RecordBatch, column: int, rows: int = 500, bytes_: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and, unless a text is longer by itself, ``bytes_`` bytes of text."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    a = held = 0
+    for b, n in enumerate(sizes):
+        if b > a and (b - a >= rows or held + n > bytes_):
+            yield batch.slice(a, b - a)
+            a, held = b, 0
+        held += n
+    if a < len(sizes):
+        yield batch.slice(a)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

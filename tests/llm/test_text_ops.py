@@ -265,19 +265,42 @@ def py_phrases(text, symbols):
     return count
 
 
-def test_phrases_against_substring_search():
+@pytest.mark.parametrize("lane,dense", [(256, 16_000_000), (16, 16_000_000), (16, 20_000), (7, 0)])
+def test_phrases_against_substring_search(monkeypatch, lane, dense):
+    """Over many lanes, with few and no columns for letters; some texts are pieces of the training text, some periodic."""
+    monkeypatch.setattr(language_id, "LANE", lane)
+    monkeypatch.setattr(language_id, "DENSE", dense)
     rng = random.Random(7)
     texts = {k: "".join(rng.choice(s) for _ in range(800)) for k, s in (("aa", "abc d"), ("bb", "abxy e"))}
+    texts["cc"] = "ab" * 60 + " " + "dc" * 30
     model = language_id.Automata(texts)
-    docs = ["".join(rng.choice("abcdxye Q!7") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    docs = ["".join(rng.choice("abcdxye Q!7") for _ in range(rng.randint(1, 900))) for _ in range(40)]
+    docs += [texts["aa"][100:700] + texts["bb"][:300], "ab" * 500, "abc" * 300 + texts["aa"][:200], "dc" * 200 + "ab" * 400, "", "?"]
     codes, sizes = model.codes(docs)
-    spelt = {k: bytes(model.codes([t])[0]) for k, t in texts.items()}
+    spelt = {k: bytes(model.codes([t])[0].astype(np.uint8)) for k, t in texts.items()}
     got = model.phrases(codes, sizes)
     at = 0
     for i, n in enumerate(sizes):
-        piece = bytes(codes[at : at + n])
+        piece = bytes(codes[at : at + n].astype(np.uint8))
         at += n
-        assert [py_phrases(spelt[k], piece) for k in ("aa", "bb")] == got[i].tolist()
+        assert [py_phrases(spelt[k], piece) for k in texts] == got[i].tolist()
+
+
+def test_any_number_of_letters_is_told_apart(spark):
+    """Two languages in Han script without a letter in common, and one of long documents only."""
+    rng = random.Random(11)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(700)], "ko": [chr(0x4E00 + 700 + i) for i in range(700)], "de": [*"der die das und Haus Garten ist nicht"]}
+    rows = []
+    for lang, letters in signs.items():
+        size = 9_000 if lang == "de" else 200
+        rows += [(len(rows), "".join(rng.choice(letters) for _ in range(size)), lang) for _ in range(40)]
+    rows += [(None, "the quick brown fox jumps over it " * 3 + str(i), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learnt = language_id.training_texts(df)
+    assert sorted(learnt) == ["de", "en", "ko", "zh"] and all(len(t) <= 26_100 for t in learnt.values()) and len(language_id.Automata(learnt).classes[0x4E00:0x4E00 + 1400].clip(0).nonzero()[0]) > 1300
+    got = language_id.identify(df).collect()
+    want = {r[0]: r[2] for r in rows if r[0] is not None}
+    assert all(r["lang_pred"] == want.get(r["doc_id"], "en") for r in got)
 
 
 def test_language_edges(odd_docs, no_docs):
