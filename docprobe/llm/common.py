@@ -25,6 +25,12 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def lowered(text: str) -> str:
+    """Lower case in which every character keeps its place (what would become two characters stays)."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learnt from: crc32 of the id as text, mod 4, is 2 (a null id: false)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))

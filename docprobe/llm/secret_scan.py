@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import map_rows, text_of
+from docprobe.llm.common import lowered, map_rows, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 BASE = (
@@ -69,12 +69,6 @@ def _alone(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 40)
 
 
-def _lower(value: str) -> str:
-    """Lower case, character by character, so that places stay."""
-    low = value.lower()
-    return low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
-
-
 def _starts(alive: list[int], best: list[float], j: int) -> list[int]:
     """The starts (in ascending order) of a segment of cost log10(its length) that may be the cheapest for an end at j or later; the last is the cheapest at j.
 
@@ -98,7 +92,7 @@ def segments(value: str, ranks: Mapping[str, int] = RANK, longest: int | None =
     ranks: known words, lower case; longest: the length of the longest. A repeat is a run of one character, or a unit of 2 to 8 characters that
     stands directly before (as dear as a count of two, and no segment of its own).
     """
-    n, low = len(value), _lower(value)
+    n, low = len(value), lowered(value)
     plain = low.translate(LOOKALIKE)
     longest = max(map(len, ranks), default=0) if longest is None else longest
     ending: list[list[tuple[float, int, str]]] = [[] for _ in range(n + 1)]

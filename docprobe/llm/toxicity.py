@@ -7,11 +7,12 @@ forward-backward marginals give each token's probability; their maximum, sum and
 logistic score, and runs of tokens with a marginal of 0.5 or more are the offending offsets.
 
 Training uses a bounded sample (``rows_per_class`` toxic labelled rows and twice as many clean ones, picked by a hash of the id, never from the held-out
-fold). Everything else covers all rows, whole, in one narrow pass. Sentences are the chains; all sentences of a batch run through
+fold; of a longer text ``chars_per_row`` characters from a place set by a hash). Everything else covers all rows, whole, in one narrow pass. Sentences are the chains; all sentences of a batch run through
 forward-backward at once, grouped by length.
 
 Defined results: null or empty text gets the score of a text without tokens; labels that are null are not used; a row labelled twice counts as toxic
-if any label says so; without labelled rows of both classes every score is 0; repeated rows and null doc_ids are kept; an empty table gives no rows.
+if any label says so; without labelled rows of both classes every score is the one of a text without tokens; repeated rows and null doc_ids are kept (of rows that repeat an id one is learnt
+from); offsets are code points of the text as it stands; an empty table gives no rows; other columns are ignored, also those named like a result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import hash01, held_out, map_rows, text_of
+from docprobe.llm.common import hash01, held_out, lowered, map_rows, runs_of_texts, text_of
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -58,7 +59,7 @@ def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most:
     """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     floor = max(min_docs, 0.01 * n1)
-    words = [[intern(w) for w in TOKEN.findall(t.lower()) if w not in ENDS] for t in texts]  # one object a word: the driver's memory is small
+    words = [[intern(w) for w in TOKEN.findall(lowered(t)) if w not in ENDS] for t in texts]  # one object a word: the driver's memory is small
     held = lambda i: {f for w in set(words[i]) for f in _features(w)}
     # most features are rare: a table of counts by hash sieves them out before any is kept by name
     sieve, mask = np.zeros(1 << 22, np.int32), (1 << 22) - 1
@@ -192,7 +193,7 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     marks = toxic_features(texts, toxic)
     sentences, labels, plain = [], [], []
     for text, bad in zip(texts, toxic):
-        for s in _sentences(list(map(intern, TOKEN.findall(text.lower())))):
+        for s in _sentences(list(map(intern, TOKEN.findall(lowered(text))))):
             y = [int(bad and any(f in marks for f in _features(w))) for w in s]
             if any(y):
                 sentences.append(s)
@@ -253,7 +254,7 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
 
 def summaries(field: Field, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(constant, largest marginal, log of 1 + their sum, root of their mean) of each text, and the marginals of its tokens."""
-    each_tokens = [TOKEN.findall(t.lower()) for t in texts]
+    each_tokens = [TOKEN.findall(lowered(t)) for t in texts]
     rows = field.rows(list(chain.from_iterable(each_tokens)))
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in each_tokens])
     real = rows != 0
@@ -279,8 +280,8 @@ def fit_score(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500) -> Field:
-    """From a bounded sample: at most about ``rows_per_class`` toxic labelled rows and twice as many clean ones, outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500, chars_per_row: int = 10_000) -> Field:
+    """From a bounded sample: at most about ``rows_per_class`` toxic labelled rows and twice as many clean ones, outside the held-out fold, ``chars_per_row`` characters of each."""
     rank = hash01(F.col("doc_id"), F.lit("toxicity sample"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -288,7 +289,10 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500) -> Fi
     if not n.get(1) or not n.get(0):
         return Field()
     sample = known.where(rank <= F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    got = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(sample), "doc_id").collect()  # bounded by rows_per_class
+    text = text_of(docs)
+    at = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars_per_row, F.lit(0)) + 1).cast("int")
+    pieces = docs.select("doc_id", F.substring(text, at + 1, F.lit(chars_per_row)).alias("text"))
+    got = pieces.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # a row a sampled id
     got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in got})
     texts, toxic = [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
     if not toxic.any() or toxic.all():
@@ -304,7 +308,7 @@ def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[tuple[in
     """Code-point offsets (end exclusive) of runs of offending tokens."""
     out: list[tuple[int, int]] = []
     k, open_ = 0, False
-    for m in TOKEN.finditer(text.lower()):
+    for m in TOKEN.finditer(lowered(text)):
         if m[0] in ENDS:
             open_ = False
             continue
@@ -328,8 +332,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows_per_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
+            for part in runs_of_texts(batch, 2, rows=250):
                 texts = part.column(2).to_pylist()
                 s, each = judged(texts)
                 marked = [",".join(f"{b}:{e}" for b, e in spans(t, m)) if m.max(initial=0.0) >= 0.5 else "" for t, m in zip(texts, each)]
@@ -337,8 +340,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows_per_c
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
+            for part in runs_of_texts(batch, at, rows=250):
                 s, _ = judged([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(s < threshold))
 

@@ -361,6 +361,8 @@ def test_toxicity_finds_words_and_offsets():
     x, [m] = toxicity.summaries(field, [new])
     assert 1 / (1 + math.exp(-float(x[0] @ field.score))) > 0.5
     assert [new[a:b] for a, b in toxicity.spans(new, m)] == ["Vileq"]
+    odd = "\u0130\u0130\u0130 ẞ vileq house"  # a letter whose lower case is two code points
+    assert [odd[a:b] for a, b in toxicity.spans(odd, toxicity.summaries(field, [odd])[1][0])] == ["vileq"]
     x, _ = toxicity.summaries(field, ["the cat sat.", ""])
     assert (1 / (1 + np.exp(-x @ field.score)) < 0.3).all()
 
@@ -373,6 +375,26 @@ def test_toxicity_edges(odd_docs, no_docs, labels):
     assert kept.columns == odd_docs.columns and kept.count() == 10
 
 
+def test_one_id_on_all_rows_gives_one_row_to_learn_from(spark):
+    words = ["tree", "house", "blue", "green", "river"]
+    rows = [(1, " ".join(words) + " vile.") for _ in range(500)] + [(i, " ".join(words[i % 5 :] * 4000)) for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20, 40)] + [(i, 0) for i in range(40, 60)] + [(1, 1), (1, 1)], "doc_id bigint, toxic int")
+    seen = {}
+    real = toxicity.train_field
+
+    def watch(texts, toxic, **more):
+        seen["chars"] = [len(t) for t in texts]
+        return real(texts, toxic, **more)
+
+    toxicity.train_field = watch
+    try:
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.train_field = real
+    assert len(seen["chars"]) <= 41 and max(seen["chars"]) == 10_000 and min(seen["chars"]) < 40
+
+
 def test_toxicity_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out")
