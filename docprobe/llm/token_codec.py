@@ -5,12 +5,13 @@ word is one raw 64-bit id. A block is a run of whole documents of about ``BLOCK`
 (magic, format version, numbers of ids, documents and words), then the words, then the documents' lengths in the same code,
 so that any block decodes by itself with a few array operations.
 
-A file set is a Parquet table of blocks (shard, block, block_start, first_doc, n_ids, n_docs, doc_ids, payload), because only Spark's own writers
-commit output safely to a cluster's store. Shards ascend in doc_id: rows are dealt by range and sorted within. ``block_start``
+A file set is a Parquet table of blocks (shard, block, block_start, first_doc, n_ids, n_docs, n_null, doc_ids, payload), because only Spark's own writers
+commit output safely to a cluster's store. Shards ascend in doc_id: rows are dealt by range and sorted within; rows of one id lie in the
+order of a hash of their text, rows alike in both in that of the input, so that many of one id fill many shards. ``block_start``
 counts the shard's ids before the block; shard totals (a row a shard) give the global start.
 
-Defined results: null text is empty text (just the end id); repeated rows are all written, in the order of their text; a
-null doc_id comes first; an empty table gives an empty file set; other columns are ignored.
+Defined results: null text is empty text (just the end id); repeated rows are all written; null doc_ids come first (the first ``n_null`` of a
+block have none); a very long text makes a block by itself; an empty table gives an empty file set; other columns are ignored, also those named like a result.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import map_rows, scratch_dir, text_of
+from docprobe.llm.common import map_rows, runs_of_texts, scratch_dir, text_of
 from docprobe.llm.tokens import encoder, public_path
 
 #: selector -> (ids in a word, bits of each); 0 is the escape, 1 a run of zeros.
 LAYOUT = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK = 1 << 16
 MAGIC, HEADER = b"DPS8", struct.Struct("<4sIQQQQ")
-BLOCKS = "shard int, block int, block_start bigint, first_doc bigint, n_ids bigint, n_docs bigint, doc_ids binary, payload binary"
+BLOCKS = "shard int, block int, block_start bigint, first_doc bigint, n_ids bigint, n_docs bigint, n_null bigint, doc_ids binary, payload binary"
 
 
 _SHORT = np.array([k.bit_length() for k in range(1 << 16)], np.int8)
@@ -139,7 +140,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     """
     n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "h", "row"]
+    dealt = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,18 +157,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             nonlocal block, start, size
             ids = np.frombuffer(b"".join(parts), "<u4")
             payload = encode_block(ids, np.array([len(p) // 4 for p in parts]))
-            keys = np.array([-(1 << 63) if d is None else d for d in names], "<i8").tobytes()
-            row = [[shard], [block], [start], [names[0]], [len(ids)], [len(names)], [keys], [payload]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            keys = np.array([d or 0 for d in names], "<i8").tobytes()
+            row = [[shard], [block], [start], [names[0]], [len(ids)], [len(names)], [names.count(None)], [keys], [payload]]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
             block, start, size = block + 1, start + len(ids), 0
             names.clear()
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                some = batch.column(1).slice(a, 200).to_pylist()
-                for doc, ids in zip(batch.column(0).slice(a, 200).to_pylist(), enc.ids(some)):
+            for part in runs_of_texts(batch, 1, rows=200):
+                for doc, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1).to_pylist())):
                     names.append(doc)
                     parts.append(ids + end)
                     size += len(ids) // 4 + 1
@@ -189,18 +190,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, start, names, payload in zip(*(batch.column(i) for i in range(4))):
+            for shard, start, nulls, names, payload in zip(*(batch.column(i) for i in range(5))):
                 ids, lengths = decode_block(payload.as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
                 docs, begins = np.frombuffer(names.as_py(), "<i8"), ends - lengths.astype(np.int64)
                 each = [ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, ends)]
-                out = [pa.array(docs, mask=docs == -(1 << 63)), pa.array(begins + (base[shard.as_py()] + start.as_py())), pa.array(ends - begins), pa.array([zlib.crc32(e) for e in each], pa.int64())]
+                out = [pa.array(docs, mask=np.arange(len(docs)) < nulls.as_py()), pa.array(begins + (base[shard.as_py()] + start.as_py())), pa.array(ends - begins), pa.array([zlib.crc32(e) for e in each], pa.int64())]
                 if with_ids:
                     out.append(pa.array([np.frombuffer(e, "<u4").astype(np.int64).tolist() for e in each], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return map_rows(blocks.select("shard", "block_start", "doc_ids", "payload"), run, schema, "docprobe.llm.tokens")
+    return map_rows(blocks.select("shard", "block_start", "n_null", "doc_ids", "payload"), run, schema, "docprobe.llm.tokens")
 
 
 def write_and_read(docs: DataFrame, **options: object) -> DataFrame:

@@ -67,6 +67,20 @@ def test_token_files(odd_docs, no_docs, spark, tmp_path):
     assert len(got) == 10 and token_codec.write_and_read(no_docs).count() == 0
 
 
+def test_one_id_on_all_rows_fills_many_shards(spark):
+    rows = [(5, "all alike")] * 3000 + [(5, f"text {i}") for i in range(1000)] + [(-(1 << 63), "lowest id"), (None, "no id")] + [(None, "")] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted(token_codec.write_and_read(df, shards=8).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.r_[0, np.cumsum([r["n_tokens"] for r in got])[:-1]].tolist()
+    assert [r["doc_id"] for r in got] == [None] * 41 + [-(1 << 63)] + [5] * 4000
+    path = tokens.public_path("byte_bpe_50k.json")
+    crc = lambda t: zlib.crc32(np.array(tokens.encoder(path, False).tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(d), crc(t)) for d, t in rows)
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    sizes = [r["count"] for r in df.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
 def test_long_runs_of_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word and more " * (i % 50)) for i in range(300)], "doc_id bigint, text string")
     got = sorted(token_codec.write_and_read(docs, shards=5).collect(), key=lambda r: r["doc_id"])
@@ -134,6 +148,22 @@ def test_weights_and_reruns(spark):
     assert odd / sum(r[2] for r in first) == pytest.approx(0.75, abs=0.06)
 
 
+def test_groups_of_windows_change_no_result(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four five " * (i % 30 + 1), f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string")
+    want = sorted(map(tuple, packing.pack(docs, length=64, window=2).collect()))
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    for group, parts in ((1, 2), (3, 1), (64, 40)):
+        monkeypatch.setattr(packing, "GROUP", group)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert sorted(map(tuple, packing.pack(docs, length=64, window=2).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    check_pieces(packing.pack(docs, length=64, window=2, weights={"s0": 5, "s1": 1}).collect(), texts_of(docs), 64)
+    with pytest.raises(ValueError, match="above 0"):
+        packing.pack(docs, weights={"s0": 0})
+
+
 # --- near-duplicates ---
 
 
