@@ -61,6 +61,27 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal fingerprints, and how many other classes are alike."""
+    return spotsigs.links(table(spark, sf_dir, "documents"))
+
+
+def _spotsigs_links_sql(threshold: float = 0.8) -> str:
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(spotsigs.ANCHORS))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+u AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 AND w[i - 1] IN ({stop}) THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+c AS (SELECT doc_id, a, w, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM u WHERE w NOT IN ({stop})),
+g AS (SELECT DISTINCT doc_id, a || ' ' || w || ' ' || w1 || ' ' || w2 AS g FROM c WHERE a IS NOT NULL AND w2 IS NOT NULL),
+s AS (SELECT doc_id, g FROM g UNION ALL SELECT doc_id, CASE WHEN len(w) > 0 THEN 'all ' || array_to_string(w, ' ') ELSE 'raw ' || text END FROM t WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM g)),
+k AS (SELECT t.doc_id, coalesce(string_agg(g, chr(10) ORDER BY g), '') AS k, count(g) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id),
+r AS (SELECT k, min(doc_id) AS class_id, any_value(n) AS n FROM k GROUP BY k),
+cs AS (SELECT class_id, n, g FROM r JOIN s ON s.doc_id = r.class_id),
+p AS (SELECT x.class_id AS a, y.class_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM cs x JOIN cs y ON x.g = y.g AND x.class_id <> y.class_id GROUP BY ALL),
+l AS (SELECT a, count(*) AS n_links FROM p WHERE shared::DOUBLE / (na + nb - shared) >= {threshold} GROUP BY a)
+SELECT k.doc_id, r.class_id, coalesce(n_links, 0) AS n_links FROM k JOIN r USING (k) LEFT JOIN l ON l.a = r.class_id"""
+
+
 def _op2_sql(risk: float = 0.025, alpha: float = 0.05) -> str:
     path = ", ".join(f"({t}, '{r}', {float(quality_rules.RULES[r][2][i])!r}::DOUBLE)" for t, (i, r) in enumerate(quality_rules.PATH))
     ratios = " ".join(f"WHEN '{r}' THEN {num}::DOUBLE / greatest({den}, 1)" for r, (num, den, _) in quality_rules.RULES.items())
@@ -137,6 +158,6 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * (floor(k *
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules)
+    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules, spotsigs_links)
 }
-ORACLE: dict[str, str] = {"url_own_rules": _url_own_rules_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}
+ORACLE: dict[str, str] = {"url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}

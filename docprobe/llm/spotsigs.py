@@ -7,20 +7,25 @@ with words but without a signature has one, of all its words; a text without any
 empty text has the empty fingerprint. Equal texts therefore have equal fingerprints, and likeness is the Jaccard
 similarity of the sets (two empty ones: 1).
 
-``similar_pairs`` joins a whole table: distinct fingerprints are partitioned by set length (sets whose sizes are further apart than
-the threshold allows cannot meet), and within it only sets that share one of their rarest signatures are compared.
+``links`` joins a whole table: distinct fingerprints are partitioned by set length (sets whose sizes are further apart than
+the threshold allows cannot meet), within a partition only sets that share one of their first signatures, rare ones first, meet,
+and of those only pairs that their places in that order allow are compared whole (``similar_classes``).
 
 All of it is DataFrame operations.
+
+Defined results: null text is the empty text; repeated rows, null ids (first in the order of ids) and very long texts are taken as they are, rows of one id in the
+order of a hash of their text; the only document is its own next one; an empty table gives no rows; other columns are ignored, also those named like a result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import text_of
+from docprobe.llm.common import stored, text_of
 
 CHAIN = 3
 #: Common words of English, German, French and Spanish.
@@ -68,68 +73,122 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 10_000) -> DataFrame:
-    """rid, doc_id, text, next_text: the text of the document with the next greater doc_id; after the last, the first.
+def _passed(cuts: list[int]) -> Column:
+    """How many of the (sorted) cuts the doc_id has reached: two levels of about the square root of the cuts each, so few comparisons a row."""
+    g = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + g] for i in range(0, len(cuts), g)]
+    passed = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("doc_id")))
+    block = F.greatest(passed(F.lit([b[0] for b in blocks])), F.lit(1)) - 1
+    return F.coalesce(block * g + passed(F.get(F.array(*(F.lit(b) for b in blocks)), block)), F.lit(0))
+
 
-    Ids are cut into ranges at approximate quantiles (at most ``most_ranges`` numbers on the driver); each range is one group of a window, and the
-    first document of a range is also sent to the range before it. Rows with equal doc_id stand in the order of their text's hash; null ids come first.
+def with_next(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 100_000) -> DataFrame:
+    """range, sub, ghost, doc_id, h, text, next_text: the text of the document with the next greater doc_id; after the last, the first.
+
+    Ids are cut into ranges at approximate quantiles (at most ``most_ranges`` numbers on the driver); the rows of an id that has far more than a range's share are cut further by
+    ranges of h, the hash of their text. Each (range, sub) is one group of a window, and the first document of a group is also sent to the
+    group before it, as a ghost. Rows with equal doc_id stand in the order of h; null ids come first.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     n = rows.agg(F.count(F.lit(1))).first()[0]
     ranges = max(1, min(most_ranges, n // rows_per_range))
     cuts: list[int] = []
     if ranges > 1:
         cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []))
-    at = F.lit(0)
-    if cuts:  # two levels of about the square root of the cuts each: few comparisons a row
-        g = math.isqrt(len(cuts)) + 1
-        blocks = [cuts[i : i + g] for i in range(0, len(cuts), g)]
-        passed = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("doc_id")))
-        block = F.greatest(passed(F.lit([b[0] for b in blocks])), F.lit(1)) - 1
-        at = F.coalesce(block * g + passed(F.get(F.array(*(F.lit(b) for b in blocks)), block)), F.lit(0))
-    rows = rows.withColumn("range", at)
-    heads = rows.groupBy("range").agg(F.min(F.struct("doc_id")).alias("m")).collect()  # at most most_ranges + 1 rows
-    heads = sorted((r["range"], r["m"]["doc_id"]) for r in heads)
-    ghosts = [(d, heads[i - 1][0]) for i, (_, d) in enumerate(heads)]  # the first range's head goes behind the last range
-    if not heads:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    also = docs.sparkSession.createDataFrame(ghosts, "head bigint, to int")
-    sent = rows.join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    places = F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))), F.when(F.col("to").isNotNull(), F.array(F.struct(F.col("to").alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array().cast("array<struct<range:int,ghost:boolean>>")))
-    sent = sent.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.*", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
-    return sent.withColumn("next_text", F.lead("text").over(order))
+    rows = rows.select((_passed(cuts) if cuts else F.lit(0)).cast("int").alias("range"), "doc_id", "text", F.xxhash64("text").alias("h"))
+    first = F.min(F.struct("doc_id"))  # nulls are least
+    found = sorted((r["range"], r["m"]["doc_id"], r["n"]) for r in rows.groupBy("range").agg(first.alias("m"), F.count(F.lit(1)).alias("n")).collect())  # at most ``ranges`` + 1 rows
+    share = max(rows_per_range, n // ranges)
+    crowded = [(k, d, -(-c // share)) for k, d, c in found if c > 4 * share]
+    rows = rows.withColumn("sub", F.lit(0))
+    key = ["doc_id"]
+    heads = [(k, 0, d) for k, d, _ in found]
+    if crowded:
+        key = ["doc_id", "h"]
+        many = F.broadcast(spark.createDataFrame(crowded, "range int, many bigint, subs bigint"))
+        sub = F.when(F.col("many").eqNullSafe(F.col("doc_id")), F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("subs")), F.col("subs") - 1)).otherwise(F.col("subs"))
+        rows = rows.join(many, "range", "left").withColumn("sub", F.coalesce(F.when(F.col("subs").isNotNull(), sub), F.lit(0)).cast("int")).drop("many", "subs")
+        heads = sorted((r["range"], r["sub"], r["m"]["doc_id"], r["m"]["h"]) for r in rows.groupBy("range", "sub").agg(F.min(F.struct("doc_id", "h")).alias("m")).collect())
+    ghosts = [(*h[2:], *heads[i - 1][:2]) for i, h in enumerate(heads)]  # the first group's head goes behind the last group
+    also = spark.createDataFrame(ghosts, ", ".join(f"_{k} bigint" for k in key) + ", to_range int, to_sub int")
+    met = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in key]
+    sent = rows.join(F.broadcast(also), met, "left")
+    place = lambda a, b, ghost: F.struct(F.col(a).alias("range"), F.col(b).alias("sub"), F.lit(ghost).alias("ghost"))
+    places = F.filter(F.array(place("range", "sub", False), place("to_range", "to_sub", True)), lambda p: p["range"].isNotNull())
+    sent = sent.select(F.explode(places).alias("p"), "doc_id", "h", "text").select("p.*", "doc_id", "h", "text")
+    return sent.withColumn("next_text", F.lead("text").over(_in_order()))
+
+
+def _in_order() -> Window:
+    return Window.partitionBy("range", "sub").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (see op9)."""
     got = with_next(docs)
-    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h") if "range" in got.columns else Window.partitionBy(F.lit(0)).orderBy("doc_id")
-    if "ghost" not in got.columns:
-        got = got.withColumn("ghost", F.lit(False))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     got = got.withColumn("edited", F.when(~F.col("ghost"), F.concat(F.left("text", n - half), F.left(F.coalesce("next_text", F.lit("")), half)))).drop("next_text")
-    got = with_signatures(got, "text", "own").withColumn("next", F.lead("own").over(order)).where(~F.col("ghost"))
+    got = with_signatures(got, "text", "own").withColumn("next", F.lead("own").over(_in_order())).where(~F.col("ghost"))
     got = with_signatures(got, "edited", "changed")
     return got.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b (class ids, the least doc_id with that fingerprint), likeness >= threshold: pairs of different fingerprints.
+#: Signatures in the most sets that are told from the rest, at most; and bits of the map that tells them.
+FREQUENT, MAP_BITS = 20_000, 1 << 20
+
 
-    Length partitions: sets of size n meet only sets of size up to n / threshold. A set of n signatures posts its n - ceil(threshold n) + 1
-    rarest; two sets as alike as the threshold share one of them.
+def rare_first(cls: DataFrame) -> Column:
+    """The signatures (column s) with those that a map marks as frequent behind the others, else in ascending order: one order for all sets.
+
+    At most ``FREQUENT`` signatures can be in more than 1 / FREQUENT of all (class, signature) pairs. The map may mark a rare one too, which only costs time.
     """
-    rows = with_signatures(docs.select("doc_id", text_of(docs).alias("text")), "text", "s")
-    cls = rows.groupBy("s").agg(F.min("doc_id").alias("id"))
-    seen = cls.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    posts = cls.select("id", F.size("s").alias("n"), F.explode("s").alias("h")).join(seen, "h")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
-    posts = posts.withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("id", "n", "h", F.floor(F.log("n") / F.lit(-math.log(threshold))).cast("int").alias("part"))
-    left = posts.select(F.col("id").alias("a"), F.col("n").alias("na"), "h", "part")
-    right = posts.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"))
-    close = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    each = cls.select(F.explode("s").alias("h"))
+    floor = max(8, (cls.agg(F.sum(F.size("s"))).first()[0] or 0) // FREQUENT)
+    words = [0] * (MAP_BITS // 32)
+    for r in each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect():
+        words[(r["h"] % MAP_BITS) >> 5] |= 1 << (r["h"] & 31)
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+    def marked(h: Column) -> Column:
+        word = F.get(table, F.shiftright(F.pmod(h, F.lit(MAP_BITS)), 5).cast("int"))
+        return F.pmod(F.floor(word / F.element_at(F.lit([float(1 << k) for k in range(32)]), F.pmod(h, F.lit(32)).cast("int") + 1)), F.lit(2)) == 1
+
+    return F.concat(F.filter("s", lambda h: ~marked(h)), F.filter("s", marked))
+
+
+def similar_classes(cls: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """a, b, likeness >= threshold of pairs (a < b) of classes. cls: key, s (sorted, different for every class).
+
+    Length partitions: n is in partition floor(log n / -log threshold), and sets as alike as the threshold lie in the same or in neighbouring ones. A set of n signatures posts its first
+    n - ceil(threshold n) + 1 in the common order; two sets as alike as the threshold share one of them. A pair whose signatures behind the shared one
+    are too few to reach the overlap that the threshold asks for is dropped before the whole sets meet.
+    """
+    cls = stored(cls.where(F.size("s") > 0).withColumn("o", rare_first(cls)), "spotsigs-classes")
+    n = F.size("o")
+    first = F.slice("o", 1, n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
+    posts = cls.select("key", n.alias("n"), F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold))).cast("int").alias("part"), F.posexplode(first).alias("at", "h"))
+    left = posts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "h", "part")
+    right = posts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "h", F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9  # the overlap that the threshold asks for
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (most >= least)
     pairs = left.join(right, ["h", "part"]).where(close).select("a", "b").distinct()
-    sides = pairs.join(cls.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(cls.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sides = pairs.join(cls.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(cls.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     return sides.withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+
+
+def links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the least doc_id with the same fingerprint), n_links (other classes of likeness >= threshold): a row a document.
+
+    Copies stay one class whatever their number; the empty fingerprint is a class without links.
+    """
+    rows = with_signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")), "text", "s")
+    rows = stored(rows.select("doc_id", F.md5(as_text(F.col("s")).cast("binary")).alias("key"), "s"), "spotsigs-signatures")
+    ids = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    pairs = stored(similar_classes(rows.groupBy("key").agg(F.first("s").alias("s")), threshold), "spotsigs-pairs")
+    both = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key")))
+    counts = both.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    of = ids.join(counts, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return rows.select("doc_id", "key").join(of, "key").select("doc_id", "class_id", "n_links")

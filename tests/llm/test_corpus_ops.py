@@ -345,7 +345,13 @@ def test_edited_texts_against_python(spark, odd_docs, no_docs):
         a, b, c = py_signatures(t), py_signatures(edited), py_signatures(other)
         if a and b and c:
             assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b), abs=1e-3) and r["near_next"] == pytest.approx(len(a & c) / len(a | c), abs=1e-3)
-    assert spotsigs.fingerprint_pairs(odd_docs).count() == 10 and spotsigs.fingerprint_pairs(no_docs).count() == 0
+    odd = spotsigs.fingerprint_pairs(odd_docs).collect()
+    assert len(odd) == 10 and spotsigs.fingerprint_pairs(no_docs).count() == 0
+    by_id = {r["doc_id"]: r for r in odd}
+    assert (by_id[2]["fingerprint"], by_id[3]["fingerprint"], by_id[3]["n_chars"]) == ("", "", 0)
+    assert by_id[-7]["fingerprint"] == by_id[7]["fingerprint"] != "" and by_id[2]["near_next"] == 1.0 and by_id[6]["near_next"] == 0.0
+    last, first = "the quick brown fox jumps over the lazy dog", "der die das und ein Haus mit Garten"
+    assert by_id[7]["edited_sha256"] == hashlib.sha256((last[:22] + first[:21]).encode()).hexdigest()
 
 
 def test_next_document_over_many_ranges(spark):
@@ -358,25 +364,43 @@ def test_next_document_over_many_ranges(spark):
     assert one["near_edited"] == pytest.approx(one["near_edited"]) and one["near_next"] == 1.0
 
 
-def test_similar_pairs_against_all_pairs(spark):
+@pytest.mark.parametrize("hot", [5, None])
+def test_next_document_where_one_id_has_most_rows(spark, hot):
+    rows = [(i, f"text {i}") for i in range(60)] + [(hot, f"more {i % 300}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = spotsigs.with_next(df, rows_per_range=10)
+    sizes = [r["count"] for r in got.groupBy("range", "sub").count().collect()]
+    assert max(sizes) < 60 and len(sizes) > 20
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = [(str(d), t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order)]
+    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got.where("not ghost").collect()) == sorted(want)
+
+
+def test_links_against_all_pairs(spark, odd_docs, no_docs, monkeypatch):
     rng = random.Random(8)
     words = [f"c{i}" for i in range(60)]
     rows = []
     for i in range(40):
         t = [rng.choice(words) for _ in range(60)]
-        for j in range(rng.choice([1, 3])):
+        for j in range(rng.choice([1, 3, 6])):
             u = list(t)
             for _ in range(j):
                 u[rng.randrange(60)] = rng.choice(words)
             rows.append((len(rows), " the ".join(u)))
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000, ""), (2001, None), (None, "lonely the cat ran far")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     sets = {r["doc_id"]: frozenset(r["s"]) for r in spotsigs.with_signatures(df, "text", "s").collect()}
     first = {}
-    for d in sorted(sets):
+    for d in sorted(sets, key=lambda d: (d is None, d)):
         first.setdefault(sets[d], d)
-    ids = sorted(first.values())
-    want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    assert {(r["a"], r["b"]) for r in spotsigs.similar_pairs(df).collect()} == want and want
+    alike = lambda x, y: x != y and x | y and len(x & y) / len(x | y) >= 0.8
+    want = sorted(str((d, first[s], sum(bool(alike(s, o)) for o in first))) for d, s in sets.items())
+    for frequent in (20_000, 3):
+        monkeypatch.setattr(spotsigs, "FREQUENT", frequent)
+        assert sorted(str(tuple(r)) for r in spotsigs.links(df).collect()) == want
+    assert sum(not w.endswith(" 0)") for w in want) > 20
+    assert spotsigs.links(odd_docs).count() == 10 and spotsigs.links(no_docs).count() == 0
 
 
 # --- mixing ---
