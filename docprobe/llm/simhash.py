@@ -177,6 +177,8 @@ BANDS, ROWS, SLICE = 16, 3, 4096
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Bits of the map of a text's distinct shingles, in 64-bit words.
 MAP_WORDS = 8
+#: Reference maps: the empty one, and 15 from the rule of the other pivots.
+PIVOT_MAPS = [[0] * MAP_WORDS, *(_pivots(15 * MAP_WORDS)[k * MAP_WORDS : (k + 1) * MAP_WORDS] for k in range(15))]
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -213,13 +215,22 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")), run, "doc_id bigint, cls string, fp bigint, m bigint, bits array<bigint>, bands array<bigint>")
 
 
-def may_be_alike(similarity: float, ma: Column, mb: Column, a: Column, b: Column) -> Column:
+def map_pivot_row(bits: Column) -> Column:
+    """Hamming distances of a map to the reference maps."""
+    return F.array(*(sum((F.bit_count(bits[i].bitwiseXOR(F.lit(w))) for i, w in enumerate(p)), F.lit(0)).cast("smallint") for p in PIVOT_MAPS))
+
+
+def may_be_alike(similarity: float, a: str, b: str) -> Column:
     """False only for pairs below the similarity: sets of ma and mb shingles that reach it differ in at most (1 - s) / (1 + s) of ma + mb.
 
-    a, b: arrays of ``MAP_WORDS`` words, maps of the shingles. One shingle of slack stands against rounding.
+    a, b: struct columns with m, bits and row (distances to the reference maps). The sizes come first, then the pivot table's largest coordinate difference,
+    which is never above the distance of the maps, then that distance. One shingle of slack stands against rounding.
     """
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(MAP_WORDS)), F.abs(ma - mb) * 0)
-    return F.greatest(F.abs(ma - mb), differ) <= (ma + mb) * F.lit((1 - similarity) / (1 + similarity)) + 1
+    ma, mb = F.col(f"{a}.m"), F.col(f"{b}.m")
+    most = (ma + mb) * F.lit((1 - similarity) / (1 + similarity)) + 1
+    rows = F.array_max(F.zip_with(f"{a}.row", f"{b}.row", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(MAP_WORDS)), F.lit(0))
+    return (F.abs(ma - mb) <= most) & (rows <= most) & (differ <= most)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -315,29 +326,29 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = C
     ``similarity`` or more (directly or over others), share a keep_id, the smallest of their doc_ids.
 
     Distinct word sequences meet where they share a band; only pairs that their numbers and maps of distinct shingles prove less alike are
-    discarded, and the exact similarity of whole texts decides. In a band's bucket of more than ``cap`` texts each first meets ``anchors`` of them and its successor; the parts that this leaves
+    discarded (by the maps' pivot table first), and the exact similarity of whole texts decides. In a band's bucket of more than ``cap`` texts each first meets ``anchors`` of them and its successor; the parts that this leaves
     in a bucket are then compared whole.
     """
     each = stored(sketches(docs, words), "alike-sketches")
     n = each.count()
     first = stored(each.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "alike-distinct", n)
-    met = first.where(F.col("node").isNotNull()).select("node", "fp", "m", "bits", F.posexplode("bands").alias("k", "v"))
+    met = first.where(F.col("node").isNotNull()).withColumn("row", map_pivot_row(F.col("bits"))).select(F.struct("node", "fp", "m", "bits", "row").alias("s"), F.posexplode("bands").alias("k", "v"))
     size = stored(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "alike-buckets", n * BANDS // 2)
-    met = stored(met.join(size, ["k", "v"]), "alike-met", n * BANDS)
+    met = stored(met.join(size, ["k", "v"]).select("k", "v", "n", "s.node", "s.m", "s"), "alike-met", n * BANDS)
     small, large = met.where(F.col("n") <= cap), met.where(F.col("n") > cap)
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("k", "v", F.col("node").alias(s), F.struct("node", "fp", "m", "bits").alias(f"s{s}"))
+        return df.select("k", "v", F.col("node").alias(s), F.col("s").alias(f"s{s}"))
 
     pairs = side(small, "a").join(side(small, "b"), ["k", "v"]).where("a < b").select("sa", "sb")
     # crowded buckets: a few anchors (least by hash, found by aggregation alone), and neighbours in slices of the order by fingerprint
-    chosen = large.groupBy("k", "v").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.struct("node", "fp", "m", "bits").alias("s"))).alias(f"m{i}") for i in range(anchors)))
+    chosen = large.groupBy("k", "v").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "s")).alias(f"m{i}") for i in range(anchors)))
     chosen = chosen.select("k", "v", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}.s") for i in range(anchors))))).alias("sa"))
     star = side(large, "b").join(chosen, ["k", "v"]).where("sa.node <> b").select("sa", "sb")
     slices = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / SLICE))  # no window holds much more than SLICE rows
-    order = Window.partitionBy("k", "v", slices).orderBy("fp", "node")
-    chain = large.select(F.struct("node", "fp", "m", "bits").alias("sa"), F.lead(F.struct("node", "fp", "m", "bits")).over(order).alias("sb")).where("sb is not null")
-    near = pairs.union(star).union(chain).where(may_be_alike(similarity, F.col("sa.m"), F.col("sb.m"), F.col("sa.bits"), F.col("sb.bits")))
+    order = Window.partitionBy("k", "v", slices).orderBy("s.fp", "node")
+    chain = large.select(F.col("s").alias("sa"), F.lead("s").over(order).alias("sb")).where("sb is not null")
+    near = pairs.union(star).union(chain).where(may_be_alike(similarity, "sa", "sb"))
     near = stored(near.select(F.least("sa.node", "sb.node").alias("a"), F.greatest("sa.node", "sb.node").alias("b"), distance(F.col("sa.fp"), F.col("sb.fp")).alias("d")).distinct(), "alike-pairs", n * BANDS)
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of(docs).alias("text")).join(wanted.hint("merge"), "node", "left_semi")

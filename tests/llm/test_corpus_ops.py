@@ -482,7 +482,7 @@ def test_mixed_rows_edges(odd_docs, no_docs):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
     for name, stage in cp.STAGES[:-1]:
         after = stage(spark, kept, SF)
@@ -502,6 +502,39 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept.count() == before.count() and kept.where(F.col("text").rlike("[0-9a-f]{24}")).count() == 0
             assert kept.where(F.length("text") != F.col("n_chars")).count() == 0
         if name == "mix":
-            assert kept.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
-    check_pieces(cp.pack_sequences(spark, kept, SF).collect(), texts_of(kept), 4096)
+            taken = {r["doc_id"]: r["copies"] for r in systematic_mix.mix(before).collect()}
+            assert {r["doc_id"]: r["count"] for r in kept.groupBy("doc_id").count().collect()} == {d: n for d, n in taken.items() if n}
+    packed = cp.pack_sequences(spark, kept, SF).collect()
+    check_pieces(packed, texts_of(kept), 4096)
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near-duplicates", "secrets", "mix", "packing"] and cp.ORACLE_SQL is None
+    piece = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])
+    whole = cp.run(spark, SF).collect()  # cuts follow the order of input files, so only what whole documents hold is compared
+    assert len({r["sequence_id"] for r in whole}) == len({r["sequence_id"] for r in packed})
+    of_docs = lambda rows: sorted((r["doc_id"], r["doc_tokens"]) for r in rows if r["start"] == 0)
+    assert of_docs(whole) == of_docs(packed) and sum(r["length"] for r in whole) == sum(r["length"] for r in packed) and all(piece(r)[2] > 0 for r in whole)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, labels, tmp_path):
+    import corpus_pipeline as cp
+
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        stored = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in cp.STAGES[:-1]:
+            assert stage(spark, stored, str(tmp_path / name)).columns == docs.columns
+    assert cp.drop_toxic(spark, no_docs, str(tmp_path / "none")).count() == 0 and cp.redact_secrets(spark, no_docs, "").count() == 0 and cp.mix_sources(spark, no_docs, "").count() == 0
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+    got = cp.run(spark, str(tmp_path / "odd")).collect()
+    assert {r["doc_id"] for r in got} <= {None, -7, 1, 2, 3, 4, 5, 6, 7} and all(r["length"] > 0 for r in got)
+
+
+def test_the_shared_folder_must_be_set_off_local_mode():
+    from docprobe.llm.common import scratch_dir
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch_dir(Session())
