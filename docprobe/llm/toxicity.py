@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import hash01, held_out, lowered, map_rows, runs_of_texts, text_of
+from docprobe.llm.common import hash01, held_out, lowered, map_rows, release_memory, runs_of_texts, text_of
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -301,6 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500, chars
     x = np.concatenate([summaries(field, texts[a : a + 200])[0] for a in range(0, len(texts), 200)])
     field.score = fit_score(x, toxic, n[1] / (n[1] + n[0]))
     field.forget()
+    del got, texts, x
+    release_memory()  # the driver's
     return field
 
 
