@@ -21,9 +21,11 @@ from docprobe.operators.sampling import below, between, order_key, unit
 OP_NAMES = ("digit_swap", "copy_move", "splice")
 DONOR_LABELS = ("total", "line_total", "date", "company", "address", "answer")
 PREFERRED_LABELS = ("total", "line_total", "date", "answer")
+#: JPEG qualities of a recompressed patch and of the page around it.
+PATCH_QUALITIES, PAGE_QUALITIES = (90, 95), (70, 75, 80)
 # --- end of fixed values ---
 
-PLAN = "struct<op:string,gt:array<int>,field:string,source_box:array<int>,paste:array<int>,patch_w:int,patch_h:int,angle:double,alpha:double,donor_idx:bigint>"
+PLAN = "struct<op:string,gt:array<int>,field:string,source_box:array<int>,paste:array<int>,patch_w:int,patch_h:int,angle:double,alpha:double,donor_idx:bigint,patch_quality:int,page_quality:int>"
 
 
 def large_enough(box: Column, min_w: int, min_h: int) -> Column:
@@ -56,19 +58,18 @@ def with_donor_counts(pages: DataFrame, donors: DataFrame, split: str | None = "
     return pages.join(counts, groups, "left").withColumn("n_donors", F.coalesce("n_donors", F.lit(0).cast("bigint")))
 
 
-def applicable(op: str) -> Column:
-    """Whether an operation can be tried on a page (columns ocr_boxes, n_donors)."""
-    n = F.size("ocr_boxes")
-    if op == "digit_swap":
-        return F.size(F.filter("ocr_boxes", lambda b: b["is_numeric"])) >= 2
-    if op == "splice":
-        return (n >= 1) & (F.col("n_donors") > 0)
-    return n >= 1
+def has_boxes(n: int = 1) -> Column:
+    """Whether a page (columns ocr_boxes, n_donors) has n boxes."""
+    return F.size("ocr_boxes") >= n
+
+
+def applicable(op: str | ForgeryOp) -> Column:
+    """Whether an operation can be tried on a page."""
+    return (OPS[op] if isinstance(op, str) else op).applicable()
 
 
 def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Column, seed: int, key: Column, tries: int = 60, margin: int = 4) -> Column:
     """The first of ``tries`` seeded places of a patch that keeps ``margin`` away from every box; null if none does or the patch fills the page."""
-    i = F.sequence(F.lit(0), F.lit(tries - 1))
     lo = F.lit(margin)
 
     def place(k: Column) -> Column:
@@ -80,12 +81,17 @@ def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Colu
         at = lambda box, c: F.element_at(box, c)
         return (at(b, 3) + margin > at(o, 1)) & (at(o, 3) > at(b, 1) - margin) & (at(b, 4) + margin > at(o, 2)) & (at(o, 4) > at(b, 2) - margin)
 
-    free = F.filter(F.transform(i, place), lambda b: ~F.exists(boxes, lambda o: touches(b, o["box_pixel"])))
-    return F.when((patch_w < w) & (patch_h < h), F.get(free, F.lit(0)))
+    def first(a: int, b: int) -> Column:
+        places = F.transform(F.sequence(F.lit(a), F.lit(b - 1)), place)
+        return F.get(F.filter(places, lambda p: ~F.exists(boxes, lambda o: touches(p, o["box_pixel"]))), F.lit(0))
+
+    # most pages have room at one of the first places: the later ones are drawn only if those fail
+    ends = [0, *(n for n in (2, 6, 18) if n < tries), tries]
+    return F.when((patch_w < w) & (patch_h < h), F.coalesce(*(first(a, b) for a, b in zip(ends, ends[1:]))))
 
 
 def _plan(op: str, gt: Column, field: Column, **more: Column) -> Column:
-    kinds = {"source_box": "array<int>", "paste": "array<int>", "patch_w": "int", "patch_h": "int", "angle": "double", "alpha": "double", "donor_idx": "bigint"}
+    kinds = {"source_box": "array<int>", "paste": "array<int>", "patch_w": "int", "patch_h": "int", "angle": "double", "alpha": "double", "donor_idx": "bigint", "patch_quality": "int", "page_quality": "int"}
     return F.struct(F.lit(op).alias("op"), gt.alias("gt"), field.alias("field"), *(more.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
 
 
@@ -134,38 +140,50 @@ def plan_splice(pages: DataFrame, seed: int = 0, out: str = "splice") -> DataFra
 
 
 def plan_recompress_ghost(pages: DataFrame, seed: int = 0, out: str = "recompress_ghost") -> DataFrame:
-    """A patch of at least 10 x 10 is recompressed off its grid by 1 to 4 pixels; not among the default operations."""
+    """A patch of at least 10 x 10 is recompressed and pasted 1 to 4 pixels off its place, both ways alike, kept on the page; then the whole page is
+    recompressed at a lower quality. Not among the default operations."""
     key = F.col("doc_id")
     df = pages.withColumn("_c", candidates(F.col("ocr_boxes"), min_w=10, min_h=10)).withColumn("_t", pick(F.col("_c"), seed, "ghost:target", key))
     t = F.col("_t.box_pixel")
-    shift = [between(seed, f"ghost:{a}", F.lit(1), F.lit(4), key) for a in "xy"]
-    made = _plan("recompress_ghost", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col("_t.label")), source_box=t, paste=F.array(F.element_at(t, 1) + shift[0], F.element_at(t, 2) + shift[1]), patch_w=box_width(t), patch_h=box_height(t))
-    return df.withColumn(out, F.when(F.col("_t").isNotNull(), made)).drop("_c", "_t")
+    df = df.withColumn("_off", between(seed, "ghost:shift", F.lit(1), F.lit(4), key))
+    place = [F.greatest(F.lit(0), F.least(F.element_at(t, i) + F.col("_off"), F.col(side) - extent)) for i, side, extent in ((1, "width", box_width(t)), (2, "height", box_height(t)))]
+    quality = lambda purpose, values: F.get(F.array(*map(F.lit, values)), below(seed, purpose, F.lit(len(values)), key).cast("int"))
+    made = _plan("recompress_ghost", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col("_t.label")), source_box=t, paste=F.array(*place), patch_w=box_width(t), patch_h=box_height(t), patch_quality=quality("ghost:patch", PATCH_QUALITIES), page_quality=quality("ghost:page", PAGE_QUALITIES))
+    return df.withColumn(out, F.when(F.col("_t").isNotNull(), made)).drop("_c", "_t", "_off")
 
 
 @dataclass(frozen=True)
 class ForgeryOp:
-    """An operation: whether it can be tried, and its plan column. New ones are added to OPS."""
+    """An operation: when it can be tried on a page, and its plan column (``plan(pages, seed, out)`` adds it, null where it fails).
+
+    New ones go where names of operations go, or into OPS; the pixel step takes what it does to the image by the same name (``pixels.STEPS``).
+    """
 
     name: str
     plan: Callable[..., DataFrame]
-
-    def applicable(self) -> Column:
-        return applicable(self.name)
+    applicable: Callable[[], Column] = has_boxes
 
 
-OPS = {op.name: op for op in (ForgeryOp("digit_swap", plan_digit_swap), ForgeryOp("copy_move", plan_copy_move), ForgeryOp("splice", plan_splice), ForgeryOp("recompress_ghost", plan_recompress_ghost))}
+OPS = {
+    op.name: op
+    for op in (
+        ForgeryOp("digit_swap", plan_digit_swap, lambda: F.size(F.filter("ocr_boxes", lambda b: b["is_numeric"])) >= 2),
+        ForgeryOp("copy_move", plan_copy_move),
+        ForgeryOp("splice", plan_splice, lambda: has_boxes() & (F.col("n_donors") > 0)),
+        ForgeryOp("recompress_ghost", plan_recompress_ghost),
+    )
+}
 
 
-def planned(pages: DataFrame, seed: int = 0, ops: Iterable[str] = OP_NAMES) -> DataFrame:
-    """Adds ``plans``: the plans of the operations that work on the page, in its seeded order."""
-    names = list(ops)
+def planned(pages: DataFrame, seed: int = 0, ops: Iterable[str | ForgeryOp] = OP_NAMES) -> DataFrame:
+    """Adds ``plans``: the plans of the operations that can be tried on the page and work, in its seeded order."""
+    chosen = [OPS[op] if isinstance(op, str) else op for op in ops]
     df = pages
-    for name in names:
-        df = OPS[name].plan(df, seed, f"_op_{name}")
-    keyed = F.array(*(F.struct(order_key(seed, "order", F.col("doc_id"), name).alias("k"), F.col(f"_op_{name}").alias("plan")) for name in names))
+    for op in chosen:
+        df = op.plan(df, seed, f"_op_{op.name}")
+    keyed = F.array(*(F.struct(order_key(seed, "order", F.col("doc_id"), op.name).alias("k"), F.when(op.applicable(), F.col(f"_op_{op.name}")).alias("plan")) for op in chosen))
     plans = F.transform(F.array_sort(F.filter(keyed, lambda e: e["plan"].isNotNull())), lambda e: e["plan"])
-    return df.withColumn("plans", plans).drop(*(f"_op_{n}" for n in names))
+    return df.withColumn("plans", plans).drop(*(f"_op_{op.name}" for op in chosen))
 
 
 def records(df: DataFrame, chosen: Column, keep: Iterable[str] = ()) -> DataFrame:
@@ -180,12 +198,12 @@ def _clean() -> Column:
     return F.array(F.lit(None).cast(PLAN))
 
 
-def forge_variants(pages: DataFrame, n_tampered: int = 2, seed: int = 0, ops: Iterable[str] = OP_NAMES, keep: Iterable[str] = ()) -> DataFrame:
+def forge_variants(pages: DataFrame, n_tampered: int = 2, seed: int = 0, ops: Iterable[str | ForgeryOp] = OP_NAMES, keep: Iterable[str] = ()) -> DataFrame:
     """A clean record of each page and up to n_tampered with distinct operations, in the page's seeded order."""
     return records(planned(pages, seed, ops), F.concat(_clean(), F.slice("plans", 1, n_tampered)), keep)
 
 
-def forge_one(pages: DataFrame, p_clean: float = 0.5, seed: int = 0, ops: Iterable[str] = OP_NAMES, keep: Iterable[str] = ()) -> DataFrame:
+def forge_one(pages: DataFrame, p_clean: float = 0.5, seed: int = 0, ops: Iterable[str | ForgeryOp] = OP_NAMES, keep: Iterable[str] = ()) -> DataFrame:
     """One record of each page: clean with probability p_clean or if nothing works, else the first operation that does."""
     chosen = F.when((unit(seed, "clean", F.col("doc_id")) < p_clean) | (F.size("plans") == 0), _clean()).otherwise(F.slice("plans", 1, 1))
     return records(planned(pages, seed, ops), chosen, keep)

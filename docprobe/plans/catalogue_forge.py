@@ -122,10 +122,14 @@ def q_splice_geometry(spark, sf):
     return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), "field", "donor_idx")
 
 
-@query(f"WITH {_B}, {_pick('b', 'ghost:target', 'x2 - x1 >= 10 AND y2 - y1 >= 10', 't')} SELECT doc_id, {_CLAMPED.format('')}, (x1 + {_between('ghost:x', '1', '4', 'doc_id')})::INT AS px, (y1 + {_between('ghost:y', '1', '4', 'doc_id')})::INT AS py FROM t")
+_GHOST = f"""gh AS (SELECT *, 1 + {_draw('ghost:shift', 'doc_id')} % 4 AS off FROM t),
+gp AS (SELECT doc_id, {_CLAMPED.format('')}, coalesce(nullif(label, ''), 'field') AS field, greatest(0, least(x1 + off, width - (x2 - x1)))::INT AS px, greatest(0, least(y1 + off, height - (y2 - y1)))::INT AS py, [90, 95][{_draw('ghost:patch', 'doc_id')} % 2 + 1]::INT AS patch_quality, [70, 75, 80][{_draw('ghost:page', 'doc_id')} % 3 + 1]::INT AS page_quality FROM gh)"""
+
+
+@query(f"WITH {_B}, {_pick('b', 'ghost:target', 'x2 - x1 >= 10 AND y2 - y1 >= 10', 't')}, {_GHOST} SELECT * FROM gp")
 def q_recompress_ghost_geometry(spark, sf):
     got = _made(forge.plan_recompress_ghost(views.pages(spark, sf)), "recompress_ghost")
-    return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), *_flat("paste", "px", "py")[:2])
+    return got.select("doc_id", *_flat("gt", "g1", "g2", "g3", "g4"), "field", *_flat("paste", "px", "py")[:2], "patch_quality", "page_quality")
 
 
 _ALL = """al AS (SELECT doc_id, 'digit_swap' AS op, g1, g2, g3, g4, field FROM sw UNION ALL SELECT doc_id, 'copy_move', g1, g2, g3, g4, field FROM mv UNION ALL SELECT doc_id, 'splice', g1, g2, g3, g4, field FROM sp),
