@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docprobe.functions.codec import image_uri, target_json
 
@@ -62,3 +67,39 @@ def padded(ids: Column, length: Column | int, pad_id: int) -> Column:
     """Padded on the right to a length, and cut there."""
     size = length if isinstance(length, Column) else F.lit(length)
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad_id), size)), F.lit(1), size)
+
+
+@dataclass(frozen=True)
+class Special:
+    """Ids with a meaning: start and end of a turn, padding, an image's place; header: ids between a start and the turn's text."""
+
+    start: int
+    end: int
+    pad: int
+    image: int
+    header: int
+
+
+#: All messages of some records -> their token ids (a chat template and a tokenizer).
+Tokenizer = Callable[[list], Sequence[Sequence[int]]]
+
+
+def collate(df: DataFrame, make: Callable[[], Tokenizer], special: Special, build: Column | None = None, max_length: int = 2048, batch: int = 8) -> DataFrame:
+    """Records as training rows: input_ids, attention_mask, and what ``loss_mask`` adds.
+
+    ``build`` makes the messages (default: ``messages()``); ``make`` loads the tokenizer once in each task, on the executor. Every ``batch`` rows that come
+    together are padded on the right to the longest of them; longer ones than ``max_length`` are cut.
+    """
+    kept = df.columns
+    ids = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*df.schema.fields, T.StructField("input_ids", ids), T.StructField("attention_mask", ids)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = make()
+        for rows in batches:
+            got = [list(t)[:max_length] for t in tokens(rows["_messages"].tolist())]
+            longest = [max(map(len, got[i - i % batch : i - i % batch + batch])) for i in range(len(got))]
+            yield rows[kept].assign(input_ids=[t + [special.pad] * (n - len(t)) for t, n in zip(got, longest)], attention_mask=[[1] * len(t) + [0] * (n - len(t)) for t, n in zip(got, longest)])
+
+    given = df.withColumn("_messages", messages() if build is None else build)
+    return loss_mask(given.mapInPandas(run, schema), special.start, special.end, special.pad, special.image, special.header)

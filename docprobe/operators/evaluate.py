@@ -28,10 +28,16 @@ def with_iou(df: DataFrame, name: str = "iou") -> DataFrame:
     return got.withColumn(name, F.when(F.coalesce(F.size("pred.box_norm"), F.lit(0)) > 0, iou(F.col("pred.box_norm"), F.col("_gt")))).drop("_gt")
 
 
-def detection(df: DataFrame, *by: str) -> DataFrame:
-    """n, tp, fp, fn, tn, parse_failures, parse_failure_rate, precision and recall with intervals, f1, accuracy."""
+def _cells() -> list[Column]:
     yes, says = F.coalesce(F.col("true_tampered"), F.lit(False)), flagged(F.col("pred"))
-    c = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(yes & says).alias("tp"), F.count_if(~yes & says).alias("fp"), F.count_if(yes & ~says).alias("fn"), F.count_if(~yes & ~says).alias("tn"), F.count_if(F.col("pred").isNull()).alias("parse_failures"))
+    return [F.count(F.lit(1)).alias("n"), F.count_if(yes & says).alias("tp"), F.count_if(~yes & says).alias("fp"), F.count_if(yes & ~says).alias("fn"), F.count_if(~yes & ~says).alias("tn"), F.count_if(F.col("pred").isNull()).alias("parse_failures")]
+
+
+CELLS = ("n", "tp", "fp", "fn", "tn", "parse_failures")
+
+
+def _detected(c: DataFrame) -> DataFrame:
+    """Rates from the counts in CELLS."""
     p, r = wilson(F.col("tp"), F.col("tp") + F.col("fp")), wilson(F.col("tp"), F.col("tp") + F.col("fn"))
     c = c.select("*", *(v.alias(f"{name}{end}") for name, got in (("precision", p), ("recall", r)) for v, end in zip(got, ("", "_lo", "_hi"))))
     both = F.col("precision") + F.col("recall")
@@ -39,16 +45,25 @@ def detection(df: DataFrame, *by: str) -> DataFrame:
     return c.select("*", f1.alias("f1"), ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"), ratio(F.col("parse_failures"), F.col("n")).alias("parse_failure_rate"))
 
 
+def detection(df: DataFrame, *by: str) -> DataFrame:
+    """n, tp, fp, fn, tn, parse_failures, parse_failure_rate, precision and recall with intervals, f1, accuracy."""
+    return _detected(df.groupBy(*by).agg(*_cells()))
+
+
 def true_positives(df: DataFrame) -> DataFrame:
     """Rows that are tampered and flagged, with ``iou`` (0 where no box was given)."""
     return with_iou(df.where(F.col("true_tampered") & flagged(F.col("pred")))).withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
+def _kind() -> Column:
+    return F.coalesce(F.nullif("tamper_type", F.lit("")), F.lit("unknown"))
+
+
 def localisation(df: DataFrame, threshold: float = 0.5, by_type: bool = False) -> DataFrame:
     """n_true_positive, mean_iou, hits, hit_rate with interval; with ``by_type`` a row for each tamper type, null and '' as unknown."""
     tp = true_positives(df)
     if by_type:
-        tp = tp.withColumn("tamper_type", F.coalesce(F.nullif("tamper_type", F.lit("")), F.lit("unknown")))
+        tp = tp.withColumn("tamper_type", _kind())
     got = tp.groupBy(*(["tamper_type"] if by_type else [])).agg(F.count(F.lit(1)).alias("n_true_positive"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"), F.count_if(F.col("iou") >= threshold).alias("hits"))
     share, lo, hi = wilson(F.col("hits"), F.col("n_true_positive"))
     return got.select("*", share.alias("hit_rate"), lo.alias("hit_lo"), hi.alias("hit_hi"))
@@ -74,18 +89,24 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
 def report(df: DataFrame, baseline: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "variant"), threshold: float = 0.5) -> DataFrame:
     """One row of structs: detection, localization, by_type (map), and with a baseline also baseline, mcnemar, delta."""
 
-    def packed(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(F.struct(*frame.columns).alias(name))
-
     def side(rows: DataFrame) -> DataFrame:
-        types = localisation(rows, threshold, by_type=True).agg(F.map_from_entries(F.collect_list(F.struct("tamper_type", F.struct("n_true_positive", "mean_iou", "hit_rate")))).alias("by_type"))
-        return packed(detection(rows), "detection").crossJoin(packed(localisation(rows, threshold), "localization")).crossJoin(types)  # one row each
+        """One pass: cells and overlaps by tamper type, added up."""
+        hit = F.col("true_tampered") & flagged(F.col("pred"))
+        iou = F.when(hit, F.coalesce("iou", F.lit(0.0)))
+        by = with_iou(rows).withColumn("kind", _kind()).groupBy("kind").agg(*_cells(), F.count(iou).alias("n_hit"), F.sum(iou).alias("sum_iou"), F.count_if(iou >= threshold).alias("hits"))
+        one = F.struct("kind", F.struct(F.col("n_hit").alias("n_true_positive"), (F.col("sum_iou") / F.col("n_hit")).alias("mean_iou"), ratio(F.col("hits"), F.col("n_hit")).alias("hit_rate")))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*CELLS, "n_hit", "sum_iou", "hits")]
+        whole = by.agg(*sums, F.map_from_entries(F.collect_list(F.when(F.col("n_hit") > 0, one))).alias("by_type"))
+        got = _detected(whole.select(*CELLS, F.struct("n_hit", "sum_iou", "hits").alias("l"), "by_type"))
+        share, lo, hi = wilson(F.col("l.hits"), F.col("l.n_hit"))
+        local = F.struct(F.col("l.n_hit").alias("n_true_positive"), ratio(F.col("l.sum_iou"), F.col("l.n_hit")).alias("mean_iou"), F.col("l.hits").alias("hits"), share.alias("hit_rate"), lo.alias("hit_lo"), hi.alias("hit_hi"))
+        return got.select(F.struct(*(c for c in got.columns if c not in ("l", "by_type"))).alias("detection"), local.alias("localization"), "by_type")
 
     out = side(df)
     if baseline is None:
         return out
     base = side(baseline)
-    out = out.crossJoin(base.select(F.struct("detection", "localization").alias("baseline"))).crossJoin(packed(mcnemar(paired(df, baseline, *keys)), "mcnemar"))
+    out = out.crossJoin(base.select(F.struct("detection", "localization").alias("baseline"))).crossJoin(mcnemar(paired(df, baseline, *keys)).select(F.struct("*").alias("mcnemar")))
     delta = F.struct((F.col("detection.f1") - F.col("baseline.detection.f1")).alias("f1"), (F.col("localization.hit_rate") - F.col("baseline.localization.hit_rate")).alias("hit_rate"))
     return out.withColumn("delta", delta)
 

@@ -91,9 +91,13 @@ def q_quad_to_bbox(spark, sf):
     return views.boxes(spark, sf).select("doc_id", "pos", geometry.quad_to_bbox(quad).alias("b")).select("doc_id", "pos", *_flat("b"))
 
 
-@query(f"SELECT {KEY}, {', '.join(f'CAST(greatest(0, least({w}, {c} * 2 - 100)) AS INT) AS {c}' for c, w in (('x1', 'width'), ('y1', 'height'), ('x2', 'width'), ('y2', 'height')))}, x2 > 100 AND x1 < 200 AND y2 > 100 AND y1 < 300 AS hits FROM ({BOXES})")
+_SIDES = (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))
+
+
+@query(f"SELECT {KEY}, {', '.join(f'CAST(greatest(0, least({w}, round_even({c} * 2.25::DOUBLE - 100.5, 0))) AS INT) AS {c}' for c, w in _SIDES)}, x2 > 100 AND x1 < 200 AND y2 > 100 AND y1 < 300 AS hits FROM ({BOXES})")
 def q_clamp_overlap(spark, sf):
-    b = views.boxes(spark, sf).select("doc_id", "pos", "box", geometry.clamp_box(F.transform("box", lambda v: v * 2 - 100), F.col("width"), F.col("height")).alias("c"))
+    """Corners in quarters of a pixel: half of them round to even."""
+    b = views.boxes(spark, sf).select("doc_id", "pos", "box", geometry.clamp_box(F.transform("box", lambda v: v * F.lit(2.25) - 100.5), F.col("width"), F.col("height")).alias("c"))
     return b.select("doc_id", "pos", *_flat("c"), geometry.overlap(F.col("box"), F.array(*map(F.lit, (100, 100, 200, 300)))).alias("hits"))
 
 
@@ -192,7 +196,12 @@ def q_label_field(spark, sf):
     return views.boxes(spark, sf).select("doc_id", "pos", codec.label_to_field(F.col("label")).alias("field"))
 
 
-@query()
+#: crc32 (reflected, polynomial 0xEDB88320), its table made by shifting each byte eight times.
+_CRC = """WITH t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)
+SELECT doc_id, xor(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295::BIGINT), 7) AS seed FROM documents, t"""
+
+
+@query(_CRC)
 def q_doc_seed(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", codec.doc_seed(F.col("doc_id"), 7).alias("seed"))
 
@@ -290,10 +299,9 @@ def q_ingest_stats(spark, sf):
     return ingest.ingest_stats(views.pages(spark, sf))
 
 
-@query(f"""SELECT source, doc_id, count(*) AS boxes FROM ({_RECEIPTS}) WHERE split_part(doc_id, '-', 3)::BIGINT < 40 GROUP BY ALL UNION ALL SELECT source, doc_id, count(*) FROM ({_FORMS}) WHERE split_part(doc_id, '-', 3)::BIGINT < 40 GROUP BY ALL""")
+@query(f"SELECT source, doc_id, count(*) AS boxes FROM ({_RECEIPTS}) GROUP BY ALL UNION ALL SELECT source, doc_id, count(*) FROM ({_FORMS}) GROUP BY ALL")
 def q_source_union(spark, sf):
-    sources = [ingest.normalise_receipts(_raw_receipts(spark, sf).where("ordinal < 40")), ingest.normalise_forms(_raw_forms(spark, sf).where("ordinal < 40"), names=NAMES)]
-    light = [s.drop("image") for s in sources]
+    light = [s.drop("image") for s in (ingest.normalise_receipts(_raw_receipts(spark, sf)), ingest.normalise_forms(_raw_forms(spark, sf), names=NAMES))]
     return light[0].unionByName(light[1]).where(F.size("ocr_boxes") > 0).select("source", "doc_id", F.size("ocr_boxes").cast("bigint").alias("boxes"))
 
 
@@ -403,14 +411,12 @@ def q_clean_fraction(spark, sf):
 
 @query("SELECT o_orderkey::VARCHAR AS doc_id, o_orderpriority AS source, CAST(300 + o_orderkey % 400 AS INT) AS width, CASE WHEN o_orderkey % 2 = 0 THEN 'ü \"' || o_orderstatus END AS reason, CASE WHEN o_orderkey % 3 = 0 THEN 1 + (o_orderkey % 5)::INT END AS x1 FROM orders")
 def q_jsonl_roundtrip(spark, sf):
-    import tempfile
-
     from docprobe.sources.readers import read_records
+    from docprobe.sources.scratch import fresh
     from docprobe.sources.sinks import write_records
 
     rows = _table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("source"), (300 + F.col("o_orderkey") % 400).cast("int").alias("width"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('ü "'), "o_orderstatus")).alias("reason"), F.when(F.col("o_orderkey") % 3 == 0, F.array((1 + F.col("o_orderkey") % 5).cast("int"))).alias("box_pixel"), F.when(F.col("o_orderkey") % 4 == 0, "val").otherwise("train").alias("split"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docprobe-")).rstrip("/")
-    out = f"{base}/jsonl-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}"
+    out = fresh(spark, "jsonl")
     write_records(rows, out)
     back = read_records(spark, f"{out}/split=train", f"{out}/split=val", f"{out}/split=test")
     return back.select("doc_id", "source", "width", "reason", F.get("box_pixel", F.lit(0)).alias("x1"))

@@ -315,10 +315,14 @@ def _token_rows(spark, sf):
     return seq.select("conv_id", chat.padded(kept, F.size("ids") + 4, 0).alias("input_ids"))
 
 
-@query(f"WITH t AS ({_TOKENS}), n AS (SELECT conv_id, sum(8 + turn)::INT AS n FROM conversations GROUP BY 1) SELECT conv_id, n.n + 4 AS size, (last + 4 + (NOT cut)::INT)::INT AS learnable FROM t JOIN n USING (conv_id)")
+@query(
+    f"""WITH t AS ({_TOKENS}), n AS (SELECT conv_id, sum(8 + turn)::INT AS n FROM conversations GROUP BY 1),
+l AS (SELECT conv_id, n.n + 4 AS size, list_concat(list_transform(range(0, (last + 5)::BIGINT), lambda i: CASE WHEN i = 2 THEN -100 ELSE 100 + i END), CASE WHEN cut THEN [] ELSE [2] END) AS tail FROM t JOIN n USING (conv_id))
+SELECT conv_id, size, len(list_filter(tail, lambda x: x <> -100))::INT AS learnable, array_to_string(list_concat(list_transform(range(0, size - 4 - len(tail) - (CASE WHEN list_contains(tail, 2) THEN 0 ELSE 1 END)), lambda i: -100), tail, list_transform(range(0, 4 + (CASE WHEN list_contains(tail, 2) THEN 0 ELSE 1 END)), lambda i: -100)), ',') AS labels FROM l"""
+)
 def q_loss_mask(spark, sf):
     got = chat.loss_mask(_token_rows(spark, sf), start_id=1, end_id=2, pad_id=0, image_id=9, header=1)
-    return got.select("conv_id", F.size("labels").alias("size"), "learnable")
+    return got.select("conv_id", F.size("labels").alias("size"), "learnable", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
 @query(f"SELECT conv_id, NOT cut AS terminated, cut AS truncated FROM ({_TOKENS})")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docprobe.operators.evaluate import report, slim
 from docprobe.operators.predict import Predictor, collect_predictions, generate
-from docprobe.sources.sinks import summary_lines, write_json
+from docprobe.sources.scratch import stored
+from docprobe.sources.sinks import summary_lines, write_document
 
 
 def evaluation_rows(records: DataFrame, make: Callable[[], Predictor], limit: int | None = None) -> DataFrame:
@@ -19,15 +20,15 @@ def evaluation_rows(records: DataFrame, make: Callable[[], Predictor], limit: in
 
 
 def run(records: DataFrame, make: Callable[[], Predictor], make_baseline: Callable[[], Predictor] | None = None, out_path: str | None = None, limit: int | None = None) -> dict:
-    """The report as a dict; also written, with both dumps of predictions as Parquet beside it, if a path is given."""
-    rows = evaluation_rows(records, make, limit)
-    base = None if make_baseline is None else evaluation_rows(records, make_baseline, limit)
+    """The report as a dict; with a path also one JSON document of the report and both dumps of predictions, row by row.
+
+    Each model runs once over the records: its rows are stored, and everything else reads them.
+    """
+    rows = stored(evaluation_rows(records, make, limit), "predictions")
+    base = None if make_baseline is None else stored(evaluation_rows(records, make_baseline, limit), "baseline-predictions")
     found = report(rows, base).first().asDict(recursive=True)
     if out_path:
-        write_json({"report": found}, out_path)
-        slim(rows).write.mode("overwrite").parquet(f"{out_path}.predictions")
-        if base is not None:
-            slim(base).write.mode("overwrite").parquet(f"{out_path}.baseline_predictions")
+        write_document({"report": found, "predictions": slim(rows), "baseline_predictions": None if base is None else slim(base)}, out_path)
     for line in summary_lines(found):
         print(line)
     return found

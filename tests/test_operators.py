@@ -63,6 +63,13 @@ def test_sources_with_limits(spark, tmp_path):
     assert stats[("docs", "funsd")] == 2 and stats[("boxes", "sroie:l")] == 2 and stats[("numeric", "")] == 0
 
 
+def test_limits_count_rows_not_ordinals(spark, tmp_path):
+    receipts = "ordinal int, image struct<width:int,height:int>, ocr array<struct<box:array<array<double>>,label:string,text:string>>"
+    spark.createDataFrame([(10 * i + 3, (9, 9), []) for i in range(6, 0, -1)], receipts).write.parquet(str(tmp_path / "r"))
+    got = readers.read_receipts(spark, str(tmp_path / "r"), limit=2)
+    assert sorted(r["doc_id"] for r in got.collect()) == ["sroie-train-13", "sroie-train-23"]
+
+
 def test_splits(spark):
     ids = spark.createDataFrame([(f"d{i}",) for i in range(100)] * 2, "doc_id string")
     ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
@@ -248,10 +255,77 @@ def test_build_end_to_end(spark, pages, tmp_path):
 
     r = score.run(rows, perfect, silent, out_path=str(tmp_path / "eval" / "r.json"))
     assert r["detection"]["f1"] == 1.0 and r["localization"]["mean_iou"] == pytest.approx(1.0) and r["baseline"]["detection"]["parse_failure_rate"] == 1.0
-    assert json.loads((tmp_path / "eval" / "r.json").read_text())["report"]["mcnemar"]["c"] == 0
+    written = json.loads((tmp_path / "eval" / "r.json").read_text())
+    assert written["report"]["mcnemar"]["c"] == 0 and len(written["predictions"]) == len(written["baseline_predictions"]) == rows.count()
+    assert set(written["predictions"][0]) == {"doc_id", "tamper_type", "true_tampered", "pred_tampered", "pred_box_norm"}
     assert predict.collect_predictions(predict.generate(rows, silent), limit=3).count() == 3
 
 
+def test_each_model_sees_each_record_once(spark, pages, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    rows = spark.createDataFrame([(f"d{i}", "s", None, False, None, 10, 10) for i in range(8)], "doc_id string, source string, tamper_type string, tampered boolean, box_pixel array<int>, width int, height int")
+
+    def counting(name):
+        def make():
+            def run(batch):
+                import uuid
+
+                (seen / f"{name}-{uuid.uuid4().hex}").write_text(" ".join(batch["doc_id"]))
+                return batch["doc_id"].map(lambda _: '{"tampered": false}')
+
+            return run
+
+        return make
+
+    score.run(rows, counting("a"), counting("b"), out_path=str(tmp_path / "r.json"))
+    for name in "ab":
+        assert sorted(d for f in seen.glob(f"{name}-*") for d in f.read_text().split()) == [f"d{i}" for i in range(8)]
+
+
+def test_training_files_are_mixed(spark, pages, tmp_path):
+    build.build(pages, str(tmp_path / "out"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "out" / "split=train").glob("part-*")) for x in f.read_text().splitlines()]
+    flags = [r["tampered"] for r in lines]
+    changes = sum(a != b for a, b in zip(flags, flags[1:]))
+    assert len(flags) / 3 < changes < 2 * len(flags) / 3 and [r["image_path"] for r in lines] != sorted(r["image_path"] for r in lines)
+    val = [json.loads(x)["image_path"] for f in sorted((tmp_path / "out" / "split=val").glob("part-*")) for x in f.read_text().splitlines()]
+    assert val == sorted(val)
+
+
+def test_own_operation_and_unmet_condition(spark, pages):
+    def plan(df, seed, out):
+        box = F.element_at("ocr_boxes", 1)["box_pixel"]
+        return df.withColumn(out, forge._plan("stamp", box, F.lit("f"), paste=F.slice(box, 1, 2)))
+
+    own = forge.ForgeryOp("stamp", plan, lambda: F.col("doc_id") != "sroie-train-0")
+    got = {r["doc_id"]: r for r in forge.forge_variants(pages.withColumn("n_donors", F.lit(0).cast("bigint")), 3, ops=(own, "splice")).where("tampered").collect()}
+    assert len(got) == 39 and "sroie-train-0" not in got and got["sroie-train-1"]["tamper_type"] == "stamp" and got["sroie-train-1"]["reason"] is None
+
+
+def test_collate_pads_batches_on_the_right(spark):
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((3, 5, 1, 9))], "k int, text string").coalesce(1)
+    special = chat.Special(start=1, end=2, pad=0, image=9, header=1)
+    build_ = F.array(chat._message("assistant", chat._part(F.col("text"))))
+    make = lambda: lambda batch: [[1, 3, *[70] * len(m[0]["content"][0]["text"]), 2] for m in batch]
+    got = {r["k"]: r for r in chat.collate(df, make, special, build_, max_length=8, batch=2).collect()}
+    assert [len(got[k]["input_ids"]) for k in range(4)] == [8, 8, 8, 8] and got[0]["input_ids"] == [1, 3, 70, 70, 70, 2, 0, 0] and got[0]["attention_mask"] == [1] * 6 + [0] * 2
+    assert got[0]["labels"] == [-100, -100, 70, 70, 70, 2, -100, -100] and got[3]["truncated"] and not got[0]["truncated"]
+    one = chat.collate(df.where("k = 2"), make, special, build_, batch=2).first()
+    assert one["input_ids"] == [1, 3, 70, 2]
+
+
+def test_shared_folder_must_be_set_off_local_mode():
+    from docprobe.sources.scratch import scratch_dir
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("S", (), {"master": "yarn"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch_dir(Session())
+
+
 def test_json_lines_blank_lines_and_config(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"doc_id": "x", "box_pixel": null}\n\n   \n{"doc_id": "y", "box_pixel": [1, 2, 3, 4]}\n')
     got = readers.read_records(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "none.jsonl"))
