@@ -17,7 +17,6 @@ block have none); a very long text makes a block by itself; an empty table gives
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import map_rows, runs_of_texts, scratch_dir, text_of
+from docprobe.llm.common import map_rows, runs_of_texts, text_of
 from docprobe.llm.tokens import encoder, public_path
+from docprobe.sources.scratch import fresh
 
 #: selector -> (ids in a word, bits of each); 0 is the escape, 1 a run of zeros.
 LAYOUT = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -206,6 +206,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 def write_and_read(docs: DataFrame, **options: object) -> DataFrame:
     """The round trip through files in the shared folder."""
-    path = f"{scratch_dir(docs.sparkSession)}/docprobe/tokens-{uuid.uuid4().hex}"
+    path = fresh(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)  # type: ignore[arg-type]
     return read_tokens(docs.sparkSession, path)

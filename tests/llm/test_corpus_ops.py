@@ -527,14 +527,3 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, labels, tmp_
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
     got = cp.run(spark, str(tmp_path / "odd")).collect()
     assert {r["doc_id"] for r in got} <= {None, -7, 1, 2, 3, 4, 5, 6, 7} and all(r["length"] > 0 for r in got)
-
-
-def test_the_shared_folder_must_be_set_off_local_mode():
-    from docprobe.llm.common import scratch_dir
-
-    class Session:
-        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
-        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
-
-    with pytest.raises(ValueError, match="checkpoint.dir"):
-        scratch_dir(Session())
