@@ -21,7 +21,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from itertools import chain
 from sys import intern
 
@@ -51,6 +51,18 @@ def _sentences(words: list[str]) -> list[list[str]]:
     return [s for s in out if s]
 
 
+class _Kept(dict):
+    """word -> those of its features that are in a collection."""
+
+    def __init__(self, among: Container[str]):
+        super().__init__()
+        self.among = among
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = self[word] = tuple(f for f in _features(word) if f in self.among)
+        return found
+
+
 def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most: int = 400) -> set[str]:
     """Greedy cover of the toxic documents by features that are far more frequent there than in clean ones.
 
@@ -72,16 +84,17 @@ def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most:
                 where.setdefault(f, array("i")).append(i)
     where = {f: d for f, d in where.items() if len(d) >= floor}
     clean: Counter[str] = Counter()
+    known = _Kept(where)
     for i in np.flatnonzero(~toxic):
-        clean.update(f for f in held(i) if f in where)
+        clean.update(set(chain.from_iterable(map(known.__getitem__, set(words[i])))))
     good = {f: set(d) for f, d in where.items() if len(d) >= floor and len(d) / n1 >= 25 * (clean[f] + 0.02) / n0}
     around: dict[str, set[tuple[str, str]]] = {f: set() for f in good}
+    known = _Kept(around)
     for i in np.flatnonzero(toxic):
         own = words[i]
         for k, w in enumerate(own):
-            for f in _features(w):
-                if f in around:
-                    around[f].add((own[k - 1] if k else "", own[k + 1] if k + 1 < len(own) else ""))
+            for f in known[w]:
+                around[f].add((own[k - 1] if k else "", own[k + 1] if k + 1 < len(own) else ""))
     good = {f: d for f, d in good.items() if len(around[f]) >= max(floor, 0.5 * len(d))}
     # a document often holds several toxic words: besides the cover, every feature of like strength is taken
     picked = {f for f, d in good.items() if len(d) >= 0.02 * n1}
@@ -191,10 +204,10 @@ def chain_marginals(odds: np.ndarray, sizes: np.ndarray, trans: np.ndarray, pair
 def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: float = 0.5) -> Field:
     """Adagrad on the conditional likelihood of whole sentences, and then a logistic fit of the document score."""
     marks = toxic_features(texts, toxic)
-    sentences, labels, plain = [], [], []
+    sentences, labels, plain, known = [], [], [], _Kept(marks)
     for text, bad in zip(texts, toxic):
         for s in _sentences(list(map(intern, TOKEN.findall(lowered(text))))):
-            y = [int(bad and any(f in marks for f in _features(w))) for w in s]
+            y = [int(bad and len(known[w]) > 0) for w in s]
             if any(y):
                 sentences.append(s)
                 labels.append(y)
@@ -208,9 +221,9 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     if not any(map(any, labels)):
         return field
     seen: Counter[str] = Counter()
-    for s in sentences:
-        for w in s:
-            seen.update(_features(w))
+    for w, c in Counter(chain.from_iterable(sentences)).items():
+        for f in _features(w):
+            seen[f] += c
     own = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= 3))}
     size = len(own)
     words, sizes = [w for s in sentences for w in s], np.array([len(s) for s in sentences])
@@ -218,11 +231,13 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
     first = np.zeros(len(words), bool)
     first[begins] = True
-    ids = np.full((len(words), 1 + len(LENGTHS)), size)
-    for i, w in enumerate(words):
+    kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    table = np.full((len(kinds), 1 + len(LENGTHS)), size, np.int32)
+    for w, i in kinds.items():
         got = [own[f] for f in _features(w) if f in own]
-        ids[i, : len(got)] = got
-    word = np.array([own.get(w, size) for w in words])
+        table[i, : len(got)] = got
+    place = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+    word = np.array([own.get(w, size) for w in kinds])[place]
     before, after = np.where(first, size, np.r_[size, word[:-1]]), np.where(np.r_[first[1:], True], size, np.r_[word[1:], size])
     w, left, right, bias = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), field.bias
     trans = np.zeros((2, 2))
@@ -232,10 +247,10 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     np.add.at(pair_y, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     n = len(sentences)
     for _ in range(epochs):
-        odds = bias + w[ids].sum(1) + left[before] + right[after]
+        odds = bias + w[table].sum(1)[place] + left[before] + right[after]  # a word's own part is added up once for all its places
         p, pair_p = chain_marginals(odds, sizes, trans, pairs=True)
         d = (p - y) / n
-        grads = [np.bincount(ids.ravel(), np.repeat(d, ids.shape[1]), size + 1) + 1e-5 * w, np.bincount(before, d, size + 1) + 1e-4 * left, np.bincount(after, d, size + 1) + 1e-4 * right, d.sum(), (pair_p - pair_y) / n]
+        grads = [np.bincount(table.ravel(), np.repeat(np.bincount(place, d, len(table)), table.shape[1]), size + 1) + 1e-5 * w, np.bincount(before, d, size + 1) + 1e-4 * left, np.bincount(after, d, size + 1) + 1e-4 * right, d.sum(), (pair_p - pair_y) / n]
         for k, g in enumerate(grads):
             sums[k] = sums[k] + g * g
         w -= rate * grads[0] / np.sqrt(sums[0])
