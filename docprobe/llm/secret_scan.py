@@ -24,9 +24,10 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprobe.llm.common import lowered, map_rows, text_of
@@ -39,6 +40,8 @@ BASE = (
 )
 CONTEXT_PATTERN = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|bearer|auth(?:orization)?)["']?\x20{0,3}(?::=|=>|[:=]|\x20is\x20)\x20{0,3}["'`]?([^\s"'`<>,;()\[\]{}|]{6,})"""
 CONTEXT = re.compile(CONTEXT_PATTERN, re.I | re.A)
+#: Every match holds one of these.
+MARKS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 #: Common words of passwords and placeholders, commonest first.
 COMMON = (
     "password passw0rd qwerty letmein welcome admin login changeme secret master dragon monkey shadow sunshine princess football "
@@ -149,10 +152,11 @@ def learn_words(docs: DataFrame, per_language: int = 4_000, most: int = 40_000,
     Runs of 3 to 16 letters, lower case, are counted over all texts, credential contexts and their values cut out. The ``per_language``
     commonest words of each language that occur ``least`` times or more are known, ``most`` words in all (the commonest).
     """
-    text = F.regexp_replace(text_of(docs), "(?i)" + CONTEXT_PATTERN, " ")
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 16))
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    counts = docs.select(lang.alias("g"), F.explode(words).alias("word")).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    low = docs.select(lang.alias("g"), F.lower(text_of(docs)).alias("low"))
+    marked = reduce(Column.__or__, (F.contains("low", F.lit(x)) for x in MARKS))  # only these texts can hold a context
+    words = F.split(F.when(marked, F.regexp_replace("low", CONTEXT_PATTERN, " ")).otherwise(F.col("low")), r"[^\p{L}]+")
+    counts = low.select("g", F.explode(words).alias("word")).where(F.length("word").between(3, 16)).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     # two levels, so that no task sorts all the words of a language
     for salt in (F.pmod(F.xxhash64("word"), F.lit(64)), F.lit(0)):
         order = Window.partitionBy("g", "salt").orderBy(F.col("n").desc(), "word")
