@@ -63,10 +63,10 @@ def _ascii_digits(s: Column) -> Column:
 
 
 def parse_box(text: Column) -> Column:
-    """The first (x1,y1),(x2,y2) anywhere in the text as ARRAY<BIGINT>, else null."""
+    """The first (x1,y1),(x2,y2) anywhere in the text as ARRAY<BIGINT>, else null; a number beyond BIGINT becomes the greatest one."""
     pattern = "(?U)" + BOX_PATTERN
     first = F.regexp_extract(text, pattern, 0)
-    numbers = F.array(*(_ascii_digits(F.regexp_extract(first, pattern, g)).try_cast("bigint") for g in range(1, 5)))
+    numbers = F.array(*(F.coalesce(_ascii_digits(F.regexp_extract(first, pattern, g)).try_cast("bigint"), F.lit((1 << 63) - 1)) for g in range(1, 5)))
     return F.when(first != "", numbers)
 
 
@@ -104,20 +104,24 @@ def first_json_object(text: Column) -> Column:
 
 
 def parse_prediction(text: Column) -> Column:
-    """The completion's verdict as a struct (PREDICTION), or null if there is none of the right types."""
-    v = F.try_parse_json(first_json_object(text))
+    """The completion's verdict as a struct (PREDICTION), or null if there is none of the right types.
+
+    Of a key said twice the last value counts; NaN and Infinity are numbers.
+    """
+    keys = ("tampered", "field", "box", "reason")
+    v = F.from_json(first_json_object(text), ", ".join(f"{k} variant" for k in keys), {"allowSingleQuotes": "false"})
 
     def kind(key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+        return F.schema_of_variant(v[key])
 
     def optional(key: str) -> Column:
         return F.coalesce(kind(key).isin("VOID", "STRING"), F.lit(True))
 
     def value(key: str) -> Column:
-        return F.when(kind(key) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+        return F.when(kind(key) == "STRING", F.try_variant_get(v[key], "$", "string"))
 
-    fits = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT") & F.coalesce(kind("tampered") == "BOOLEAN", F.lit(False)) & optional("field") & optional("box") & optional("reason")
-    made = F.struct(F.try_variant_get(v, "$.tampered", "boolean").alias("tampered"), value("field").alias("field"), value("box").alias("box"), parse_box(value("box")).alias("box_norm"), value("reason").alias("reason"))
+    fits = F.coalesce(kind("tampered") == "BOOLEAN", F.lit(False)) & optional("field") & optional("box") & optional("reason")
+    made = F.struct(F.try_variant_get(v["tampered"], "$", "boolean").alias("tampered"), value("field").alias("field"), value("box").alias("box"), parse_box(value("box")).alias("box_norm"), value("reason").alias("reason"))
     return F.when(fits, made)
 
 

@@ -147,15 +147,38 @@ def test_parse_prediction(spark):
         ('{"tampered": true, "box": "lower right"}', (True, None, None)),
         ('}} {"tampered": false}', (False, None, None)),
         ('{"notes": [{"deep": {"er": 1}}], "tampered": false}', (False, None, None)),
+        ('{"tampered": false, "tampered": true, "field": "a", "field": null}', (True, None, None)),
+        ('{"tampered": true, "p": NaN, "q": [-Infinity], "box": "(1,2),(3,99999999999999999999)"}', (True, None, [1, 2, 3, (1 << 63) - 1])),
         ('{"tampered": true, "field": "x } \\" y"}', (True, 'x } " y', None)),
     ]
     for text, want in good:
         p = one(spark, codec.parse_prediction(F.lit(text)))[0]
         assert (p.tampered, p.field, p.box_norm) == want
-    bad = ["", "all is well", "{tampered: true}", '{"tampered": false, "reason"', '[{"tampered"]', "7.5", None, '{"tampered": "no"}', '{"tampered": 0}', '{"tampered": false, "field": ["x"]}', '{"tampered": false, "box": 1.5}', '{"tampered": false, "reason": true}', '{"reason": "x"}', "{'tampered': false}", '{"tampered": null}']
+    bad = ["", "all is well", "{tampered: true}", '{"tampered": false, "reason"', '[{"tampered"]', "7.5", None, '{"tampered": "no"}', '{"tampered": 0}', '{"tampered": false, "field": ["x"]}', '{"tampered": false, "box": 1.5}', '{"tampered": false, "reason": true}', '{"reason": "x"}', "{'tampered': false}", '{"tampered": null}', '{"tampered": true, oops}', '{"tampered": true,}', '{"tampered": true "field": "x"}', '{"tampered": 01}', '{"tampered": true, "field": "a\nb"}', '{"x": {"tampered": true}}', "{}"]
     assert one(spark, codec.parse_prediction(F.col("t")), [(t,) for t in bad], "t string") == [None] * len(bad)
 
 
+def py_prediction(text):
+    try:
+        got = json.loads(py_first_object(text) or "")
+    except ValueError:
+        return None
+    ok = isinstance(got.get("tampered"), bool) and all(isinstance(got.get(k), (str, type(None))) for k in ("field", "box", "reason"))
+    return (got["tampered"], got.get("field"), got.get("reason")) if ok else None
+
+
+def test_parse_prediction_against_a_json_parser(spark):
+    rng = random.Random(4)
+    keys, values = ['"tampered"', '"field"', '"reason"', '"x"', "field"], ["true", "false", "null", '"s"', "1", "-0.5e3", "NaN", "[1, {}]", '{"tampered": true}', "'q'", "01", "tru", '"a\\"b"', ""]
+    texts = []
+    for _ in range(3000):
+        pairs = [(rng.choice(keys) if rng.random() < 0.9 else "") + rng.choice([": ", ":", " : ", ""] if rng.random() < 0.2 else [": "]) + rng.choice(values) for _ in range(rng.randint(0, 4))]
+        texts.append(rng.choice(["", "so: "]) + "{" + rng.choice(['"tampered": true, ', '"tampered":false,', ""]) + rng.choice([", ", ",", ",,"] if rng.random() < 0.2 else [", "]).join(pairs) + "}" + rng.choice(["", " ok", "}"]))
+    got = [p and (p.tampered, p.field, p.reason) for p in one(spark, codec.parse_prediction(F.col("t")), [(t,) for t in texts], "t string")]
+    want = [py_prediction(t) for t in texts]
+    assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == [] and sum(w is not None for w in want) > 100
+
+
 def test_labels_seeds_paths(spark):
     texts = [("$45.99",), ("2018-12-25",), ("789417-W",), ("٣",), ("TOTAL",), ("",), (None,)]
     assert one(spark, codec.is_numeric(F.col("t")), texts, "t string") == [True, True, True, True, False, False, False]
