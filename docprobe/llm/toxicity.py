@@ -18,6 +18,7 @@ from); offsets are code points of the text as it stands; an empty table gives no
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprobe.llm.common import hash01, held_out, lowered, map_rows, release_memory, runs_of_texts, text_of
+from docprobe.llm.common import hash01, held_out, lowered, map_rows, runs_of_texts, text_of
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -295,29 +296,49 @@ def fit_score(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500, chars_per_row: int = 10_000) -> Field:
-    """From a bounded sample: at most about ``rows_per_class`` toxic labelled rows and twice as many clean ones, outside the held-out fold, ``chars_per_row`` characters of each."""
+def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500, chars_per_row: int = 10_000) -> tuple[DataFrame, float] | None:
+    """(doc_id, toxic, text) of a bounded sample and the share of toxic rows among all labelled ones; none without labels of both classes.
+
+    At most about ``rows_per_class`` toxic labelled rows and twice as many clean ones, outside the held-out fold, one row an id, ``chars_per_row`` characters of each.
+    """
     rank = hash01(F.col("doc_id"), F.lit("toxicity sample"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {t: min(1.0, rows_per_class * (1 if t == 1 else 2) / c) for t, c in n.items()}
     if not n.get(1) or not n.get(0):
-        return Field()
-    sample = known.where(rank <= F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+        return None
+    part = {t: min(1.0, rows_per_class * (1 if t == 1 else 2) / c) for t, c in n.items()}
+    few = known.where(rank <= F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     text = text_of(docs)
     at = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars_per_row, F.lit(0)) + 1).cast("int")
-    pieces = docs.select("doc_id", F.substring(text, at + 1, F.lit(chars_per_row)).alias("text"))
-    got = pieces.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # a row a sampled id
-    got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in got})
-    texts, toxic = [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
+    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(text, at + 1, F.lit(chars_per_row)).alias("text"))
+    rows = pieces.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), n[1] / (n[1] + n[0])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1_500, chars_per_row: int = 10_000) -> Field:
+    """A field from the bounded ``sample``. It is trained in one task on an executor; only the weights come to the driver."""
+    found = sample(docs, labels, rows_per_class, chars_per_row)
+    if found is None:
+        return Field()
+    rows, share = found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
+        if got:
+            yield pa.RecordBatch.from_pydict({"field": [pickle.dumps(fitted([t for _, _, t in got], np.array([y == 1 for _, y, _ in got], bool), share))]})
+
+    models = map_rows(rows.repartition(1), run, "field binary").collect()
+    return pickle.loads(models[0]["field"]) if models else Field()
+
+
+def fitted(texts: list[str], toxic: np.ndarray, share: float) -> Field:
+    """The field and its document score."""
     if not toxic.any() or toxic.all():
         return Field()
     field = train_field(texts, toxic)
     x = np.concatenate([summaries(field, texts[a : a + 200])[0] for a in range(0, len(texts), 200)])
-    field.score = fit_score(x, toxic, n[1] / (n[1] + n[0]))
+    field.score = fit_score(x, toxic, share)
     field.forget()
-    del got, texts, x
-    release_memory()  # the driver's
     return field
 
 

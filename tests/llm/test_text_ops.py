@@ -380,19 +380,10 @@ def test_one_id_on_all_rows_gives_one_row_to_learn_from(spark):
     rows = [(1, " ".join(words) + " vile.") for _ in range(500)] + [(i, " ".join(words[i % 5 :] * 4000)) for i in range(20, 60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(20, 40)] + [(i, 0) for i in range(40, 60)] + [(1, 1), (1, 1)], "doc_id bigint, toxic int")
-    seen = {}
-    real = toxicity.train_field
-
-    def watch(texts, toxic, **more):
-        seen["chars"] = [len(t) for t in texts]
-        return real(texts, toxic, **more)
-
-    toxicity.train_field = watch
-    try:
-        toxicity.train(docs, labels)
-    finally:
-        toxicity.train_field = real
-    assert len(seen["chars"]) <= 41 and max(seen["chars"]) == 10_000 and min(seen["chars"]) < 40
+    rows, share = toxicity.sample(docs, labels)
+    chars = [len(r["text"]) for r in rows.collect()]
+    assert len(chars) <= 41 and max(chars) == 10_000 and min(chars) < 40 and 0.4 < share < 0.6
+    assert toxicity.train(docs, labels).score.shape == (4,) and toxicity.sample(docs, labels.where("toxic = 1")) is None
 
 
 def test_toxicity_accuracy(spark):
