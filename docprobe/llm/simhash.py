@@ -14,7 +14,8 @@ Links become components by contraction rounds (each node joins the neighbour of
 intermediate table written to the shared folder. Only distinct fingerprints take part; documents are joined at the end.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any others; null doc_ids get their group's
-id, or null if the group has no other; repeated rows are one class; an empty table gives no rows; other columns are ignored.
+id, or null if the group has no other; repeated rows are one class; very long texts are fingerprinted whole; an empty table gives no rows; other columns are ignored,
+also those named like a result.
 """
 
 from __future__ import annotations
