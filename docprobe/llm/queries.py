@@ -59,21 +59,25 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
-
-
 def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal fingerprints, and how many other classes are alike."""
     return spotsigs.links(table(spark, sf_dir, "documents"))
 
 
-def _spotsigs_links_sql(threshold: float = 0.8) -> str:
+def _signatures_sql(rows: str) -> str:
+    """Common table expressions: t, the rows (doc_id, side, text) with their words; s, the signatures (doc_id, side, g), in words."""
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(spotsigs.ANCHORS))
     return rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
-u AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 AND w[i - 1] IN ({stop}) THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
-c AS (SELECT doc_id, a, w, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM u WHERE w NOT IN ({stop})),
-g AS (SELECT DISTINCT doc_id, a || ' ' || w || ' ' || w1 || ' ' || w2 AS g FROM c WHERE a IS NOT NULL AND w2 IS NOT NULL),
-s AS (SELECT doc_id, g FROM g UNION ALL SELECT doc_id, CASE WHEN len(w) > 0 THEN 'all ' || array_to_string(w, ' ') ELSE 'raw ' || text END FROM t WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM g)),
+t AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM ({rows})),
+u AS (SELECT doc_id, side, i, w[i] AS w, CASE WHEN i > 1 AND w[i - 1] IN ({stop}) THEN w[i - 1] END AS a FROM (SELECT doc_id, side, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+c AS (SELECT doc_id, side, a, w, lead(w, 1) OVER (PARTITION BY doc_id, side ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id, side ORDER BY i) AS w2 FROM u WHERE w NOT IN ({stop})),
+g AS (SELECT DISTINCT doc_id, side, a || ' ' || w || ' ' || w1 || ' ' || w2 AS g FROM c WHERE a IS NOT NULL AND w2 IS NOT NULL),
+s AS (SELECT * FROM g UNION ALL SELECT doc_id, side, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE text END FROM t WHERE text <> '' AND (doc_id, side) NOT IN (SELECT (doc_id, side) FROM g))"""
+
+
+def _spotsigs_links_sql(threshold: float = 0.8) -> str:
+    return f"""
+WITH {_signatures_sql("SELECT doc_id, 'own' AS side, coalesce(text, '') AS text FROM documents")},
 k AS (SELECT t.doc_id, coalesce(string_agg(g, chr(10) ORDER BY g), '') AS k, count(g) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id),
 r AS (SELECT k, min(doc_id) AS class_id, any_value(n) AS n FROM k GROUP BY k),
 cs AS (SELECT class_id, n, g FROM r JOIN s ON s.doc_id = r.class_id),
@@ -82,6 +86,47 @@ l AS (SELECT a, count(*) AS n_links FROM p WHERE shared::DOUBLE / (na + nb - sha
 SELECT k.doc_id, r.class_id, coalesce(n_links, 0) AS n_links FROM k JOIN r USING (k) LEFT JOIN l ON l.a = r.class_id"""
 
 
+def _op9_sql() -> str:
+    like = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+    follow = lambda x: f"coalesce(lead({x}) OVER (ORDER BY doc_id), first_value({x}) OVER (ORDER BY doc_id))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, length(text) AS n, {follow('text')} AS next_text FROM d),
+e AS (SELECT doc_id, text, n, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM n),
+{_signatures_sql("SELECT doc_id, 'own' AS side, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e")},
+h AS (SELECT doc_id, side, list(DISTINCT left(md5(g), 8)) AS h FROM s GROUP BY ALL),
+f AS (SELECT e.*, coalesce(o.h, []) AS own, coalesce(c.h, []) AS changed FROM e LEFT JOIN h o ON o.doc_id = e.doc_id AND o.side = 'own' LEFT JOIN h c ON c.doc_id = e.doc_id AND c.side = 'edited'),
+x AS (SELECT *, {follow('own')} AS next FROM f)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(list_sort(own), '') AS fingerprint, array_to_string(list_sort(changed), '') AS edited_fingerprint,
+ {like('own', 'changed')} AS near_edited, {like('own', 'next')} AS near_next FROM x"""
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the secret scan that its fixed patterns give."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _secret_base_sql() -> str:
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    patterns = {
+        "assign": f"""({either('password')}|{either('passwd')}|{either('secret')}|{either('token')}|{either('api')}_?{either('key')})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "(AKIA)([A-Z0-9]+)",
+        "hex": "()([0-9a-f]+)",
+    }
+    least = {"assign": 6, "access": 16, "hex": 24}
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {k} AS place, {least[kind]} AS least, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', 2) AS v, regexp_split_to_array(text, '{p}') AS gap FROM d"
+        for k, (kind, p) in enumerate(patterns.items())
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, place, least, unnest(m) AS m, unnest(v) AS v, unnest(gap[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM ({each})),
+s AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || (e - length(m)) || ':' || e, ',' ORDER BY e - length(m), place) AS spans FROM s WHERE length(v) >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+
 def _op2_sql(risk: float = 0.025, alpha: float = 0.05) -> str:
     path = ", ".join(f"({t}, '{r}', {float(quality_rules.RULES[r][2][i])!r}::DOUBLE)" for t, (i, r) in enumerate(quality_rules.PATH))
     ratios = " ".join(f"WHEN '{r}' THEN {num}::DOUBLE / greatest({den}, 1)" for r, (num, den, _) in quality_rules.RULES.items())
@@ -158,6 +203,6 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * (floor(k *
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules, spotsigs_links)
+    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules, spotsigs_links, secret_base_spans)
 }
-ORACLE: dict[str, str] = {"url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}
+ORACLE: dict[str, str] = {"secret_base_spans": _secret_base_sql(), "op9_spotsigs": _op9_sql(), "url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}

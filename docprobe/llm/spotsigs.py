@@ -1,7 +1,7 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
 A text is cut into lower-case words. Wherever an anchor (a common word of the list) stands directly before a content word, the anchor and the
-next ``CHAIN`` content words (anchors between them skipped) form a signature, kept as a 32-bit hash. A run of anchors
+next ``CHAIN`` content words (anchors between them skipped) form a signature, kept as the first 32 bits of an md5. A run of anchors
 is represented by its last one. The fingerprint is the sorted set of signatures, 8 hex digits each. A text
 with words but without a signature has one, of all its words; a text without any letter or digit has the hash of its characters; the
 empty text has the empty fingerprint. Equal texts therefore have equal fingerprints, and likeness is the Jaccard
@@ -46,10 +46,15 @@ def content_words(text: Column) -> Column:
     return F.transform(F.filter(paired, lambda p: p["w"].isNotNull() & ~p["w"].isin(stop)), lambda p: F.struct(p["w"].alias("w"), F.when(p["a"].isin(stop), p["a"]).alias("a")))
 
 
+def _hash(text: Column) -> Column:
+    """The first 32 bits of a text's md5, which any SQL engine can compute as well."""
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(8)), 16, 10).cast("bigint")
+
+
 def _chains(c: Column) -> Column:
     n = F.size(c)
     two = F.zip_with(c, F.slice(c, 2, n), lambda x, y: F.struct(x["a"].alias("a"), x["w"].alias("w0"), y["w"].alias("w1")))
-    three = F.zip_with(two, F.slice(c, 3, n), lambda x, y: F.when(x["a"].isNotNull() & y["w"].isNotNull(), F.xxhash64(x["a"], x["w0"], x["w1"], y["w"]).bitwiseAND(F.lit(0xFFFFFFFF))))
+    three = F.zip_with(two, F.slice(c, 3, n), lambda x, y: F.when(x["a"].isNotNull() & y["w"].isNotNull(), _hash(F.concat_ws(" ", x["a"], x["w0"], x["w1"], y["w"]))))
     return F.when(n >= CHAIN, F.filter(three, lambda h: h.isNotNull())).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -59,7 +64,7 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     got = df.withColumn("_c", content_words(t))
     got = got.withColumn("_s", F.sort_array(F.array_distinct(_chains(F.col("_c")))))
     words = F.array_join(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
-    whole = F.xxhash64(F.when(words != "", words).otherwise(t)).bitwiseAND(F.lit(0xFFFFFFFF))
+    whole = _hash(F.when(words != "", words).otherwise(t))
     return got.withColumn(out, F.when(F.size("_s") > 0, F.col("_s")).when(t != "", F.array(whole)).otherwise(F.array().cast("array<bigint>"))).drop("_c", "_s")
 
 
