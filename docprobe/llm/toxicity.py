@@ -35,6 +35,8 @@ from docprobe.llm.common import hash01, held_out, lowered, map_rows, release_mem
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 LENGTHS = (3, 4, 5, 6, 7, 8)
+#: Places of a grid of sentences that messages pass through at once, unless a sentence is longer by itself.
+GRID = 100_000
 
 
 def _features(word: str) -> list[str]:
@@ -171,7 +173,7 @@ def chain_marginals(odds: np.ndarray, sizes: np.ndarray, trans: np.ndarray, pair
     a = 0
     while a < len(order):
         longest = int(sizes[order[a]])
-        b = a + max(1, min(len(order) - a, 400_000 // longest))
+        b = a + max(1, min(len(order) - a, GRID // longest))
         some = order[a:b]
         size, begin = sizes[some], begins[some]
         grid = odds[np.minimum(begin[None, :] + np.arange(longest)[:, None], len(odds) - 1)]
@@ -204,6 +206,7 @@ def chain_marginals(odds: np.ndarray, sizes: np.ndarray, trans: np.ndarray, pair
 def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: float = 0.5) -> Field:
     """Adagrad on the conditional likelihood of whole sentences, and then a logistic fit of the document score."""
     marks = toxic_features(texts, toxic)
+    release_memory()
     sentences, labels, plain, known = [], [], [], _Kept(marks)
     for text, bad in zip(texts, toxic):
         for s in _sentences(list(map(intern, TOKEN.findall(lowered(text))))):
@@ -217,17 +220,26 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     for s in plain[::every]:
         sentences.append(s)
         labels.append([0] * len(s))
+    del plain, known
     field = Field()
     if not any(map(any, labels)):
         return field
+    sizes = np.array([len(s) for s in sentences])
+    words, y = list(chain.from_iterable(sentences)), np.fromiter(chain.from_iterable(labels), float, int(sizes.sum()))
+    del sentences, labels
+    # most features are rare: none is kept by name before a table of counts by hash has found enough
+    counts, sieve, mask = Counter(words), np.zeros(1 << 22, np.int32), (1 << 22) - 1
+    for w, c in counts.items():
+        for f in _features(w):
+            sieve[hash(f) & mask] += c
     seen: Counter[str] = Counter()
-    for w, c in Counter(chain.from_iterable(sentences)).items():
+    for w, c in counts.items():
         for f in _features(w):
-            seen[f] += c
+            if sieve[hash(f) & mask] >= 3:
+                seen[f] += c
     own = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= 3))}
     size = len(own)
-    words, sizes = [w for s in sentences for w in s], np.array([len(s) for s in sentences])
-    y = np.array([v for s in labels for v in s], float)
+    del counts, sieve, seen
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
     first = np.zeros(len(words), bool)
     first[begins] = True
@@ -245,7 +257,9 @@ def train_field(texts: list[str], toxic: np.ndarray, epochs: int = 30, rate: flo
     pair_y = np.zeros((2, 2))
     inner = np.flatnonzero(~first)
     np.add.at(pair_y, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-    n = len(sentences)
+    n = len(sizes)
+    del words, word, kinds
+    release_memory()
     for _ in range(epochs):
         odds = bias + w[table].sum(1)[place] + left[before] + right[after]  # a word's own part is added up once for all its places
         p, pair_p = chain_marginals(odds, sizes, trans, pairs=True)
