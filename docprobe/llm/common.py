@@ -101,3 +101,22 @@ def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20
     path = fresh(df.sparkSession, name)
     (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A group of more rows than this, and than a thousandth of the table, is crowded.
+CROWDED = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: Column) -> DataFrame:
+    """The rows and ``group``, a struct of the other columns of the row of ``groups`` (keys, n, ...) with their keys; null if there is none.
+
+    n is a group's number of rows, and total theirs altogether, so at most a thousand groups are crowded. Those are broadcast; their rows are dealt
+    by ``spread`` (a column that tells them apart) in the shuffle join with the others, in which no key then holds more than a thousandth of the rows.
+    """
+    limit = max(CROWDED, total // 1000)
+    rest = [c for c in groups.columns if c not in keys]
+    crowded = groups.where(F.col("n") > limit).select(*keys, F.struct(*rest).alias("crowded"))
+    others = groups.where(F.col("n") <= limit).select(*keys, F.lit(0).cast("bigint").alias("salt"), F.struct(*rest).alias("other"))
+    met = rows.join(F.broadcast(crowded), keys, "left")
+    met = met.withColumn("salt", F.when(F.col("crowded").isNull(), F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))))
+    return met.join(others, [*keys, "salt"], "left").select(*rows.columns, F.coalesce("crowded", "other").alias("group"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprobe.llm import language_id, packing, quality_rules, secret_scan, simhash, spotsigs, systematic_mix, token_codec, toxicity, url_filter
+from docprobe.llm import filter_audit, hard_negatives, language_id, packing, quality_rules, secret_scan, simhash, spotsigs, systematic_mix, token_codec, toxicity, url_filter, warc
 
 HOST_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -59,6 +59,19 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corrected = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, corrected)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal fingerprints, and how many other classes are alike."""
     return spotsigs.links(table(spark, sf_dir, "documents"))
@@ -201,8 +214,37 @@ k AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.sou
  ('0x' || substr(md5('0:mix:' || coalesce('s' || d.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS taken FROM k"""
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, r.vec_id AS r, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS s FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v r ON a.vec_id <> r.vec_id),
+p AS (SELECT a, r AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, r) <= 5)
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, r)::INT AS rank, r AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps QUALIFY rank <= 3"""
+
+OP12_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top, sha1(html) AS hex FROM d)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM g"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::INT
+ + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+b AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+o AS (SELECT [p.f, q.f, r.f, s.f, t.f] AS o FROM b p, b q, b r, b s, b t WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+st AS (SELECT list_aggregate(list_transform(o, lambda x: substr('ABCDE', x + 1, 1)), 'string_agg', '') AS filter_order, k AS step, o[k] AS f, coalesce(list_sum(list_transform(o[:k - 1], lambda x: 1 << x)), 0)::INT AS before FROM o, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, f, mask, n, good, toxic, (mask >> f) & 1 = 1 AS fails, mask & before = 0 AS here FROM c, st),
+y AS (SELECT part, filter_order, step, any_value(f) AS f, coalesce(sum(n) FILTER (here AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND fails), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (fails AND NOT here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = 1 << f), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (here AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND fails), 0)::BIGINT AS toxic_lost
+ FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM y"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, url_own_rules, spotsigs_links, secret_base_spans)
+    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, op11_hard_negatives, op12_warc, op13_filter_audit, url_own_rules, spotsigs_links, secret_base_spans)
 }
-ORACLE: dict[str, str] = {"secret_base_spans": _secret_base_sql(), "op9_spotsigs": _op9_sql(), "url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL}
+ORACLE: dict[str, str] = {"secret_base_spans": _secret_base_sql(), "op9_spotsigs": _op9_sql(), "url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_filter_audit": OP13_SQL}
