@@ -6,11 +6,12 @@ aggregation over the rows: counts only cross the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprobe.functions.geometry import iou, pixel_to_norm
 from docprobe.functions.stats import mcnemar_p, ratio, wilson
+from docprobe.sources.ordinals import paired_lines
 
 
 def flagged(pred: Column) -> Column:
@@ -80,6 +81,16 @@ def paired(df: DataFrame, baseline: DataFrame, *keys: str) -> DataFrame:
     return both.where(guard).select(*(F.col(f"l.{k}").alias(k) for k in keys), "correct_a", "correct_b")
 
 
+def paired_dumps(spark: SparkSession, one: str, two: str, flag: str = "correct_det") -> DataFrame:
+    """position, correct_a, correct_b of two dumps of JSON lines that list the same examples in the same order, matched by line.
+
+    Dumps of unequal length are an error at once; a line without the flag is one when it is read.
+    """
+    read = lambda c: F.from_json(c, f"`{flag}` boolean")[flag]
+    sure = lambda c: F.coalesce(read(c), F.raise_error(F.concat(F.lit(f"no {flag} in line: "), c)).cast("boolean"))
+    return paired_lines(spark, one, two).select("position", sure(F.col("one")).alias("correct_a"), sure(F.col("two")).alias("correct_b"))
+
+
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """b, c, n_discordant (null if there are none), p_value of correct_a against correct_b."""
     got = pairs.agg(F.count_if(F.col("correct_a") & ~F.col("correct_b")).alias("b"), F.count_if(~F.col("correct_a") & F.col("correct_b")).alias("c"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docprobe.functions.codec import CLEAN_REASON, label_to_field, reason_for
 from docprobe.functions.geometry import box_height, box_width, clamp_box
+from docprobe.operators.names import spare
 from docprobe.operators.sampling import below, between, order_key, unit
 
 # --- fixed values ---
@@ -45,10 +46,11 @@ def pick(cands: Column, seed: int, purpose: str, key: Column) -> Column:
 def harvest_donors(pages: DataFrame, order: str = "doc_id", per_source: int = 300, min_w: int = 12, min_h: int = 8, split: str | None = "split") -> DataFrame:
     """split, source, donor_idx (0-based), doc_id, pos, box_pixel: the first field-value boxes of each (split, source) in scan order."""
     groups = [c for c in (split, "source") if c]
-    boxes = pages.select(*groups, order, *(["doc_id"] if order != "doc_id" else []), F.explode("ocr_boxes").alias("b"))
+    boxes = pages.select(*dict.fromkeys([*groups, order, "doc_id"]), F.explode("ocr_boxes").alias("b"))
     good = boxes.where(F.col("b.label").isin(*DONOR_LABELS) & large_enough(F.col("b.box_pixel"), min_w, min_h))
+    (k,) = spare(good, "_k")
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(order, F.col("b.pos")))
-    return good.withColumn("_k", rank).where(F.col("_k") <= per_source).select(*groups, (F.col("_k") - 1).cast("bigint").alias("donor_idx"), "doc_id", F.col("b.pos").alias("pos"), F.col("b.box_pixel").alias("box_pixel"))
+    return good.withColumn(k, rank).where(F.col(k) <= per_source).select(*groups, (F.col(k) - 1).cast("bigint").alias("donor_idx"), "doc_id", F.col("b.pos").alias("pos"), F.col("b.box_pixel").alias("box_pixel"))
 
 
 def with_donor_counts(pages: DataFrame, donors: DataFrame, split: str | None = "split") -> DataFrame:
@@ -68,22 +70,53 @@ def applicable(op: str | ForgeryOp) -> Column:
     return (OPS[op] if isinstance(op, str) else op).applicable()
 
 
-def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Column, seed: int, key: Column, tries: int = 60, margin: int = 4) -> Column:
-    """The first of ``tries`` seeded places of a patch that keeps ``margin`` away from every box; null if none does or the patch fills the page."""
+def seeded_place(k: Column, w: Column, h: Column, patch_w: Column, patch_h: Column, seed: int, key: Column, margin: int = 4) -> Column:
+    """The k-th place that is tried for a patch, as a box."""
     lo = F.lit(margin)
+    x = between(seed, "free:x", lo, F.greatest(lo, w - patch_w - margin), key, k)
+    y = between(seed, "free:y", lo, F.greatest(lo, h - patch_h - margin), key, k)
+    return F.array(x, y, (x + patch_w).cast("int"), (y + patch_h).cast("int"))
+
 
-    def place(k: Column) -> Column:
-        x = between(seed, "free:x", lo, F.greatest(lo, w - patch_w - margin), key, k)
-        y = between(seed, "free:y", lo, F.greatest(lo, h - patch_h - margin), key, k)
-        return F.array(x, y, (x + patch_w).cast("int"), (y + patch_h).cast("int"))
+def touches(place: Column, box: Column, margin: int = 4) -> Column:
+    """Whether a box comes nearer than the margin to a place."""
+    at = lambda b, c: F.element_at(b, c)
+    return (at(place, 3) + margin > at(box, 1)) & (at(box, 3) > at(place, 1) - margin) & (at(place, 4) + margin > at(box, 2)) & (at(box, 4) > at(place, 2) - margin)
 
-    def touches(b: Column, o: Column) -> Column:
-        at = lambda box, c: F.element_at(box, c)
-        return (at(b, 3) + margin > at(o, 1)) & (at(o, 3) > at(b, 1) - margin) & (at(b, 4) + margin > at(o, 2)) & (at(o, 4) > at(b, 2) - margin)
 
+def free_places(pages: DataFrame, seed: int = 0, tries: int = 60, margin: int = 4, cell: int = 64) -> DataFrame:
+    """doc_id, place: for pages (doc_id, ocr_boxes, width, height, patch_w, patch_h) the place that ``free_box`` finds; no row if there is none.
+
+    A page is cut into cells of ``cell`` pixels. Boxes and places are rows by the cells that they reach into, and a place meets only the boxes of its own cells. A cell that one box
+    fills, or covers with its margin all over, is one row however many boxes lie in it: whatever touches it is taken.
+    """
+    asked = pages.where((F.col("patch_w") < F.col("width")) & (F.col("patch_h") < F.col("height")))
+    place = lambda k: seeded_place(k, F.col("width"), F.col("height"), F.col("patch_w"), F.col("patch_h"), seed, F.col("doc_id"), margin)
+    tried = asked.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), place)).alias("k", "place"))
+    cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.greatest(F.floor(lo / cell), F.floor((hi - 1) / cell)))
+    at = lambda b, i: F.element_at(b, i)
+
+    def by_cell(df: DataFrame, box: Column, grow: int) -> DataFrame:
+        cols = df.columns
+        across = df.select(*cols, F.explode(cells(at(box, 1) - grow, at(box, 3) + grow)).alias("cx"))
+        return across.select(*cols, "cx", F.explode(cells(at(box, 2) - grow, at(box, 4) + grow)).alias("cy"))
+
+    boxes = asked.select("doc_id", F.explode("ocr_boxes").alias("b")).select("doc_id", F.col("b.box_pixel").alias("box")).distinct()
+    boxes = by_cell(boxes, F.col("box"), 0)
+    x, y = F.col("cx") * cell, F.col("cy") * cell
+    whole = (at(F.col("box"), 1) <= x) & (at(F.col("box"), 3) >= x + cell) & (at(F.col("box"), 2) <= y) & (at(F.col("box"), 4) >= y + cell)
+    # of a filled cell one box stands for all
+    kept = boxes.groupBy("doc_id", "cx", "cy").agg(F.max(F.when(whole, F.col("box"))).alias("full"), F.collect_list("box").alias("all"))
+    kept = kept.select("doc_id", "cx", "cy", F.when(F.col("full").isNotNull(), F.array("full")).otherwise(F.col("all")).alias("near"))
+    taken = by_cell(tried, F.col("place"), margin).join(kept, ["doc_id", "cx", "cy"]).where(F.exists("near", lambda b: touches(F.col("place"), b, margin))).select("doc_id", "k").distinct()
+    return tried.join(taken, ["doc_id", "k"], "left_anti").groupBy("doc_id").agg(F.min_by("place", "k").alias("place"))
+
+
+def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Column, seed: int, key: Column, tries: int = 60, margin: int = 4) -> Column:
+    """The first of ``tries`` seeded places of a patch that keeps ``margin`` away from every box; null if none does or the patch fills the page."""
     def first(a: int, b: int) -> Column:
-        places = F.transform(F.sequence(F.lit(a), F.lit(b - 1)), place)
-        return F.get(F.filter(places, lambda p: ~F.exists(boxes, lambda o: touches(p, o["box_pixel"]))), F.lit(0))
+        places = F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: seeded_place(k, w, h, patch_w, patch_h, seed, key, margin))
+        return F.get(F.filter(places, lambda p: ~F.exists(boxes, lambda o: touches(p, o["box_pixel"], margin))), F.lit(0))
 
     # most pages have room at one of the first places: the later ones are drawn only if those fail
     ends = [0, *(n for n in (2, 6, 18) if n < tries), tries]
@@ -98,58 +131,73 @@ def _plan(op: str, gt: Column, field: Column, **more: Column) -> Column:
 def plan_digit_swap(pages: DataFrame, seed: int = 0, out: str = "digit_swap") -> DataFrame:
     """A glyph-wide slice of another numeric line is pasted into a numeric line, by preference an amount or date."""
     key = F.col("doc_id")
-    df = pages.withColumn("_n", F.filter("ocr_boxes", lambda b: b["is_numeric"]))
-    df = df.withColumn("_p", F.filter("_n", lambda b: b["label"].isin(*PREFERRED_LABELS)))
-    df = df.withColumn("_c", candidates(F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.col("_n"))))
-    df = df.withColumn("_t", pick(F.col("_c"), seed, "swap:target", key))
-    df = df.withColumn("_d", F.when(F.col("_t").isNotNull(), candidates(F.filter("_n", lambda b: b["pos"] != F.col("_t.pos")))))
-    df = df.withColumn("_d", pick(F.col("_d"), seed, "swap:donor", key))
-    t, d = [F.element_at("_t.box_pixel", i) for i in range(1, 5)], [F.element_at("_d.box_pixel", i) for i in range(1, 5)]
+    n, p, c, t_, d_, g, w = spare(pages, "_n", "_p", "_c", "_t", "_d", "_g", "_w")
+    df = pages.withColumn(n, F.filter("ocr_boxes", lambda b: b["is_numeric"]))
+    df = df.withColumn(p, F.filter(n, lambda b: b["label"].isin(*PREFERRED_LABELS)))
+    df = df.withColumn(c, candidates(F.when(F.size(p) > 0, F.col(p)).otherwise(F.col(n))))
+    df = df.withColumn(t_, pick(F.col(c), seed, "swap:target", key))
+    df = df.withColumn(d_, F.when(F.col(t_).isNotNull(), candidates(F.filter(n, lambda b: b["pos"] != F.col(t_)["pos"]))))
+    df = df.withColumn(d_, pick(F.col(d_), seed, "swap:donor", key))
+    t, d = [F.element_at(F.col(t_)["box_pixel"], i) for i in range(1, 5)], [F.element_at(F.col(d_)["box_pixel"], i) for i in range(1, 5)]
     line, donor_h = t[3] - t[1], d[3] - d[1]
-    df = df.withColumn("_g", F.greatest(F.lit(6), F.least(line, d[2] - d[0])))
-    glyph = F.col("_g")
-    df = df.withColumn("_w", F.when(donor_h == line, glyph).otherwise(F.greatest(F.lit(4), F.rint(glyph * line / donor_h).cast("int"))))
-    middle, last = F.floor((t[0] + t[2]) / 2).cast("int"), F.greatest(t[0], t[2] - F.col("_w"))
+    df = df.withColumn(g, F.greatest(F.lit(6), F.least(line, d[2] - d[0])))
+    glyph = F.col(g)
+    df = df.withColumn(w, F.when(donor_h == line, glyph).otherwise(F.greatest(F.lit(4), F.rint(glyph * line / donor_h).cast("int"))))
+    middle, last = F.floor((t[0] + t[2]) / 2).cast("int"), F.greatest(t[0], t[2] - F.col(w))
     x = F.when(last > t[0], between(seed, "swap:px", F.when(last > middle, middle).otherwise(t[0]), last, key)).otherwise(t[0])
     y = t[1] + between(seed, "swap:py", F.lit(-1), F.lit(1), key)
     dx = between(seed, "swap:dx", d[0], F.greatest(d[0], d[2] - glyph), key)
     angle = F.when(unit(seed, "swap:turn", key) < 0.7, unit(seed, "swap:angle", key) * 8.0 - 4.0)
-    made = _plan("digit_swap", clamp_box(F.col("_t.box_pixel"), F.col("width"), F.col("height")), label_to_field(F.col("_t.label")), source_box=F.array(dx, d[1], dx + glyph, d[3]), paste=F.array(x, y), patch_w=F.col("_w"), patch_h=line, angle=angle)
-    ok = applicable("digit_swap") & F.col("_t").isNotNull() & F.col("_d").isNotNull()
-    return df.withColumn(out, F.when(ok, made)).drop("_n", "_p", "_c", "_t", "_d", "_g", "_w")
+    made = _plan("digit_swap", clamp_box(F.col(t_)["box_pixel"], F.col("width"), F.col("height")), label_to_field(F.col(t_)["label"]), source_box=F.array(dx, d[1], dx + glyph, d[3]), paste=F.array(x, y), patch_w=F.col(w), patch_h=line, angle=angle)
+    ok = applicable("digit_swap") & F.col(t_).isNotNull() & F.col(d_).isNotNull()
+    return df.withColumn(out, F.when(ok, made)).drop(n, p, c, t_, d_, g, w)
 
 
-def plan_copy_move(pages: DataFrame, seed: int = 0, out: str = "copy_move") -> DataFrame:
-    """A field's patch is pasted where the page is empty."""
+def plan_copy_move(pages: DataFrame, seed: int = 0, out: str = "copy_move", crowded: int | None = None) -> DataFrame:
+    """A field's patch is pasted where the page is empty.
+
+    Places are tried against every box of the page; on pages with more than ``crowded`` boxes, if given, against those that share a cell of a grid with the place
+    (``free_places``: two joins by page and cell; doc_id must be unique). The places are the same ones.
+    """
     key = F.col("doc_id")
-    df = pages.withColumn("_c", candidates(F.col("ocr_boxes"))).withColumn("_s", pick(F.col("_c"), seed, "move:source", key))
-    w, h = box_width(F.col("_s.box_pixel")), box_height(F.col("_s.box_pixel"))
-    df = df.withColumn("_to", F.when(F.col("_s").isNotNull(), free_box(F.col("ocr_boxes"), F.col("width"), F.col("height"), w, h, seed, key)))
+    c, s, to = spare(pages, "_c", "_s", "_to")
+    df = pages.withColumn(c, candidates(F.col("ocr_boxes"))).withColumn(s, pick(F.col(c), seed, "move:source", key))
+    source = F.col(s)["box_pixel"]
+    w, h = box_width(source), box_height(source)
+    scan = F.col(s).isNotNull() if crowded is None else F.col(s).isNotNull() & (F.size("ocr_boxes") <= crowded)
+    df = df.withColumn(to, F.when(scan, free_box(F.col("ocr_boxes"), F.col("width"), F.col("height"), w, h, seed, key)))
+    if crowded is not None:
+        many = df.where((F.size("ocr_boxes") > crowded) & F.col(s).isNotNull())
+        found = free_places(many.select("doc_id", "ocr_boxes", "width", "height", w.alias("patch_w"), h.alias("patch_h")), seed)
+        (place,) = spare(df, "_place")
+        df = df.join(found.withColumnRenamed("place", place), "doc_id", "left").withColumn(to, F.coalesce(F.col(to), F.col(place)))
     alpha = F.when(unit(seed, "move:blend", key) < 0.6, 0.1 + 0.15 * unit(seed, "move:alpha", key))
-    made = _plan("copy_move", clamp_box(F.col("_to"), F.col("width"), F.col("height")), label_to_field(F.col("_s.label")), source_box=F.col("_s.box_pixel"), paste=F.slice("_to", 1, 2), patch_w=w, patch_h=h, alpha=alpha)
-    return df.withColumn(out, F.when(F.col("_to").isNotNull(), made)).drop("_c", "_s", "_to")
+    made = _plan("copy_move", clamp_box(F.col(to), F.col("width"), F.col("height")), label_to_field(F.col(s)["label"]), source_box=source, paste=F.slice(to, 1, 2), patch_w=w, patch_h=h, alpha=alpha)
+    return df.select(*pages.columns, F.when(F.col(to).isNotNull(), made).alias(out))
 
 
 def plan_splice(pages: DataFrame, seed: int = 0, out: str = "splice") -> DataFrame:
     """A donor crop of the same split and source is resized over a field; needs n_donors."""
     key = F.col("doc_id")
-    df = pages.withColumn("_c", candidates(F.col("ocr_boxes"))).withColumn("_t", pick(F.col("_c"), seed, "splice:target", key))
-    t = F.col("_t.box_pixel")
-    made = _plan("splice", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col("_t.label")), paste=F.slice(t, 1, 2), patch_w=F.greatest(F.lit(4), box_width(t)), patch_h=F.greatest(F.lit(4), box_height(t)), donor_idx=below(seed, "splice:donor", F.col("n_donors"), key))
-    return df.withColumn(out, F.when(applicable("splice") & F.col("_t").isNotNull(), made)).drop("_c", "_t")
+    c, t_ = spare(pages, "_c", "_t")
+    df = pages.withColumn(c, candidates(F.col("ocr_boxes"))).withColumn(t_, pick(F.col(c), seed, "splice:target", key))
+    t = F.col(t_)["box_pixel"]
+    made = _plan("splice", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col(t_)["label"]), paste=F.slice(t, 1, 2), patch_w=F.greatest(F.lit(4), box_width(t)), patch_h=F.greatest(F.lit(4), box_height(t)), donor_idx=below(seed, "splice:donor", F.col("n_donors"), key))
+    return df.withColumn(out, F.when(applicable("splice") & F.col(t_).isNotNull(), made)).drop(c, t_)
 
 
 def plan_recompress_ghost(pages: DataFrame, seed: int = 0, out: str = "recompress_ghost") -> DataFrame:
     """A patch of at least 10 x 10 is recompressed and pasted 1 to 4 pixels off its place, both ways alike, kept on the page; then the whole page is
     recompressed at a lower quality. Not among the default operations."""
     key = F.col("doc_id")
-    df = pages.withColumn("_c", candidates(F.col("ocr_boxes"), min_w=10, min_h=10)).withColumn("_t", pick(F.col("_c"), seed, "ghost:target", key))
-    t = F.col("_t.box_pixel")
-    df = df.withColumn("_off", between(seed, "ghost:shift", F.lit(1), F.lit(4), key))
-    place = [F.greatest(F.lit(0), F.least(F.element_at(t, i) + F.col("_off"), F.col(side) - extent)) for i, side, extent in ((1, "width", box_width(t)), (2, "height", box_height(t)))]
+    c, t_, off = spare(pages, "_c", "_t", "_off")
+    df = pages.withColumn(c, candidates(F.col("ocr_boxes"), min_w=10, min_h=10)).withColumn(t_, pick(F.col(c), seed, "ghost:target", key))
+    t = F.col(t_)["box_pixel"]
+    df = df.withColumn(off, between(seed, "ghost:shift", F.lit(1), F.lit(4), key))
+    place = [F.greatest(F.lit(0), F.least(F.element_at(t, i) + F.col(off), F.col(side) - extent)) for i, side, extent in ((1, "width", box_width(t)), (2, "height", box_height(t)))]
     quality = lambda purpose, values: F.get(F.array(*map(F.lit, values)), below(seed, purpose, F.lit(len(values)), key).cast("int"))
-    made = _plan("recompress_ghost", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col("_t.label")), source_box=t, paste=F.array(*place), patch_w=box_width(t), patch_h=box_height(t), patch_quality=quality("ghost:patch", PATCH_QUALITIES), page_quality=quality("ghost:page", PAGE_QUALITIES))
-    return df.withColumn(out, F.when(F.col("_t").isNotNull(), made)).drop("_c", "_t", "_off")
+    made = _plan("recompress_ghost", clamp_box(t, F.col("width"), F.col("height")), label_to_field(F.col(t_)["label"]), source_box=t, paste=F.array(*place), patch_w=box_width(t), patch_h=box_height(t), patch_quality=quality("ghost:patch", PATCH_QUALITIES), page_quality=quality("ghost:page", PAGE_QUALITIES))
+    return df.withColumn(out, F.when(F.col(t_).isNotNull(), made)).drop(c, t_, off)
 
 
 @dataclass(frozen=True)
@@ -178,12 +226,12 @@ OPS = {
 def planned(pages: DataFrame, seed: int = 0, ops: Iterable[str | ForgeryOp] = OP_NAMES) -> DataFrame:
     """Adds ``plans``: the plans of the operations that can be tried on the page and work, in its seeded order."""
     chosen = [OPS[op] if isinstance(op, str) else op for op in ops]
-    df = pages
-    for op in chosen:
-        df = op.plan(df, seed, f"_op_{op.name}")
-    keyed = F.array(*(F.struct(order_key(seed, "order", F.col("doc_id"), op.name).alias("k"), F.when(op.applicable(), F.col(f"_op_{op.name}")).alias("plan")) for op in chosen))
+    df, names = pages, spare(pages, *(f"_op_{op.name}" for op in chosen))
+    for op, name in zip(chosen, names):
+        df = op.plan(df, seed, name)
+    keyed = F.array(*(F.struct(order_key(seed, "order", F.col("doc_id"), op.name).alias("k"), F.when(op.applicable(), F.col(name)).alias("plan")) for op, name in zip(chosen, names)))
     plans = F.transform(F.array_sort(F.filter(keyed, lambda e: e["plan"].isNotNull())), lambda e: e["plan"])
-    return df.withColumn("plans", plans).drop(*(f"_op_{op.name}" for op in chosen))
+    return df.withColumn("plans", plans).drop(*names)
 
 
 def records(df: DataFrame, chosen: Column, keep: Iterable[str] = ()) -> DataFrame:
@@ -218,7 +266,8 @@ def corpus_sample(pages: DataFrame, p_clean: float = 0.5, seed: int = 0) -> Data
 def with_donor_boxes(recs: DataFrame, donors: DataFrame, split: str | None = "split") -> DataFrame:
     """Adds donor_doc_id and donor_box of splices (null otherwise): what the pixel step crops."""
     groups = [c for c in (split, "source") if c]
-    pool = donors.select(*groups, F.col("donor_idx").alias("_i"), F.col("doc_id").alias("donor_doc_id"), F.col("box_pixel").alias("donor_box"))
-    cond = [recs[g] == pool[g] for g in groups] + [recs["plan.donor_idx"] == pool["_i"]]
+    (i,) = spare(recs, "_i")
+    pool = donors.select(*groups, F.col("donor_idx").alias(i), F.col("doc_id").alias("donor_doc_id"), F.col("box_pixel").alias("donor_box"))
+    cond = [recs[g] == pool[g] for g in groups] + [recs["plan.donor_idx"] == pool[i]]
     joined = recs.join(pool, cond, "left")
     return joined.select(*(recs[c] for c in recs.columns), "donor_doc_id", "donor_box")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprobe.operators.names import refuse, spare
 from docprobe.operators.sampling import below, order_key
 
 SPLITS = ("train", "val", "test")
@@ -15,37 +16,41 @@ def distinct_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key).distinct().orderBy(key)
 
 
-def _ranked(df: DataFrame, key: str, order: str) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: str, rank: str = "rank") -> DataFrame:
     """Adds ``rank`` (1-based over the whole table by ``order``, an md5 text, then key) without a one-task window.
 
     The first three hex digits of the order make 4096 slices of even size; slice counts (at most 4096 numbers)
     give each slice its offset, and a window ranks within it.
     """
-    sliced = df.withColumn("_s", F.substring(order, 1, 3))
-    counts = sorted((r["_s"], r["count"]) for r in sliced.groupBy("_s").count().collect())
+    refuse(df, rank)
+    part, ahead = spare(df, "_s", "_b")
+    sliced = df.withColumn(part, F.substring(order, 1, 3))
+    counts = sorted(map(tuple, sliced.groupBy(part).count().collect()))
     starts, before = {}, 0
     for s, n in counts:
         starts[s] = before
         before += n
     if not starts:
-        return df.withColumn("rank", F.lit(0).cast("bigint"))
-    base = df.sparkSession.createDataFrame(sorted(starts.items()), "_s string, _b bigint")
-    window = Window.partitionBy("_s").orderBy(order, key)
-    return sliced.withColumn("_r", F.row_number().over(window)).join(F.broadcast(base), "_s").withColumn("rank", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b")
+        return df.withColumn(rank, F.lit(0).cast("bigint"))
+    base = df.sparkSession.createDataFrame(sorted(starts.items()), f"{part} string, {ahead} bigint")
+    window = Window.partitionBy(part).orderBy(order, key)
+    within = sliced.withColumn(rank, F.row_number().over(window)).join(F.broadcast(base), part)
+    return within.select(*df.columns, (F.col(ahead) + F.col(rank)).alias(rank))
 
 
 def assign_splits(df: DataFrame, ratios: dict[str, float], seed: int = 0, key: str = "doc_id") -> DataFrame:
     """key, split: ids in a seeded order, cut after round(n * train) and round(n * val) of them; the rest is test."""
     ids = df.select(key).distinct()
-    ranked = _ranked(ids.withColumn("_o", order_key(seed, "split", F.col(key))), key, "_o")
+    order, rank = spare(ids, "_o", "_rank")
+    got = ranked(ids.withColumn(order, order_key(seed, "split", F.col(key))), key, order, rank)
     n = ids.count()
     first, second = round(n * ratios["train"]), round(n * ratios["val"])
-    return ranked.select(key, F.when(F.col("rank") <= first, "train").when(F.col("rank") <= first + second, "val").otherwise("test").alias("split"))
+    return got.select(key, F.when(F.col(rank) <= first, "train").when(F.col(rank) <= first + second, "val").otherwise("test").alias("split"))
 
 
 def leaked_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ids that occur in more than one split."""
-    return df.groupBy(key).agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select(key)
+    return df.groupBy(key).agg(F.min("split").alias("_lo"), F.max("split").alias("_hi")).where("_lo <> _hi").select(key)
 
 
 def assert_no_leakage(df: DataFrame, key: str = "doc_id") -> None:
@@ -62,18 +67,20 @@ def group_docs(df: DataFrame, splits: DataFrame, key: str = "doc_id") -> DataFra
 def balance(df: DataFrame, key: str, flag: str = "tampered", seed: int = 0) -> DataFrame:
     """All rows, and copies of the rarer class (picked with replacement) until both are equal; ``copy`` is 0 for originals.
 
-    key: a unique column. Nothing is added if a class is empty. Copies find their row by its rank in a seeded order, so
-    the join is on one number, spread evenly.
+    key: a unique column. Nothing is added if a class is empty. A table that has a column ``copy`` is refused. Copies find their row by its rank in a
+    seeded order, so the join is on one number, spread evenly.
     """
-    both = {r[flag]: r["count"] for r in df.groupBy(flag).count().collect()}
+    refuse(df, "copy")
+    both = dict(map(tuple, df.groupBy(flag).count().collect()))
     yes, no = both.get(True, 0), both.get(False, 0)
     out = df.withColumn("copy", F.lit(0).cast("bigint"))
     if not yes or not no or yes == no:
         return out
     rare, small, large = yes < no, min(yes, no), max(yes, no)
-    rows = _ranked(df.where(F.col(flag) == rare).withColumn("_o", order_key(seed, "rank", F.col(key))), key, "_o").drop("_o")
-    picks = df.sparkSession.range(1, large - small + 1).withColumnRenamed("id", "copy").withColumn("rank", below(seed, "copy", F.lit(small), F.col("copy")) + 1)
-    return out.unionByName(rows.join(picks, "rank").drop("rank").select(*df.columns, "copy"))
+    order, rank = spare(out, "_o", "_rank")
+    rows = ranked(df.where(F.col(flag) == rare).withColumn(order, order_key(seed, "rank", F.col(key))), key, order, rank)
+    picks = df.sparkSession.range(1, large - small + 1).select(F.col("id").alias("copy"), (below(seed, "copy", F.lit(small), F.col("id")) + 1).alias(rank))
+    return out.unionByName(rows.join(picks, rank).select(*df.columns, "copy"))
 
 
 def shuffled(df: DataFrame, *keys: str, seed: int = 0) -> DataFrame:
@@ -83,16 +90,18 @@ def shuffled(df: DataFrame, *keys: str, seed: int = 0) -> DataFrame:
 
 def keep_first_clean(df: DataFrame, order: str, path: str = "image_path", flag: str = "tampered") -> DataFrame:
     """Every tampered row, and of clean rows with one path the first by ``order``."""
+    (k,) = spare(df, "_k")
     rank = F.row_number().over(Window.partitionBy(path, flag).orderBy(order))
-    return df.withColumn("_k", F.when(F.col(flag), F.lit(1)).otherwise(rank)).where("_k = 1").drop("_k")
+    return df.withColumn(k, F.when(F.col(flag), F.lit(1)).otherwise(rank)).where(F.col(k) == 1).drop(k)
 
 
 def round_robin(df: DataFrame, n: int, order: str, kind: str = "tamper_type", flag: str = "tampered") -> DataFrame:
     """n rows: n // 2 tampered ones taken in turn from the kinds (in order of first appearance), then the first clean ones."""
+    r, f = spare(df, "_r", "_f")
     by_kind = Window.partitionBy(kind)
-    ranked = df.where(flag).withColumn("_r", F.row_number().over(by_kind.orderBy(order))).where(F.col("_r") <= max(n // 2, 1))
-    ranked = ranked.withColumn("_f", F.min(order).over(by_kind))
-    bad = ranked.orderBy("_r", "_f", order).limit(n // 2).drop("_r", "_f")
+    turns = df.where(flag).withColumn(r, F.row_number().over(by_kind.orderBy(order))).where(F.col(r) <= max(n // 2, 1))
+    turns = turns.withColumn(f, F.min(order).over(by_kind))
+    bad = turns.orderBy(r, f, order).limit(n // 2).drop(r, f)
     taken = bad.count()
     good = df.where(~F.col(flag)).orderBy(order).limit(n - taken)
     return bad.unionByName(good).orderBy(order)
@@ -100,7 +109,8 @@ def round_robin(df: DataFrame, n: int, order: str, kind: str = "tamper_type", fl
 
 def first_per_group(df: DataFrame, n: int, order: list[str], *groups: str) -> DataFrame:
     """The first n rows of each group."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+    (k,) = spare(df, "_k")
+    return df.withColumn(k, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(k) <= n).drop(k)
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A task writes each file under a temporary name and then renames it to its own, inside a hidden folder beside the target; so a retried
 or speculative task replaces its twin's file and leaves no second copy. The job's commit renames the hidden folder to the target in one
-step, its abort deletes it: readers see all files or none. Files are opened by pyarrow's file systems, so the folder must lie in one that
+step, its abort deletes it (a task that is still running then finds no folder to write to): readers see all files or none. Files are opened by pyarrow's file systems, so the folder must lie in one that
 those know (local or mounted, hdfs, and the object stores), and commit is as atomic as a rename there.
 """
 
@@ -40,31 +40,34 @@ class FileTreeWriter(DataSourceArrowWriter):
         self.path, self.overwrite = path.rstrip("/"), overwrite
         folder, _, last = self.path.rpartition("/")
         self.stage = f"{folder}/_{last}-{uuid.uuid4().hex}"
+        fs, stage = opened(self.stage)
+        for part in ("", "/files", "/open"):
+            fs.create_dir(f"{stage}{part}")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         """Names are relative paths, each in one row; contents of null make empty files."""
         fs, stage = opened(self.stage)
-        task, files, size, folders = TaskContext.get(), 0, 0, set()
-        attempt = f"{stage}/_open/{task.taskAttemptId() if task else 0}-{uuid.uuid4().hex}"
-        fs.create_dir(attempt)
+        task, files, size, folders = TaskContext.get(), 0, 0, {""}
+        attempt = f"{stage}/open/{task.taskAttemptId() if task else 0}-{uuid.uuid4().hex}"
+        fs.create_dir(attempt, recursive=False)
         for batch in batches:
             for name, content in zip(batch.column(NAME), batch.column(CONTENT)):
-                target = f"{stage}/files/{_checked(name.as_py())}"
-                folder = target.rpartition("/")[0]
-                if folder not in folders:
-                    fs.create_dir(folder)
-                    folders.add(folder)
+                target = _checked(name.as_py())
+                parts = target.split("/")[:-1]
+                for folder in ("/".join(parts[: k + 1]) for k in range(len(parts))):
+                    if folder not in folders:
+                        fs.create_dir(f"{stage}/files/{folder}", recursive=False)  # never makes the hidden folder anew
+                        folders.add(folder)
                 data = content.as_buffer() if content.is_valid else b""
                 with fs.open_output_stream(f"{attempt}/file") as out:
                     out.write(data)
-                fs.move(f"{attempt}/file", target)
+                fs.move(f"{attempt}/file", f"{stage}/files/{target}")
                 files, size = files + 1, size + len(data)
         return Written(files, size)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, stage = opened(self.stage)
         target = opened(self.path)[1]
-        fs.create_dir(f"{stage}/files")
         if fs.get_file_info(target).type != pafs.FileType.NotFound:
             if not self.overwrite:
                 fs.delete_dir(stage)

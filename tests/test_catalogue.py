@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
-from docprobe.plans import catalogue, catalogue_files, catalogue_forge  # noqa: F401  each registers its queries
+from docprobe.plans import catalogue, catalogue_files, catalogue_forge, catalogue_order, catalogue_pixels  # noqa: F401  each registers its queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="the driver's tables are not here")
