@@ -7,6 +7,7 @@ import math
 import random
 import re
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -116,20 +117,64 @@ def test_guess_cost_of_random_values():
     assert secret_scan.segments("İİpassword")[1][-1] == ("word", 2, 10)
 
 
+def scanned_by_hand(docs):
+    """doc_id -> costs: words counted over all texts but for their contexts, every value by the dynamic programming over plain prefixes."""
+    context = re.compile(secret_scan.CONTEXT_PATTERN, re.I | re.A)
+    times, chars, out = {}, {}, {}
+    for _, text, lang in docs:
+        low = context.sub(" ", text or "").lower()
+        chars[lang or ""] = chars.get(lang or "", 0) + len(text or "")
+        for w in re.findall(r"[^\W\d_]+", low):
+            times[w, lang or ""] = times.get((w, lang or ""), 0) + 1
+    guesses = {}
+    for (w, lang), n in times.items():
+        if n >= secret_scan.LEAST and 3 <= len(w) <= 16:
+            guesses[w] = min(chars[lang] / (n * len(w)), guesses.get(w, math.inf))
+    words = {w: min(guesses.get(w, math.inf), secret_scan.RANK.get(w, math.inf)) for w in guesses.keys() | secret_scan.RANK.keys()}
+    for i, text, _ in docs:
+        out[i] = ",".join(f"{a}:{b}:{secret_scan.segments(text[a:b], words)[0]:.2f}" for a, b in secret_scan.contexts(text or ""))
+    return out
+
+
 def test_words_come_from_the_corpus_and_not_from_secrets(spark):
-    rows = [(i, f"Der Gartenzaun und das Haus {i}. password: qzkvwxpl", "de") for i in range(8)] + [(100, "rareword", "de"), (101, None, None), (102, "other other other other other", None)]
+    rows = [(i, f"Der Gartenzaun und das Haus {i}. password: qzkvwxpl", "de") for i in range(8)]
+    rows += [(100, "rareword token=RarewordRareword", "de"), (101, None, None), (102, "other other other other other pwd: GartenzaunHaus! secret: 0ther0ther", None), (103, "", "de"), (104, "nothing here", "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
+    assert {i: r["costs"] for i, r in got.items()} == scanned_by_hand(rows)
+    cost = lambda i: [float(c.split(":")[2]) for c in got[i]["costs"].split(",")]
+    assert cost(102)[0] < 6 < 8 < cost(0)[0]
+    assert got[0]["n_guess"] == 1 and got[0]["n_assign"] == 1  # the base span covers the value, and both are spans
+    words = secret_scan.word_guesses(df, spark.createDataFrame([("gartenzaun",), ("rareword",), ("qzkvwxpl",), ("absent",)], "word string")).collect()
+    assert [r["word"] for r in words] == ["gartenzaun"]
+
+
+def test_values_that_many_rows_share(spark, monkeypatch):
+    """One text on 3,000 rows, one value in 3,000 texts; and words looked up by a shuffle instead of a broadcast."""
+    rows = [(i, "password: correcthorse77x", "en") for i in range(3000)] + [(5000 + i, f"text {i} token: correcthorse77x the horse", "en") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    ranks = secret_scan.learn_words(df, per_language=6)
-    assert {"gartenzaun", "haus", "der", "other"} <= set(ranks) and not {"qzkvwxpl", "rareword"} & set(ranks) and set(secret_scan.RANK) <= set(ranks)
-    assert ranks["other"] == 1 and all(ranks[w] <= r for w, r in secret_scan.RANK.items())
-    assert secret_scan.segments("gartenzaunhaus")[0] > 10 > 4 > secret_scan.segments("gartenzaunhaus", ranks)[0]
-    assert secret_scan.learn_words(df.limit(0)) == secret_scan.RANK
+    one = rows_of(secret_scan.scan(df), "doc_id", "spans", "costs")
+    want = scanned_by_hand(rows)
+    assert len(one) == 6000 and all(r["costs"] == want[r["doc_id"]] for r in one)
+    monkeypatch.setattr(secret_scan, "FEW", 0)  # words are looked up, and texts met, by a shuffle
+    assert rows_of(secret_scan.scan(df), "doc_id", "spans", "costs") == one
+
+
+def test_every_value_of_the_driver_s_documents_is_costed(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(path)
+    rows = [tuple(r) for r in df.select("doc_id", "text", "lang").collect()]
+    want = scanned_by_hand(rows)
+    assert sum(c != "" for c in want.values()) > 5
+    assert {r["doc_id"]: r["costs"] for r in secret_scan.scan(df).collect()} == want
 
 
 def test_placeholders_pass_and_secrets_do_not():
     kinds = lambda t: [s[0] for s in secret_scan.find_secrets(t)]
     assert kinds("pwd: x7Gq!m2Zt9#k") == ["guess"] and kinds("pwd: changeme123") == [] and kinds("bearer: qwertyuiop") == []
-    assert kinds("password: hunter2hunter2") == ["assign"]  # a base span covers it
+    assert kinds("password: welcome2021") == ["assign"] and kinds("password: x7Gqm2Zt9kQw") == ["assign", "guess"]
     assert kinds("the token of the day is nice") == [] and kinds("") == []
     assert secret_scan.segments("abcabcabcabc")[0] < 4 < secret_scan.segments("akfjwoqpdkfm")[0]
 
@@ -395,8 +440,10 @@ def test_one_id_on_all_rows_gives_one_row_to_learn_from(spark):
     assert len(seen["chars"]) <= 41 and max(seen["chars"]) == 10_000 and min(seen["chars"]) < 40
 
 
-def test_toxicity_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_accuracy(spark, sf):
+    """Few labels (37 toxic ones at sf0.01) and more."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out")
     r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()
     assert r["recall"] > 0.9 and r["false"] < 0.03
