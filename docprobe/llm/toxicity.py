@@ -21,7 +21,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from itertools import chain
 from sys import intern
 
@@ -65,39 +65,48 @@ class _Kept(dict):
         return found
 
 
-def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most: int = 400) -> set[str]:
+def _held(words: Iterable[str], features: Callable[[str], Iterable[str]], many: int) -> set[str]:
+    """The features of a document's distinct words; marked by a second star, the beginnings that ``many`` of them share."""
+    counts = Counter(chain.from_iterable(map(features, words)))
+    return {*counts, *(f"{f}*" for f, c in counts.items() if c >= many)}
+
+
+def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, min_rich: int = 2, many: int = 3, most: int = 400) -> set[str]:
     """Greedy cover of the toxic documents by features that are far more frequent there than in clean ones.
 
     A feature counts once for each pair of neighbours it occurs between: copies of one text repeat their words between the same
-    neighbours, so they do not pass for evidence.
+    neighbours, so they do not pass for evidence. ``min_docs`` documents have to hold it; of a word's beginning ``min_rich`` will do if each holds ``many`` different words that begin so,
+    which a chance word does not bring about: such a beginning is a feature of its own, and clean documents are counted by the same measure. ``most``: of the features that the cover needs
+    beyond those of 2 % of the toxic documents, which are all taken, how many in all.
     """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    floor = max(min_docs, 0.01 * n1)
+    floor = lambda f: max(min_rich if f.endswith("**") else min_docs, 0.01 * n1)
+    own = lambda f: f[:-1] if f.endswith("**") else f
     words = [[intern(w) for w in TOKEN.findall(lowered(t)) if w not in ENDS] for t in texts]  # one object a word: the driver's memory is small
-    held = lambda i: {f for w in set(words[i]) for f in _features(w)}
+    held = lambda i: _held(set(words[i]), _features, many)
     # most features are rare: a table of counts by hash sieves them out before any is kept by name
-    sieve, mask = np.zeros(1 << 22, np.int32), (1 << 22) - 1
+    sieve, mask, least = np.zeros(1 << 22, np.int32), (1 << 22) - 1, max(min(min_docs, min_rich), 0.01 * n1)
     for i in np.flatnonzero(toxic):
         sieve[np.unique(np.fromiter((hash(f) & mask for f in held(i)), np.int64))] += 1
     where: dict[str, array] = {}
     for i in np.flatnonzero(toxic):
         for f in held(i):
-            if sieve[hash(f) & mask] >= floor:
+            if sieve[hash(f) & mask] >= least:
                 where.setdefault(f, array("i")).append(i)
-    where = {f: d for f, d in where.items() if len(d) >= floor}
+    where = {f: d for f, d in where.items() if len(d) >= floor(f)}
     clean: Counter[str] = Counter()
-    known = _Kept(where)
+    known = _Kept({own(f) for f in where})
     for i in np.flatnonzero(~toxic):
-        clean.update(set(chain.from_iterable(map(known.__getitem__, set(words[i])))))
-    good = {f: set(d) for f, d in where.items() if len(d) >= floor and len(d) / n1 >= 25 * (clean[f] + 0.02) / n0}
-    around: dict[str, set[tuple[str, str]]] = {f: set() for f in good}
+        clean.update(_held(set(words[i]), known.__getitem__, many) & where.keys())
+    good = {f: set(d) for f, d in where.items() if len(d) / n1 >= 25 * (clean[f] + 0.02) / n0}
+    around: dict[str, set[tuple[str, str]]] = {own(f): set() for f in good}
     known = _Kept(around)
     for i in np.flatnonzero(toxic):
-        own = words[i]
-        for k, w in enumerate(own):
+        mine = words[i]
+        for k, w in enumerate(mine):
             for f in known[w]:
-                around[f].add((own[k - 1] if k else "", own[k + 1] if k + 1 < len(own) else ""))
-    good = {f: d for f, d in good.items() if len(around[f]) >= max(floor, 0.5 * len(d))}
+                around[f].add((mine[k - 1] if k else "", mine[k + 1] if k + 1 < len(mine) else ""))
+    good = {f: d for f, d in good.items() if len(around[own(f)]) >= max(floor(f), 0.5 * len(d))}
     # a document often holds several toxic words: besides the cover, every feature of like strength is taken
     picked = {f for f, d in good.items() if len(d) >= 0.02 * n1}
     left = set(np.flatnonzero(toxic).tolist())
@@ -105,8 +114,8 @@ def toxic_features(texts: list[str], toxic: np.ndarray, min_docs: int = 5, most:
         best = max(good, key=lambda f: (len(good[f]), -len(f), f))
         picked.add(best)
         left -= good.pop(best)
-        good = {f: kept for f, d in good.items() if len(kept := d & left) >= floor}
-    return picked
+        good = {f: kept for f, d in good.items() if len(kept := d & left) >= floor(f)}
+    return set(map(own, picked))
 
 
 class Field:
