@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprobe.llm.common import map_rows, stored, text_of
+from docprobe.operators.names import spare
 
 CAP = 64
 SIGN = 1 << 63
@@ -377,11 +378,12 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     """One document of each group stays, the one with the smallest doc_id; of rows that repeat that id, one. Rows without a doc_id stay. All columns are kept."""
     groups = alike(docs, words, similarity)
     kept = stored(groups.where((F.col("doc_id") == F.col("keep_id")) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "alike-ids", docs.count())
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id"))
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_doc_id"), "n").hint("merge"), same, "left_semi")  # as many ids as documents: never broadcast
+    kept_id, place = spare(docs, "_kept_doc_id", "_place")
+    same = docs["doc_id"].eqNullSafe(F.col(kept_id))
+    out = docs.join(kept.select(F.col("doc_id").alias(kept_id)).hint("merge"), same, "left_semi")  # as many ids as documents: never broadcast
     if kept.where("n > 1").isEmpty():
         return out
-    many = kept.where("n > 1").select(F.col("doc_id").alias("_kept_doc_id"))
-    order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
-    once = out.join(many, same, "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1 or doc_id is null").drop("_k")
-    return out.join(many, same, "left_anti").unionByName(once)
+    many = kept.where("n > 1").select(F.col("doc_id").alias(kept_id))
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "doc_id"))))
+    once = out.join(many, out["doc_id"].eqNullSafe(F.col(kept_id)), "left_semi").withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place)
+    return out.join(many, out["doc_id"].eqNullSafe(F.col(kept_id)), "left_anti").unionByName(once)

@@ -88,15 +88,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0) -> DataFrame:
-    """Whole documents, each as often as the mix takes it. Of rows alike in source, id and text that differ elsewhere one stands for all."""
+    """Whole documents, each as often as the mix takes it; columns keep their names and values, whatever those are.
+
+    Rows alike in source, id and text share their group's places; those that differ elsewhere stand there one after another, each with its own count.
+    """
     rows = ranked(docs, weights, most)
-    taken = rows.select(F.col("queue").alias("_mix_queue"), F.col("o").alias("_mix_o"), F.col("m").alias("_mix_m"), _crossed(seed, F.col("before") + F.col("m"), F.col("before")).alias("_mix_copies"))
-    taken = stored(taken.where("_mix_copies > 0"), "mix-copies")
-    keys = ["_mix_queue", "_mix_o"]
-    met = docs.withColumns({"_mix_queue": _queue(docs), "_mix_o": _order(docs)}).join(taken, keys)
-    one = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row")
-    out = met.where("_mix_m = 1").select(one, "_mix_copies")
-    if not taken.where("_mix_m > 1").isEmpty():
-        rest = met.where("_mix_m > 1").select(*keys, "_mix_copies", one).groupBy(keys).agg(F.min_by("_mix_row", F.xxhash64("_mix_row")).alias("_mix_row"), F.first("_mix_copies").alias("_mix_copies"))
-        out = out.unionByName(rest.select("_mix_row", "_mix_copies"))
-    return out.select("_mix_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_mix_copies"))).select("_mix_row.*")
+    taken = rows.select("queue", "o", "m", "before", "rate", _crossed(seed, F.col("before") + F.col("m"), F.col("before")).alias("copies"))
+    taken = stored(taken.where("copies > 0"), "mix-copies")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    met = docs.select(row, _queue(docs).alias("queue"), _order(docs).alias("o")).join(taken, ["queue", "o"])
+    out = met.where("m = 1").select("row", "copies")
+    if not taken.where("m > 1").isEmpty():
+        kinds = met.where("m > 1").groupBy("queue", "o", "before", "rate", "row").agg(F.count(F.lit(1)).alias("c"))  # whole rows alike, counted before the shuffle
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy("queue", "o").orderBy(F.xxhash64("row"), F.to_json("row")))
+        kinds = kinds.withColumn("upto", upto).select("row", _crossed(seed, F.col("upto"), F.col("upto") - F.col("c")).alias("copies"))
+        out = out.unionByName(kinds.where("copies > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

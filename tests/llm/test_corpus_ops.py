@@ -527,3 +527,30 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, labels, tmp_
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
     got = cp.run(spark, str(tmp_path / "odd")).collect()
     assert {r["doc_id"] for r in got} <= {None, -7, 1, 2, 3, 4, 5, 6, 7} and all(r["length"] > 0 for r in got)
+
+
+def test_pipeline_stages_keep_the_caller_s_columns(spark, odd_docs, labels, tmp_path):
+    """Columns with the names that stages use inside come back as they were, on rows that repeat and rows that do not."""
+    import corpus_pipeline as cp
+
+    names = ["_kept_doc_id", "_k", "_place", "_mix_queue", "_mix_o", "_mix_row", "row", "key", "found", "crowded", "salt", "group", "copies", "o", "m", "n", "_costs", "doc", "fp", "cls", "node", "keep_id", "rate", "before"]
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == docs.dtypes, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names), name
+    assert cp.pack_sequences(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_rows_that_differ_elsewhere_are_mixed_each_for_itself(spark):
+    rows = [(1, "a b c", "s", i) for i in range(40)] + [(2, "x y", "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int")
+    got = systematic_mix.mixed_rows(df)
+    taken = {(r["doc_id"], r["extra"]): r["count"] for r in got.groupBy("doc_id", "extra").count().collect()}
+    whole = systematic_mix.mix(df.drop("extra")).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in whole if r["n"]} == {d: sum(n for (e, _), n in taken.items() if e == d) for d in {d for d, _ in taken}}
+    assert all(n <= 3 for n in taken.values()) and len(taken) > 20
