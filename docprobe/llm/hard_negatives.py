@@ -157,22 +157,32 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, anchor: np.ndarray, ids:
             alive[:, below] = alive[:, inner] & fits[:, below]
         level = np.concatenate([tree["child"][inner], tree["child"][inner] + 1])
     found, scored = np.concatenate(leaves) if leaves else np.zeros(0, int), 0
-    ahead = np.where(alive[:, found], top[:, found], -np.inf).max(0, initial=-np.inf)
-    for node in found[np.argsort(-ahead, kind="stable")]:
-        who = np.flatnonzero(alive[:, node] & (top[:, node] >= best.kth()))
-        if not len(who):
-            continue
+
+    def visit(node: int, who: np.ndarray) -> int:
         asked, back = np.unique(anchor[who], return_inverse=True)
         a, b = tree["first"][node], tree["last"][node]
         got = products(q[asked], x[a:b], most)
-        scored += got.size
-        got = got[back]
+        n, got = got.size, got[back]
         good = (got >= np.maximum(lo[who], best.kth()[who])[:, None]) & (got <= hi[who][:, None])
         if same:
             good &= tree["ids"][a:b] != ids[anchor[who]][:, None]
         i, j = np.nonzero(good)
         if len(i):
             best.add(who[i], got[i, j], tree["ids"][a:b][j])
+        return n
+
+    # each query's most promising leaf first, which gives it a k-th best to prune with; then the leaves by what they promise to anyone
+    ahead = np.where(alive[:, found], np.minimum(top[:, found], hi[:, None]), -np.inf)
+    if len(found):
+        first = np.where(np.isfinite(ahead.max(1)), found[ahead.argmax(1)], -1)
+        for node in np.unique(first[first >= 0]):
+            who = np.flatnonzero(first == node)
+            scored += visit(node, who)
+            alive[who, node] = False
+    for node in found[np.argsort(-ahead.max(0, initial=-np.inf), kind="stable")]:
+        who = np.flatnonzero(alive[:, node] & (top[:, node] >= best.kth()))
+        if len(who):
+            scored += visit(node, who)
     return scored
 
 

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "costs")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def packing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing to given targets, 3 : 2 : 1 and 1 for each other source: the tokens of each source in every 64 sequences."""
+    weights = {"src0": 3.0, "src1": 2.0, "src2": 1.0, None: 1.0}
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.pack(docs, weights=weights).groupBy("doc_id", F.floor(F.col("sequence_id") / 64).alias("part")).agg(F.sum("length").alias("tokens"))
+    of = docs.groupBy("doc_id").agg(F.min(F.coalesce("source", F.lit(""))).alias("source"))
+    return pieces.join(of, "doc_id").groupBy("part", "source").agg(F.sum("tokens").alias("tokens"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -116,7 +125,7 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_s
 
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of the secret scan that its fixed patterns give."""
-    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ranks=secret_scan.RANK).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def _secret_base_sql() -> str:
@@ -245,6 +254,6 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, op11_hard_negatives, op12_warc, op13_filter_audit, url_own_rules, spotsigs_links, secret_base_spans)
+    for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_toxicity, op7_token_codec, op8_simhash, op9_spotsigs, op10_systematic_mix, op11_hard_negatives, op12_warc, op13_filter_audit, packing_weights, url_own_rules, spotsigs_links, secret_base_spans)
 }
 ORACLE: dict[str, str] = {"secret_base_spans": _secret_base_sql(), "op9_spotsigs": _op9_sql(), "url_own_rules": _url_own_rules_sql(), "spotsigs_links": _spotsigs_links_sql(), "op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op10_systematic_mix": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_filter_audit": OP13_SQL}
