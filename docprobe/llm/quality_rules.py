@@ -9,7 +9,7 @@ each stratum's false rejections (beyond the base rule) stay under ``risk``. A st
 gets no cut-off, and rejects nothing.
 
 All of it is DataFrame operations: one narrow pass over the texts, whose counts are stored; only they, never texts, meet the labels in
-a shuffle. The cut-offs (a row a stratum, at most ``MAX_STRATA``, checked) are broadcast.
+a shuffle. The cut-offs, a row a stratum, are broadcast up to ``MAX_STRATA`` rows and joined by a shuffle beyond.
 
 Defined results: null text has no words (base_failed, not kept); null language is a stratum of its own; labels that are null, or on
 unknown documents, are not used; a document labelled more than once is good only if all its labels say so, and counts once, however often its row repeats (the row of least
@@ -149,10 +149,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.025, alpha:
     f = stored(features(docs.withColumn("stratum", stratum), "doc_id", "stratum"), "quality-features")
     learnt = cutoffs(good_rows(f, labels), risk, alpha).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     learnt = stored(learnt, "quality-cutoffs", MAX_STRATA)
-    if learnt.count() > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata: use a coarser stratum")
+    few = learnt.count() <= MAX_STRATA
     cut = lambda r: F.try_element_at(F.col("cuts"), F.lit(r))
     failed = F.filter(F.array(*(F.when(ratio(r) > cut(r), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
-    out = f.join(F.broadcast(learnt), "stratum", "left")
+    out = f.join(F.broadcast(learnt) if few else learnt, "stratum", "left")
     out = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), failed.alias("failed"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed_rules"))
