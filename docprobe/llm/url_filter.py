@@ -5,9 +5,10 @@ when it matches. Every run of lower-case letters and digits that a matching url
 filed under the literal that the fewest urls of the table hold; one whose alternatives share no literal is filed under one token of each. A url is cut into tokens, the tokens fetch the filed
 rules, and only those run their regular expression. Rules without a literal are tried on every url.
 
-The index is a hash table inside the plan (rules are configuration: ``MAX_RULES`` is checked): a token's checksum names a bucket, so a look-up costs
+Up to ``MAX_RULES`` rules the index is a hash table inside the plan: a token's checksum names a bucket, so a look-up costs
 the same for ten rules and for thousands. Matching is one narrow pass over the urls, whatever host is hot. Only the counts of the rules' own
-tokens are gathered first.
+tokens are gathered first. Beyond that the index is a table: the tokens of each distinct url meet it in a join, and the strongest rule that fits goes back to
+the url's rows. Rules without a literal run on every url and stay in the plan, ``MAX_RULES`` of them at most.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no host rule; repeated rows and
 null page_ids are kept; urls of any length are matched whole; an empty table gives no rows; other columns are ignored, also those named like a result.
@@ -23,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprobe.llm.common import stored
+
 MAX_RULES = 20_000
 RULE = "struct<strength:int,name:string,action:string,pattern:string,url:boolean,given:boolean>"
 
@@ -141,15 +144,49 @@ def fetched_rules(url: Column, index: dict[str, list[int]]) -> Column:
     return F.array_distinct(F.concat(F.flatten(F.transform(_tokens(url), filed)), _literal(index.get("", []), "array<int>")))
 
 
+def _best(fits: Column, given: Column) -> Column:
+    return F.array_max(F.filter(fits, lambda r: r["given"] == given))
+
+
+def _verdicts(df: DataFrame, default: str) -> DataFrame:
+    """From g and o, the strongest of the given and of the own rules that fit."""
+    return df.select("page_id", "host", "path", F.col("g.name").alias("rule"), F.coalesce("g.action", "o.action", F.lit(default)).alias("verdict"), F.when(F.col("g.name").isNull(), F.col("o.name")).alias("own_rule"))
+
+
+def _fits(url: Column, r: Column) -> Column:
+    """Whether a rule (a struct) fits a url, beside which host and path are columns."""
+    return F.when(r["url"], F.rlike(F.lower(F.coalesce(url, F.lit(""))), r["pattern"])).otherwise((F.col("host") != "") & F.rlike(F.concat("host", "path"), r["pattern"]))
+
+
+def _struct(r: Rule, given: bool) -> dict:
+    return {"strength": r.strength, "name": r.name, "action": r.action, "pattern": r.pattern, "url": r.target == "url", "given": given}
+
+
 def judge(pages: DataFrame, rules: list[Rule], own: tuple[Rule, ...] = OWN_RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, own_rule. ``rules`` decide first; ``own`` rules where none of them fits."""
     every = [*rules, *own]
+    index = rarest_token_index(pages, every)
     if len(every) > MAX_RULES:
-        raise ValueError(f"{len(every)} rules; the index inside the plan is bounded to {MAX_RULES}")
-    table = _literal([{"strength": r.strength, "name": r.name, "action": r.action, "pattern": r.pattern, "url": r.target == "url", "given": k < len(rules)} for k, r in enumerate(every)], f"array<{RULE}>")
-    base = pages.select("page_id", F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), fetched_rules(F.col("url"), rarest_token_index(pages, every)).alias("numbers"))
-    site, low = F.concat("host", "path"), F.lower(F.coalesce(F.col("url"), F.lit("")))
-    fits = F.filter(F.transform("numbers", lambda k: F.get(table, k)), lambda r: F.when(r["url"], F.rlike(low, r["pattern"])).otherwise((F.col("host") != "") & F.rlike(site, r["pattern"])))
-    got = base.select("page_id", "host", "path", fits.alias("fits"))
-    got = got.select("page_id", "host", "path", F.array_max(F.filter("fits", lambda r: r["given"])).alias("g"), F.array_max(F.filter("fits", lambda r: ~r["given"])).alias("o"))
-    return got.select("page_id", "host", "path", F.col("g.name").alias("rule"), F.coalesce("g.action", "o.action", F.lit(default)).alias("verdict"), F.when(F.col("g.name").isNull(), F.col("o.name")).alias("own_rule"))
+        return _judged_by_join(pages, [_struct(r, k < len(rules)) for k, r in enumerate(every)], index, default)
+    table = _literal([_struct(r, k < len(rules)) for k, r in enumerate(every)], f"array<{RULE}>")
+    base = pages.select("page_id", F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), fetched_rules(F.col("url"), index).alias("numbers"))
+    got = base.select("page_id", "host", "path", F.filter(F.transform("numbers", lambda k: F.get(table, k)), lambda r: _fits(F.col("url"), r)).alias("fits"))
+    got = got.select("page_id", "host", "path", _best(F.col("fits"), F.lit(True)).alias("g"), _best(F.col("fits"), F.lit(False)).alias("o"))
+    return _verdicts(got, default)
+
+
+def _judged_by_join(pages: DataFrame, rules: list[dict], index: dict[str, list[int]], default: str) -> DataFrame:
+    """``judge`` with the index as a table of (token, rule). Urls without a rule's token take no part in the join."""
+    anywhere = [rules[k] for k in index.get("", [])]
+    if len(anywhere) > MAX_RULES:
+        raise ValueError(f"{len(anywhere)} rules without a literal token run on every url; {MAX_RULES} at most")
+    spark, order = pages.sparkSession, ["strength", "name", "action", "pattern", "url", "given"]
+    filed = spark.createDataFrame([(t, tuple(rules[k][c] for c in order)) for t, numbers in index.items() if t for k in numbers], f"token string, r {RULE}")
+    filed = stored(filed, "url-rules")
+    urls = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    hits = urls.select("url", "host", "path", F.explode(_tokens(F.col("url"))).alias("token")).join(filed, "token").where(_fits(F.col("url"), F.col("r")))
+    strongest = hits.groupBy("url").agg(F.max(F.when(F.col("r.given"), F.col("r"))).alias("g"), F.max(F.when(~F.col("r.given"), F.col("r"))).alias("o"))
+    base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(stored(strongest, "url-verdicts"), "url", "left")
+    fits = F.filter(_literal(anywhere, f"array<{RULE}>"), lambda r: _fits(F.col("url"), r))
+    base = base.select("page_id", "host", "path", "g", "o", fits.alias("fits"))
+    return _verdicts(base.select("page_id", "host", "path", F.greatest("g", _best(F.col("fits"), F.lit(True))).alias("g"), F.greatest("o", _best(F.col("fits"), F.lit(False))).alias("o")), default)

@@ -449,6 +449,29 @@ def test_toxicity_accuracy(spark, sf):
     assert r["recall"] > 0.9 and r["false"] < 0.03
 
 
+def test_many_url_rules_meet_the_urls_in_a_join(spark, monkeypatch):
+    """As the hash table in the plan, on urls that fit own rules, host rules, both and none."""
+    rules = [url_filter.host_rule(*r) for r in [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "net", "/login"), ("block", "com", "/de/")]]
+    free = (*url_filter.OWN_RULES, url_filter.url_rule("digits", "block", r"\d{9}"))
+    urls = [r.sample for r in url_filter.OWN_RULES] + ["http://www.example.org/es/x", "http://example.org/en", "https://a.com/de/1", "http://a.com/123456789", None, "", "no url", "http://site.net/login/a"] * 2
+    df = spark.createDataFrame([(i % 300, u, "o", "g") for i, u in enumerate(urls)], "page_id bigint, url string, host string, r string")
+    order = lambda got: sorted(map(str, got.collect()))
+    plain = order(url_filter.judge(df, rules, free))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 5)
+    assert order(url_filter.judge(df, rules, free)) == plain and len(plain) == len(urls)
+    assert url_filter.judge(df.limit(0), rules, free).count() == 0
+    with pytest.raises(ValueError, match="without a literal"):
+        url_filter.judge(df, rules, tuple(url_filter.url_rule(f"d{i}", "block", rf"\d{{{i + 9}}}") for i in range(6)))
+
+
+def test_many_strata_are_joined_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["word", "other", "thing"][(i + k) % 3] for k in range(60)) + " x" * (i % 7), f"l{i % 3}") for i in range(400)], "doc_id bigint, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    one = rows_of(quality_rules.apply_rules(docs, labels), "doc_id")
+    monkeypatch.setattr(quality_rules, "MAX_STRATA", 1)
+    assert rows_of(quality_rules.apply_rules(docs, labels), "doc_id") == one
+
+
 def test_own_url_rules_with_and_without_the_index(spark):
     rng = random.Random(5)
     samples = [r.sample for r in url_filter.OWN_RULES]
