@@ -9,7 +9,7 @@ import pytest
 from docprobe.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "pages")
+TABLES = ("documents", "embeddings", "labels", "pages")
 
 
 def cells(df):
