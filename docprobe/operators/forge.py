@@ -87,29 +87,40 @@ def touches(place: Column, box: Column, margin: int = 4) -> Column:
 def free_places(pages: DataFrame, seed: int = 0, tries: int = 60, margin: int = 4, cell: int = 64) -> DataFrame:
     """doc_id, place: for pages (doc_id, ocr_boxes, width, height, patch_w, patch_h) the place that ``free_box`` finds; no row if there is none.
 
-    A page is cut into cells of ``cell`` pixels. Boxes and places are rows by the cells that they reach into, and a place meets only the boxes of its own cells. A cell that one box
-    fills, or covers with its margin all over, is one row however many boxes lie in it: whatever touches it is taken.
+    A page is cut into cells of ``cell`` pixels, and its boxes are gathered by the cells that they reach into: a page's grid is a row of columns of cells, and a place meets only the boxes
+    of its own cells. A cell that one box fills, or covers with its margin all over, holds one box however many lie in it: whatever touches it is taken. Places are never rows: they are
+    drawn beside the grid, the later ones only if the first are taken.
     """
-    asked = pages.where((F.col("patch_w") < F.col("width")) & (F.col("patch_h") < F.col("height")))
-    place = lambda k: seeded_place(k, F.col("width"), F.col("height"), F.col("patch_w"), F.col("patch_h"), seed, F.col("doc_id"), margin)
-    tried = asked.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), place)).alias("k", "place"))
+    asked = pages.where((F.col("patch_w") < F.col("width")) & (F.col("patch_h") < F.col("height"))).select("doc_id", "ocr_boxes", "width", "height", "patch_w", "patch_h")
     cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.greatest(F.floor(lo / cell), F.floor((hi - 1) / cell)))
     at = lambda b, i: F.element_at(b, i)
+    box = F.col("box")
+    boxes = asked.select("doc_id", F.explode("ocr_boxes").alias("b")).select("doc_id", F.col("b.box_pixel").alias("box"))
+    boxes = boxes.select("doc_id", "box", F.explode(cells(at(box, 1), at(box, 3))).alias("cx")).select("doc_id", "box", "cx", F.explode(cells(at(box, 2), at(box, 4))).alias("cy"))
+    x, y = F.col("cx") * cell, F.col("cy") * cell
+    whole = (at(box, 1) <= x) & (at(box, 3) >= x + cell) & (at(box, 2) <= y) & (at(box, 4) >= y + cell)
+    # of a filled cell one box stands for all; everything of a page is grouped where its first grouping has put it
+    kept = boxes.repartition("doc_id").groupBy("doc_id", "cx", "cy").agg(F.max(F.when(whole, box)).alias("full"), F.collect_set("box").alias("all"))
+    near = F.when(F.col("full").isNotNull(), F.array("full")).otherwise(F.col("all")).alias("near")
+    columns = kept.groupBy("doc_id", "cx").agg(F.collect_list(F.struct("cy", near)).alias("cells"))
+    grids = columns.groupBy("doc_id").agg(F.collect_list(F.struct("cx", "cells")).alias("grid"))
+
+    def taken(place: Column) -> Column:
+        lo = lambda i: F.floor((at(place, i) - margin) / cell)
+        within = lambda v, i: (v >= lo(i)) & (v <= F.greatest(lo(i), F.floor((at(place, i + 2) + margin - 1) / cell)))
+        return F.exists("grid", lambda c: within(c["cx"], 1) & F.exists(c["cells"], lambda d: within(d["cy"], 2) & F.exists(d["near"], lambda b: touches(place, b, margin))))
 
-    def by_cell(df: DataFrame, box: Column, grow: int) -> DataFrame:
-        cols = df.columns
-        across = df.select(*cols, F.explode(cells(at(box, 1) - grow, at(box, 3) + grow)).alias("cx"))
-        return across.select(*cols, "cx", F.explode(cells(at(box, 2) - grow, at(box, 4) + grow)).alias("cy"))
+    place = lambda k: seeded_place(k, F.col("width"), F.col("height"), F.col("patch_w"), F.col("patch_h"), seed, F.col("doc_id"), margin)
+    first = lambda a, b: F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), place), lambda p: ~F.coalesce(taken(p), F.lit(False))), F.lit(0))
+    rows = asked.drop("ocr_boxes").join(grids, "doc_id", "left")
+    found = rows.select("doc_id", F.coalesce(*(first(a, b) for a, b in _stages(tries))).alias("place"))
+    return found.where("place is not null")
 
-    boxes = asked.select("doc_id", F.explode("ocr_boxes").alias("b")).select("doc_id", F.col("b.box_pixel").alias("box")).distinct()
-    boxes = by_cell(boxes, F.col("box"), 0)
-    x, y = F.col("cx") * cell, F.col("cy") * cell
-    whole = (at(F.col("box"), 1) <= x) & (at(F.col("box"), 3) >= x + cell) & (at(F.col("box"), 2) <= y) & (at(F.col("box"), 4) >= y + cell)
-    # of a filled cell one box stands for all
-    kept = boxes.groupBy("doc_id", "cx", "cy").agg(F.max(F.when(whole, F.col("box"))).alias("full"), F.collect_list("box").alias("all"))
-    kept = kept.select("doc_id", "cx", "cy", F.when(F.col("full").isNotNull(), F.array("full")).otherwise(F.col("all")).alias("near"))
-    taken = by_cell(tried, F.col("place"), margin).join(kept, ["doc_id", "cx", "cy"]).where(F.exists("near", lambda b: touches(F.col("place"), b, margin))).select("doc_id", "k").distinct()
-    return tried.join(taken, ["doc_id", "k"], "left_anti").groupBy("doc_id").agg(F.min_by("place", "k").alias("place"))
+
+def _stages(tries: int) -> list[tuple[int, int]]:
+    """Most pages have room at one of the first places: the later ones are drawn only if those fail."""
+    ends = [0, *(n for n in (2, 6, 18) if n < tries), tries]
+    return list(zip(ends, ends[1:]))
 
 
 def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Column, seed: int, key: Column, tries: int = 60, margin: int = 4) -> Column:
@@ -118,9 +129,7 @@ def free_box(boxes: Column, w: Column, h: Column, patch_w: Column, patch_h: Colu
         places = F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda k: seeded_place(k, w, h, patch_w, patch_h, seed, key, margin))
         return F.get(F.filter(places, lambda p: ~F.exists(boxes, lambda o: touches(p, o["box_pixel"], margin))), F.lit(0))
 
-    # most pages have room at one of the first places: the later ones are drawn only if those fail
-    ends = [0, *(n for n in (2, 6, 18) if n < tries), tries]
-    return F.when((patch_w < w) & (patch_h < h), F.coalesce(*(first(a, b) for a, b in zip(ends, ends[1:]))))
+    return F.when((patch_w < w) & (patch_h < h), F.coalesce(*(first(a, b) for a, b in _stages(tries))))
 
 
 def _plan(op: str, gt: Column, field: Column, **more: Column) -> Column:
@@ -157,7 +166,7 @@ def plan_copy_move(pages: DataFrame, seed: int = 0, out: str = "copy_move", crow
     """A field's patch is pasted where the page is empty.
 
     Places are tried against every box of the page; on pages with more than ``crowded`` boxes, if given, against those that share a cell of a grid with the place
-    (``free_places``: two joins by page and cell; doc_id must be unique). The places are the same ones.
+    (``free_places``: a join by page; doc_id must be unique). The places are the same ones.
     """
     key = F.col("doc_id")
     c, s, to = spare(pages, "_c", "_s", "_to")

@@ -148,7 +148,8 @@ def q_resumed_predictions(spark, sf):
 @query(ORACLE["q_free_box"])
 def q_free_places(spark, sf):
     """The places of q_free_box, found by cells of a grid on every page."""
-    planned = stored(forge.plan_copy_move(views.pages(spark, sf), crowded=0).select("doc_id", "copy_move.*"), "places").where("paste is not null")
+    pages = stored(views.pages(spark, sf), "pages")
+    planned = stored(forge.plan_copy_move(pages, crowded=0).select("doc_id", "copy_move.*"), "places").where("paste is not null")
     x, y = F.element_at("paste", 1), F.element_at("paste", 2)
     return planned.select("doc_id", x.alias("x1"), y.alias("y1"), (x + F.col("patch_w")).alias("x2"), (y + F.col("patch_h")).alias("y2"))
 
