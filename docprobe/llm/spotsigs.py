@@ -147,13 +147,14 @@ FREQUENT, MAP_BITS = 20_000, 1 << 20
 def rare_first(cls: DataFrame) -> Column:
     """The signatures (column s) with those that a map marks as frequent behind the others, else in ascending order: one order for all sets.
 
-    At most ``FREQUENT`` signatures can be in more than 1 / FREQUENT of all (class, signature) pairs. The map may mark a rare one too, which only costs time.
+    At most ``FREQUENT`` places of the map can hold more than 1 / FREQUENT of all (class, signature) pairs; they are counted, so that no task sends more rows than the map has places. The
+    map may mark a rare signature too, which only costs time.
     """
-    each = cls.select(F.explode("s").alias("h"))
+    each = cls.select(F.explode("s").alias("h")).select(F.pmod("h", F.lit(MAP_BITS)).alias("slot"))
     floor = max(8, (cls.agg(F.sum(F.size("s"))).first()[0] or 0) // FREQUENT)
     words = [0] * (MAP_BITS // 32)
-    for r in each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect():
-        words[(r["h"] % MAP_BITS) >> 5] |= 1 << (r["h"] & 31)
+    for r in each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).orderBy(F.col("n").desc(), "slot").limit(FREQUENT).collect():
+        words[r["slot"] >> 5] |= 1 << (r["slot"] & 31)
     table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
     def marked(h: Column) -> Column:
@@ -166,22 +167,32 @@ def rare_first(cls: DataFrame) -> Column:
 def similar_classes(cls: DataFrame, threshold: float = 0.8) -> DataFrame:
     """a, b, likeness >= threshold of pairs (a < b) of classes. cls: key, s (sorted, different for every class).
 
-    Length partitions: n is in partition floor(log n / -log threshold), and sets as alike as the threshold lie in the same or in neighbouring ones. A set of n signatures posts its first
-    n - ceil(threshold n) + 1 in the common order; two sets as alike as the threshold share one of them. A pair whose signatures behind the shared one
-    are too few to reach the overlap that the threshold asks for is dropped before the whole sets meet.
+    Length partitions: n is in partition floor(log n / -log threshold), and sets as alike as the threshold lie in the same or in neighbouring ones. Of two such sets the larger, of n
+    signatures, has t n of the other's, so it posts its first n - ceil(t n) + 1 in the common order; the smaller has 2t / (1 + t) n of the larger's and posts accordingly fewer, to its
+    own partition and the next. They share one of those. A pair whose signatures behind the shared one are too few to reach the overlap that the threshold asks for is dropped before the
+    whole sets meet. Posts and pairs carry numbers of the classes, and of two sets that meet one is sent to the other.
     """
-    cls = stored(cls.where(F.size("s") > 0).withColumn("o", rare_first(cls)), "spotsigs-classes")
+    numbered = cls.where(F.size("s") > 0).withColumn("o", rare_first(cls)).withColumn("id", F.monotonically_increasing_id())
+    cls = stored(numbered.select("key", "id", F.transform("o", _signed).alias("o")), "spotsigs-classes")
     n = F.size("o")
-    first = F.slice("o", 1, n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    posts = cls.select("key", n.alias("n"), F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold))).cast("int").alias("part"), F.posexplode(first).alias("at", "h"))
-    left = posts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "h", "part")
-    right = posts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "h", F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"))
+    first = lambda share: F.slice("o", 1, n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1)
+    part = F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    posts = lambda share, side: cls.select(F.col("id").alias(side), n.alias(f"n{side}"), part.alias("part"), F.posexplode(first(share)).alias(f"i{side}", "h"))
+    large = posts(threshold, "b")
+    small = posts(2 * threshold / (1 + threshold), "a").withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
     least = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9  # the overlap that the threshold asks for
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (most >= least)
-    pairs = left.join(right, ["h", "part"]).where(close).select("a", "b").distinct()
-    sides = pairs.join(cls.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(cls.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return sides.withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    close = ordered & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (most >= least)
+    pairs = small.join(large, ["h", "part"]).where(close).select("a", "b").distinct()
+    side = lambda c: cls.select(F.col("id").alias(c), F.col("key").alias(f"k{c}"), F.col("o").alias(f"o{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness(F.col("oa"), F.col("ob"))).where(F.col("likeness") >= threshold)
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "likeness")
+
+
+def _signed(h: Column) -> Column:
+    """A signature of 32 bits as an INT: half as wide in what is stored and sent."""
+    return F.when(h < F.lit(1 << 31), h).otherwise(h - F.lit(1 << 32)).cast("int")
 
 
 def links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -192,7 +203,8 @@ def links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = with_signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")), "text", "s")
     rows = stored(rows.select("doc_id", F.md5(as_text(F.col("s")).cast("binary")).alias("key"), "s"), "spotsigs-signatures")
     ids = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    pairs = stored(similar_classes(rows.groupBy("key").agg(F.first("s").alias("s")), threshold), "spotsigs-pairs")
+    sets = stored(rows.groupBy("key").agg(F.first("s").alias("s")), "spotsigs-sets")  # read three times
+    pairs = stored(similar_classes(sets, threshold), "spotsigs-pairs")
     both = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key")))
     counts = both.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     of = ids.join(counts, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
