@@ -89,7 +89,7 @@ def free_places(pages: DataFrame, seed: int = 0, tries: int = 60, margin: int =
 
     A page is cut into cells of ``cell`` pixels, and its boxes are gathered by the cells that they reach into: a page's grid is a row of columns of cells, and a place meets only the boxes
     of its own cells. A cell that one box fills, or covers with its margin all over, holds one box however many lie in it: whatever touches it is taken. Places are never rows: they are
-    drawn beside the grid, the later ones only if the first are taken.
+    drawn beside the grid, the later ones only if the first are taken. Grids are a row a page, and no size that Spark guesses makes it broadcast them.
     """
     asked = pages.where((F.col("patch_w") < F.col("width")) & (F.col("patch_h") < F.col("height"))).select("doc_id", "ocr_boxes", "width", "height", "patch_w", "patch_h")
     cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.greatest(F.floor(lo / cell), F.floor((hi - 1) / cell)))
@@ -112,7 +112,7 @@ def free_places(pages: DataFrame, seed: int = 0, tries: int = 60, margin: int =
 
     place = lambda k: seeded_place(k, F.col("width"), F.col("height"), F.col("patch_w"), F.col("patch_h"), seed, F.col("doc_id"), margin)
     first = lambda a, b: F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), place), lambda p: ~F.coalesce(taken(p), F.lit(False))), F.lit(0))
-    rows = asked.drop("ocr_boxes").join(grids, "doc_id", "left")
+    rows = asked.drop("ocr_boxes").join(grids.hint("merge"), "doc_id", "left")
     found = rows.select("doc_id", F.coalesce(*(first(a, b) for a, b in _stages(tries))).alias("place"))
     return found.where("place is not null")
 
@@ -179,7 +179,7 @@ def plan_copy_move(pages: DataFrame, seed: int = 0, out: str = "copy_move", crow
         many = df.where((F.size("ocr_boxes") > crowded) & F.col(s).isNotNull())
         found = free_places(many.select("doc_id", "ocr_boxes", "width", "height", w.alias("patch_w"), h.alias("patch_h")), seed)
         (place,) = spare(df, "_place")
-        df = df.join(found.withColumnRenamed("place", place), "doc_id", "left").withColumn(to, F.coalesce(F.col(to), F.col(place)))
+        df = df.join(found.withColumnRenamed("place", place).hint("merge"), "doc_id", "left").withColumn(to, F.coalesce(F.col(to), F.col(place)))
     alpha = F.when(unit(seed, "move:blend", key) < 0.6, 0.1 + 0.15 * unit(seed, "move:alpha", key))
     made = _plan("copy_move", clamp_box(F.col(to), F.col("width"), F.col("height")), label_to_field(F.col(s)["label"]), source_box=source, paste=F.slice(to, 1, 2), patch_w=w, patch_h=h, alpha=alpha)
     return df.select(*pages.columns, F.when(F.col(to).isNotNull(), made).alias(out))

@@ -62,10 +62,22 @@ SELECT *, CASE shape WHEN 0 THEN concat('Sure! Here it is: ', good, ' Let me kno
  WHEN 6 THEN 'I see nothing wrong with it.' ELSE good END AS completion FROM g"""
 
 
-def in_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view over the Parquet tables that it names."""
+#: Bytes of a table's files from which on it is never broadcast: rows in memory take many times their bytes in Parquet, by which Spark decides.
+SHUFFLED = 4 << 20
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _large(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes())) > SHUFFLED
+
+
+def in_spark(spark: SparkSession, sf_dir: str, sql: str, **tables: DataFrame) -> DataFrame:
+    """A view over the Parquet tables that it names, or over ``tables`` in their place."""
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: tables[n] if n in tables else _table(spark, sf_dir, n) for n in names})
 
 
 def in_sql(sql: str) -> str:
@@ -74,8 +86,11 @@ def in_sql(sql: str) -> str:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BOXES with ``box`` as an array and ``is_numeric``."""
-    return in_spark(spark, sf_dir, BOXES).select("*", F.array("x1", "y1", "x2", "y2").alias("box"), is_numeric(F.col("text")).alias("is_numeric"))
+    """BOXES with ``box`` as an array and ``is_numeric``. Pages and parts meet the boxes by shuffles where they are large."""
+    part = _table(spark, sf_dir, "part")
+    part = part.hint("merge") if _large(part) else part
+    sql = BOXES.replace("\nSELECT p.doc_id", "\nSELECT /*+ MERGE(p) */ p.doc_id") if _large(_table(spark, sf_dir, "orders")) else BOXES
+    return in_spark(spark, sf_dir, sql, part=part).select("*", F.array("x1", "y1", "x2", "y2").alias("box"), is_numeric(F.col("text")).alias("is_numeric"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +98,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.struct("pos", "text", F.col("box").alias("box_pixel"), "label", "is_numeric")
     grouped = boxes(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(b)).alias("b"))
     kind = "array<struct<pos:int,text:string,box_pixel:array<int>,label:string,is_numeric:boolean>>"
-    return in_spark(spark, sf_dir, PAGES).join(grouped, "doc_id", "left").select("doc_id", "source", "width", "height", F.coalesce(F.col("b"), F.array()).cast(kind).alias("ocr_boxes"))
+    return in_spark(spark, sf_dir, PAGES).join(grouped.hint("merge"), "doc_id", "left").select("doc_id", "source", "width", "height", F.coalesce(F.col("b"), F.array()).cast(kind).alias("ocr_boxes"))
 
 
 def truth_columns() -> list:
