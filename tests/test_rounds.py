@@ -19,7 +19,7 @@ def files_below(path):
     return sum(name.endswith((".png", ".jpg")) for _, _, names in os.walk(path) for name in names)
 
 
-@pytest.mark.parametrize("query", [catalogue_order.q_image_sizes])
+@pytest.mark.parametrize("query", [catalogue_pixels.q_image_files, catalogue_order.q_image_sizes])
 def test_files_of_a_round_go_before_the_next(spark, tmp_path, monkeypatch, query):
     want = sorted(map(tuple, query(spark, SF).collect()))
     most, keep = [], catalogue_pixels.delete_folder
