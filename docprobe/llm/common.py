@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docprobe.sources.scratch import fresh
+from docprobe.sources.scratch import fresh, shuffles_deleted
 
 #: A word: a run of characters other than space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,13 +93,14 @@ def runs_of_texts(batch: pa.RecordBatch, column: int, rows: int = 500, bytes_: i
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors; the shuffles that made them go.
 
     rows: an upper bound of their number, where one is known; then there is one file for each ``per_file`` of them, so that the many
     small tables of an iteration are not cut into as many files as there are shuffle partitions.
     """
     path = fresh(df.sparkSession, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ similarity of the sets (two empty ones: 1).
 the threshold allows cannot meet), within a partition only sets that share one of their first signatures, rare ones first, meet,
 and of those only pairs that their places in that order allow are compared whole (``similar_classes``).
 
-All of it is DataFrame operations.
+All of it is DataFrame operations, but for the order of a set's signatures in ``links``.
 
 Defined results: null text is the empty text; repeated rows, null ids (first in the order of ids) and very long texts are taken as they are, rows of one id in the
 order of a hash of their text; the only document is its own next one; an empty table gives no rows; other columns are ignored, also those named like a result.
@@ -19,13 +19,19 @@ order of a hash of their text; the only document is its own next one; an empty t
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docprobe.llm.common import stored, text_of
+from docprobe.llm.common import map_rows, stored, text_of
+from docprobe.sources import scratch
+from docprobe.sources.scratch import dropped, fresh, shuffles_deleted
 
 CHAIN = 3
 #: Common words of English, German, French and Spanish.
@@ -140,28 +146,33 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
-#: Signatures in the most sets that are told from the rest, at most; and bits of the map that tells them.
-FREQUENT, MAP_BITS = 20_000, 1 << 20
+#: Places of the map that tells rare signatures from frequent ones; and those of them, at most, by which signatures are ordered.
+MAP_BITS, FREQUENT = 22, 1 << 22
 
 
-def rare_first(cls: DataFrame) -> Column:
-    """The signatures (column s) with those that a map marks as frequent behind the others, else in ascending order: one order for all sets.
+def rare_first(cls: DataFrame) -> DataFrame:
+    """cls (key, s) with ``o``: the signatures by how often their place in a map occurs (its power of two), then ascending; one order for all sets.
 
-    At most ``FREQUENT`` places of the map can hold more than 1 / FREQUENT of all (class, signature) pairs; they are counted, so that no task sends more rows than the map has places. The
-    map may mark a rare signature too, which only costs time.
+    Places share counts, so a signature may seem more frequent than it is, which only costs time, but never rarer: what stands first is rare however large the table is. The map, a byte a
+    place, is all that the driver gets.
     """
-    each = cls.select(F.explode("s").alias("h")).select(F.pmod("h", F.lit(MAP_BITS)).alias("slot"))
-    floor = max(8, (cls.agg(F.sum(F.size("s"))).first()[0] or 0) // FREQUENT)
-    words = [0] * (MAP_BITS // 32)
-    for r in each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).orderBy(F.col("n").desc(), "slot").limit(FREQUENT).collect():
-        words[r["slot"] >> 5] |= 1 << (r["slot"] & 31)
-    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    slot = F.pmod("h", F.lit(1 << MAP_BITS)).cast("int").alias("slot")
+    counts = cls.select(F.explode("s").alias("h")).select(slot).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where("n > 1").orderBy(F.col("n").desc(), "slot").limit(FREQUENT) if FREQUENT < 1 << MAP_BITS else counts.where("n > 1")
+    with shuffles_deleted(cls.sparkSession):
+        got = found.select("slot", F.floor(F.log2("n")).cast("tinyint").alias("level")).toArrow()
+    levels = np.zeros(1 << MAP_BITS, np.uint8)
+    levels[got.column("slot").to_numpy()] = got.column("level").to_numpy()
 
-    def marked(h: Column) -> Column:
-        word = F.get(table, F.shiftright(F.pmod(h, F.lit(MAP_BITS)), 5).cast("int"))
-        return F.pmod(F.floor(word / F.element_at(F.lit([float(1 << k) for k in range(32)]), F.pmod(h, F.lit(32)).cast("int") + 1)), F.lit(2)) == 1
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("s")
+            flat, n = sets.flatten().to_numpy(zero_copy_only=False), np.asarray(pc.list_value_length(sets))
+            o = flat[np.lexsort((flat, levels[flat & (len(levels) - 1)], np.repeat(np.arange(len(n)), n)))]
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "o": pa.ListArray.from_arrays(pa.array(ends), pa.array(o, pa.int64()))})
 
-    return F.concat(F.filter("s", lambda h: ~marked(h)), F.filter("s", marked))
+    return map_rows(cls.select("key", "s"), ordered, T.StructType([cls.schema["key"], T.StructField("o", T.ArrayType(T.LongType()))]))
 
 
 def similar_classes(cls: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -172,7 +183,7 @@ def similar_classes(cls: DataFrame, threshold: float = 0.8) -> DataFrame:
     own partition and the next. They share one of those. A pair whose signatures behind the shared one are too few to reach the overlap that the threshold asks for is dropped before the
     whole sets meet. Posts and pairs carry numbers of the classes, and of two sets that meet one is sent to the other.
     """
-    numbered = cls.where(F.size("s") > 0).withColumn("o", rare_first(cls)).withColumn("id", F.monotonically_increasing_id())
+    numbered = rare_first(cls.where(F.size("s") > 0)).withColumn("id", F.monotonically_increasing_id())
     cls = stored(numbered.select("key", "id", F.transform("o", _signed).alias("o")), "spotsigs-classes")
     n = F.size("o")
     first = lambda share: F.slice("o", 1, n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1)
@@ -201,10 +212,16 @@ def links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Copies stay one class whatever their number; the empty fingerprint is a class without links.
     """
     rows = with_signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")), "text", "s")
-    rows = stored(rows.select("doc_id", F.md5(as_text(F.col("s")).cast("binary")).alias("key"), "s"), "spotsigs-signatures")
+    spark = docs.sparkSession
+    whole, sets_at = fresh(spark, "spotsigs-signatures"), fresh(spark, "spotsigs-sets")
+    rows = scratch.stored(rows.select("doc_id", F.md5(as_text(F.col("s")).cast("binary")).alias("key"), "s"), "spotsigs-signatures", whole)
+    sets = scratch.stored(rows.groupBy("key").agg(F.first("s").alias("s")), "spotsigs-sets", sets_at)  # read twice
+    rows = stored(rows.select("doc_id", "key"), "spotsigs-keys")
+    dropped(spark, whole)
+    met = similar_classes(sets, threshold)
+    dropped(spark, sets_at)  # the classes that meet have been stored by their numbers
     ids = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    sets = stored(rows.groupBy("key").agg(F.first("s").alias("s")), "spotsigs-sets")  # read three times
-    pairs = stored(similar_classes(sets, threshold), "spotsigs-pairs")
+    pairs = stored(met, "spotsigs-pairs")
     both = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key")))
     counts = both.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     of = ids.join(counts, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))

@@ -51,3 +51,9 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     with shuffles_deleted(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A stored table that nothing reads any more goes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
